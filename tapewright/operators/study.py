@@ -48,46 +48,59 @@ def minute_returns(grid: DataFrame, horizon: int = P.HORIZON_MINUTES) -> DataFra
     return grid.withColumn("close_later", later).withColumn("ret", ratio(later, F.col("close")) - 1)
 
 
+def hour_minutes(returns: DataFrame) -> DataFrame:
+    """The minutes of each symbol-hour as one array, at most 60 entries."""
+    clock = F.date_format("minute", "HH:mm").alias("clock")
+    entry = F.struct("minute", "close", "close_later", "ret", clock)
+    return returns.groupBy("symbol", "day", F.hour("minute").alias("hour")).agg(F.collect_list(entry).alias("minutes"))
+
+
 def event_returns(events: DataFrame, returns: DataFrame) -> DataFrame:
-    """Events (symbol, time, sign, ...) with the close at the event, the later close and the signed return."""
-    at = returns.select("symbol", F.col("minute").alias("_minute"), "close", "close_later", "ret")
-    keyed = events.withColumn("_minute", truncate(F.col("time"), "minute"))
+    """Events (symbol, day, time, sign, ...) with close, later close and signed return.
+
+    Events join the array of their own hour, which also holds the control
+    minutes: the event's bar and its controls come from one join, and no
+    event-by-minute pairs are shuffled.
+    """
+    keyed = events.withColumn("hour", F.hour("time")).withColumn("_minute", truncate(F.col("time"), "minute"))
+    joined = keyed.join(hour_minutes(returns), ["symbol", "day", "hour"], "left")
+    own = F.try_element_at(F.filter("minutes", lambda m: m["minute"] == F.col("_minute")), F.lit(1))
     return (
-        keyed.join(at, ["symbol", "_minute"], "left").drop("_minute")
+        joined.withColumn("_own", own)
+        .withColumns({c: F.col(f"_own.{c}") for c in ("close", "close_later", "ret")})
         .withColumn("signed_return", F.col("sign") * F.col("ret"))
+        .drop("_own", "_minute")
     )
 
 
 def matched_controls(
-    events: DataFrame, returns: DataFrame, key: Sequence[str], n: int = P.CONTROLS_PER_EVENT, seed: int = 0
+    events: DataFrame, key: Sequence[str], n: int = P.CONTROLS_PER_EVENT, seed: int = 0
 ) -> DataFrame:
-    """Adds ``controls``: n minutes of the same symbol, day and hour, drawn by a seeded hash.
+    """Adds ``controls``: n minutes of the event's symbol, day and hour, drawn by a seeded hash.
 
-    The minutes of an hour are packed into one array of at most 60 entries
-    and drawn inside the event's own row: no event-by-minute pairs are
-    shuffled. The digest is md5 so that any SQL engine repeats the draw.
+    Takes the output of ``event_returns`` and draws inside the event's own
+    row. The digest is md5 so that any SQL engine repeats the draw.
     """
-    hourly = (
-        returns.filter(F.col("ret").isNotNull())
-        .groupBy("symbol", "day", F.hour("minute").alias("hour"))
-        .agg(F.collect_list(F.struct("minute", "ret")).alias("_minutes"))
-    )
     name = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
-    keyed = events.withColumn("hour", F.hour("time")).withColumn("_name", name)
-    joined = keyed.join(hourly, ["symbol", "day", "hour"], "left")
+    usable = F.filter("minutes", lambda m: m["ret"].isNotNull())
     drawn = F.transform(
-        F.col("_minutes"),
+        usable,
         lambda m: F.struct(
-            F.md5(F.concat_ws("|", F.col("_name"), F.date_format(m["minute"], "HH:mm"))).alias("draw"),
+            F.md5(F.concat_ws("|", F.col("_name"), m["clock"])).alias("draw"),
             m["minute"].alias("minute"), m["ret"].alias("ret"),
         ),
     )
-    return joined.withColumn("controls", F.slice(F.array_sort(drawn), 1, n)).drop("_minutes", "_name")
+    return (
+        events.withColumn("_name", name)
+        .withColumn("controls", F.slice(F.sort_array(drawn), 1, n))
+        .drop("minutes", "_name")
+    )
 
 
 def control_rows(matched: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per event and control minute."""
-    return matched.select(*key, F.explode("controls").alias("c")).select(
+    # The outer form keeps the optimizer from drawing the array again in an inferred size filter.
+    return matched.select(*key, F.explode_outer("controls").alias("c")).filter("c is not null").select(
         *key, F.col("c.minute").alias("control_minute"), F.col("c.ret").alias("control_return")
     )
 
@@ -101,33 +114,35 @@ def event_excess(matched: DataFrame) -> DataFrame:
     )
 
 
-def _summary() -> list[Column]:
+def study_rows(excess: DataFrame) -> DataFrame:
+    """Means, excess and t-statistic per symbol and over all events (``is_total`` = 1), in one pass."""
+    measured = F.col("excess").isNotNull()
     n = F.count("excess")
     t = F.avg("excess") / F.nullif(F.stddev_samp("excess") / F.sqrt(n), F.lit(0.0))
-    return [
+    return excess.rollup("symbol").agg(
+        F.grouping("symbol").alias("is_total"),
         n.alias("events"),
-        F.avg(F.when(F.col("excess").isNotNull(), F.col("signed_return"))).alias("mean_signed_return"),
-        F.avg(F.when(F.col("excess").isNotNull(), F.col("control_return"))).alias("mean_control_return"),
+        F.avg(F.when(measured, F.col("signed_return"))).alias("mean_signed_return"),
+        F.avg(F.when(measured, F.col("control_return"))).alias("mean_control_return"),
         F.avg("excess").alias("excess"),
         t.alias("t_stat"),
-    ]
+    )
 
 
 def study_by_symbol(excess: DataFrame) -> DataFrame:
-    return excess.groupBy("symbol").agg(*_summary())
+    return study_rows(excess).filter("is_total = 0").drop("is_total")
 
 
 def study_decision(excess: DataFrame) -> DataFrame:
     """Overall excess, t-statistic, agreement of the symbols and the GO / KILL / AMBIGUOUS decision."""
-    by_symbol_rows = excess.groupBy("symbol").agg(F.avg("excess").alias("symbol_excess"))
-    symbols = by_symbol_rows.agg(
-        F.count("symbol_excess").alias("symbols"),
-        F.count_if(F.col("symbol_excess") > 0).alias("positive_symbols"),
-        F.count_if(F.col("symbol_excess") < 0).alias("negative_symbols"),
-        F.lit(1).alias("_one"),
+    total, part = F.col("is_total") == 1, F.col("is_total") == 0
+    measures = ["events", "mean_signed_return", "mean_control_return", "excess", "t_stat"]
+    summary = study_rows(excess).agg(
+        *[F.max(F.when(total, F.col(m))).alias(m) for m in measures],
+        F.count(F.when(part, F.col("excess"))).alias("symbols"),
+        F.count_if(part & (F.col("excess") > 0)).alias("positive_symbols"),
+        F.count_if(part & (F.col("excess") < 0)).alias("negative_symbols"),
     )
-    overall = excess.agg(*_summary(), F.lit(1).alias("_one"))
-    joined = overall.join(symbols, "_one").drop("_one")
     against = F.when(F.col("excess") >= 0, F.col("negative_symbols")).otherwise(F.col("positive_symbols"))
     go = (
         (F.col("excess") >= P.GO_EXCESS) & (F.col("t_stat") >= P.GO_T)
@@ -136,7 +151,7 @@ def study_decision(excess: DataFrame) -> DataFrame:
     kill = (
         (F.abs("excess") < P.KILL_EXCESS) | (F.col("t_stat") < P.KILL_T) | (against * 2 > F.col("symbols"))
     )
-    return joined.withColumn("decision", F.when(go, "GO").when(kill, "KILL").otherwise("AMBIGUOUS"))
+    return summary.withColumn("decision", F.when(go, "GO").when(kill, "KILL").otherwise("AMBIGUOUS"))
 
 
 def forward_returns(prices: DataFrame, horizons: Sequence[int] = (1, 3, 5)) -> DataFrame:

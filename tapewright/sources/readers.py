@@ -1,40 +1,48 @@
-"""Typed readers for landed CSV files and for the tables written from them."""
+"""Typed readers for landed CSV files and for the tables written from them.
+
+Landed columns are matched by header name, never by position: vendor files
+carry extra columns in an order of their own. Files of one folder must agree
+on the header; a file that does not fails the read instead of shifting values.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewright import schemas as S
 from tapewright.functions.clock import parse_time
 from tapewright.functions.contract import contract_expiry, contract_symbol
-from tapewright.operators.columns import conform, union_all
+from tapewright.operators.columns import union_all
 from tapewright.sources import files
 
 
-def _csv(spark: SparkSession, schema: T.StructType, path: str, pattern: str | None = None) -> DataFrame:
-    """Columns are matched by header name, so files may order or omit them differently."""
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.schema(schema).csv(path)
-
-
-def as_tape(ticks: DataFrame) -> DataFrame:
-    """Landed ticks with parsed time, trade date and symbol; the time text is kept."""
-    ts = parse_time(F.col("time"))
-    return conform(
-        ticks.withColumns({"ts": ts, "trade_date": F.to_date(ts), "symbol": contract_symbol(F.col("code"))}), S.TAPE
+def _csv(
+    spark: SparkSession, schema: T.StructType, path: str, pattern: str = "*.csv",
+    named: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Columns of ``schema`` (null when the files lack them) and columns taken from the file name."""
+    reader = (
+        spark.read.option("header", True).option("enforceSchema", False)
+        .option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     )
+    raw = reader.csv(path)
+    present = {c.lower(): c for c in raw.columns}
+    typed = [
+        (F.col(f"`{present[f.name]}`").try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType))
+        .alias(f.name)
+        for f in schema.fields
+    ]
+    return raw.select(*typed, *[c.alias(n) for n, c in (named or {}).items()])
 
 
 def read_landed_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """Contract-day CSV files; contract and day of the file name are added as ``file_code`` and ``file_day``."""
-    named = _csv(spark, S.TICK, path).withColumns(
-        {"file_code": files.tick_file_code(), "file_day": files.tick_file_day()}
+    """Contract-day files; contract and day of the file name are added as ``file_code`` and ``file_day``."""
+    named = _csv(
+        spark, S.TICK, path, named={"file_code": files.tick_file_code(), "file_day": files.tick_file_day()}
     )
     ts = parse_time(F.col("time"))
     return named.select(
@@ -49,28 +57,27 @@ def read_tape(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    raw = _csv(spark, schema, path)
-    return raw.withColumns(
-        {"symbol": files.named_part(files.SYMBOL_FILE, 1), "snap_date": F.to_date(files.named_part(files.SYMBOL_FILE, 2))}
-    )
+    day = F.to_date(files.named_part(files.SYMBOL_FILE, 2))
+    return _csv(spark, schema, path, named={"symbol": files.named_part(files.SYMBOL_FILE, 1), "snap_date": day})
 
 
 def read_landed_chains(spark: SparkSession, path: str) -> DataFrame:
-    chain = _snapshots(spark, S.CHAIN, path)
-    return chain.withColumn("expiry", contract_expiry(F.col("code")))
+    """Daily chain snapshots with symbol and day of the file name and the contract's expiry."""
+    return _snapshots(spark, S.CHAIN, path).withColumn("expiry", contract_expiry(F.col("code")))
 
 
 def read_landed_intraday(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*S.INTRADAY.fields, T.StructField("snap_time", T.StringType())])
-    return _snapshots(spark, schema, path)
+    """Intraday chain states; every row carries the time of its pass."""
+    return _snapshots(spark, T.StructType([*S.INTRADAY.fields, T.StructField("snap_time", T.StringType())]), path)
 
 
 def read_symbol_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Statistics and volatility histories; the symbol comes from the file name."""
-    symbol = files.named_part(files.HISTORY_FILE, 1)
-    stat = _csv(spark, S.SYMBOL_STAT, path, "US_*_stat.csv").withColumn("symbol", symbol)
-    vol = _csv(spark, S.SYMBOL_VOL, path, "US_*_vol.csv").withColumn("symbol", symbol)
-    return stat, vol
+    """Statistics and volatility histories as text measures; the symbol comes from the file name."""
+    named = {"symbol": files.named_part(files.HISTORY_FILE, 1)}
+    return (
+        _csv(spark, S.SYMBOL_STAT, path, "US_*_stat.csv", named),
+        _csv(spark, S.SYMBOL_VOL, path, "US_*_vol.csv", named),
+    )
 
 
 def read_underlying(spark: SparkSession, path: str) -> DataFrame:
@@ -78,11 +85,10 @@ def read_underlying(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    bars = _csv(spark, S.BARS, path)
-    symbol = F.regexp_extract("code", r"^US\.([A-Z]+)$", 1)
-    return bars.withColumns(
-        {"minute": parse_time(F.col("time_key")), "day": F.to_date(parse_time(F.col("time_key"))), "symbol": symbol}
-    )
+    """Minute bars with parsed minute, day and symbol."""
+    minute = parse_time(F.col("time_key"))
+    symbol = F.nullif(F.regexp_extract("code", r"^US\.([A-Z]+)$", 1), F.lit(""))
+    return _csv(spark, S.BARS, path).withColumns({"minute": minute, "day": F.to_date(minute), "symbol": symbol})
 
 
 def read_daily_volume(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +96,8 @@ def read_daily_volume(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
-    """Fetched pages, landed in several folders, as one table."""
-    return union_all([conform(_csv(spark, schema, p), schema) for p in paths])
+    """Fetched pages, landed in several folders with headers of their own, as one table."""
+    return union_all([_csv(spark, schema, p) for p in paths])
 
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:

@@ -20,8 +20,14 @@ from tapewright.session import scratch_path
 def stream_landed_ticks(
     spark: SparkSession, path: str, schema: T.StructType = TICK, max_files: int | None = None
 ) -> DataFrame:
-    """New CSV files of the landing folder as a stream of ticks with event time and trade date."""
-    reader = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    """New CSV files of the landing folder as a stream of ticks with event time and trade date.
+
+    ``schema`` lists the columns in file order; a file with another header fails the batch.
+    """
+    reader = (
+        spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     ts = parse_time(F.col("time")).cast("timestamp")
@@ -79,7 +85,7 @@ def run_updates(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
         stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start().awaitTermination()
     )
-    updates = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", path).parquet(path)
+    updates = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path)
     return first_per_key(updates, keys, [F.desc("batch")]).drop("batch")
 
 

@@ -17,9 +17,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+# The engines break ties at the last digit differently; this shift moves exact ties off the edge.
+OFF_TIE = 1.234e-08
+
 _SPARK: dict[str, Callable[[Column], Column]] = {
     "i": lambda c: c.cast("bigint"),
-    "f": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0),
+    "f": lambda c: F.round(c.cast("double") + F.lit(OFF_TIE), 6) + F.lit(0.0),
     "s": lambda c: c.cast("string"),
     "d": lambda c: F.date_format(c, "yyyy-MM-dd"),
     "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
@@ -27,7 +30,7 @@ _SPARK: dict[str, Callable[[Column], Column]] = {
 }
 _SQL = {
     "i": "CAST({0} AS BIGINT)",
-    "f": "round(CAST({0} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
+    "f": f"round(CAST({{0}} AS DOUBLE) + CAST({OFF_TIE} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
     "s": "CAST({0} AS VARCHAR)",
     "d": "strftime(CAST({0} AS DATE), '%Y-%m-%d')",
     "t": "strftime({0}, '%Y-%m-%d %H:%M:%S')",

@@ -31,8 +31,10 @@ pick AS (SELECT e.code, e.symbol, e.time, e.direction, e.sign, e.signed_return,
                                          strftime(r.minute, '%H:%M'))), r.minute) AS draw
          FROM e JOIN ret r ON r.symbol = e.symbol AND r.day = e.day AND hour(r.minute) = hour(e.time) AND r.ret IS NOT NULL),
 ctl AS (SELECT * FROM pick WHERE draw <= 20),
-x AS (SELECT code, symbol, time, direction, any_value(signed_return) AS signed_return,
-             any_value(sign) * (sum(control_return) / count(*)) AS control_return FROM ctl GROUP BY ALL),
+x AS (SELECT e.code, e.symbol, e.time, e.direction, any_value(e.signed_return) AS signed_return,
+             any_value(e.sign) * (sum(ctl.control_return) / nullif(count(ctl.control_return), 0)) AS control_return
+      FROM e LEFT JOIN ctl ON ctl.code = e.code AND ctl.symbol = e.symbol AND ctl.time = e.time
+                          AND ctl.direction = e.direction GROUP BY ALL),
 xs AS (SELECT *, signed_return - control_return AS excess FROM x)"""
 
 STATS = """count(excess) AS events, avg(CASE WHEN excess IS NOT NULL THEN signed_return END) AS mean_signed_return,
@@ -51,9 +53,12 @@ def minute_table(spark, sf_dir):
     return study.minute_returns(study.minute_grid(study.minute_closes(A.event_quotes(spark, sf_dir))))
 
 
+def returned(spark, sf_dir):
+    return study.event_returns(event_rows(spark, sf_dir), minute_table(spark, sf_dir))
+
+
 def matched(spark, sf_dir):
-    returns = minute_table(spark, sf_dir)
-    return study.matched_controls(study.event_returns(event_rows(spark, sf_dir), returns), returns, KEY, seed=7)
+    return study.matched_controls(returned(spark, sf_dir), KEY, seed=7)
 
 
 @query(
@@ -68,7 +73,7 @@ def minute_returns(spark, sf_dir):
     f"{STUDY}\nSELECT * FROM e",
 )
 def asof_returns(spark, sf_dir):
-    return study.event_returns(event_rows(spark, sf_dir), minute_table(spark, sf_dir))
+    return returned(spark, sf_dir)
 
 
 @query(
