@@ -106,15 +106,16 @@ def progress(
     target_events: int = P.TARGET_EVENTS, target_days: int = P.TARGET_DAYS, hard_stop: dt.date = P.HARD_STOP,
 ) -> DataFrame:
     """Distance to the stopping rule and the projected finish date, one row."""
-    n_days = valid_days(days, start).agg(F.count(F.lit(1)).alias("valid_days"), F.lit(1).alias("_one"))
     counted = events.filter((F.col("qualified") == 1) & (F.col("day") >= F.lit(start)))
-    n_events = counted.agg(F.count(F.lit(1)).alias("qualifying_events"), F.lit(1).alias("_one"))
+    n_days = valid_days(days, start).agg(F.count(F.lit(1)).alias("valid_days"))
+    n_events = counted.agg(F.count(F.lit(1)).alias("qualifying_events"))
+    both = n_days.unionByName(n_events, allowMissingColumns=True)
+    totals = both.agg(F.sum("valid_days").alias("valid_days"), F.sum("qualifying_events").alias("qualifying_events"))
     per_day = F.coalesce(ratio(F.col("qualifying_events"), F.col("valid_days")), F.lit(0.0))
     event_days = F.when(F.col("per_day") > 0, F.col("need_events") / F.col("per_day")).otherwise(0.0)
     steps = F.least(F.ceil("eta_days"), F.lit(100_000))
     return (
-        n_days.join(n_events, "_one").drop("_one")
-        .withColumn("per_day", per_day)
+        totals.withColumn("per_day", per_day)
         .withColumn("need_days", F.greatest(F.lit(target_days) - F.col("valid_days"), F.lit(0)))
         .withColumn("need_events", F.greatest(F.lit(target_events) - F.col("qualifying_events"), F.lit(0)))
         .withColumn("events_pct", F.least(F.lit(100.0), 100.0 * F.col("qualifying_events") / target_events))
