@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright import params as P
 from tapewright.functions.clock import is_weekday
+from tapewright.operators.flow import cells, is_event
 
 
 def symbol_dimension(days: DataFrame, symbols: Sequence[str]) -> DataFrame:
@@ -50,14 +51,15 @@ def weekday_gaps(days: DataFrame) -> DataFrame:
     return calendar.filter(is_weekday(F.col("day"))).join(have, "day", "left_anti")
 
 
-def collection_counts(tape: DataFrame, events: DataFrame) -> DataFrame:
-    """Prints, contracts and cluster events per day and symbol."""
-    per_code = tape.groupBy("trade_date", "symbol", "code").agg(F.count(F.lit(1)).alias("prints"))
-    per_symbol = per_code.groupBy("trade_date", "symbol").agg(
-        F.sum("prints").alias("prints"), F.count(F.lit(1)).alias("contracts")
+def collection_counts(tape: DataFrame, min_notional: float = P.MIN_NOTIONAL) -> DataFrame:
+    """Prints, contracts and cluster events per day and symbol, one pass over the tape."""
+    keys = ["trade_date", "symbol"]
+    per_code = cells(tape, [*keys, "code"]).groupBy(*keys, "code").agg(
+        F.sum("prints").alias("prints"), F.count_if(is_event(min_notional)).alias("events")
+    )
+    return per_code.groupBy(*keys).agg(
+        F.sum("prints").alias("prints"), F.count(F.lit(1)).alias("contracts"), F.sum("events").alias("events")
     )
-    found = events.groupBy("trade_date", "symbol").agg(F.count(F.lit(1)).alias("events"))
-    return per_symbol.join(found, ["trade_date", "symbol"], "left").fillna(0, ["events"])
 
 
 def wide_counts(counts: DataFrame, measure: str, symbols: Sequence) -> DataFrame:

@@ -23,9 +23,7 @@ def pressure_label(share: Column, traded: Column) -> Column:
 
 
 def _side(direction: str) -> Column:
-    zero = F.col("turnover") * 0
-    total = F.sum(F.when(F.col("ticker_direction") == direction, F.col("turnover")).otherwise(zero))
-    return F.coalesce(total, F.lit(0))
+    return F.coalesce(F.sum(F.when(F.col("ticker_direction") == direction, F.col("turnover"))), F.lit(0))
 
 
 def flow_summary(tape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -53,20 +51,35 @@ def block_prints(
     )
 
 
+def cells(tape: DataFrame, keys: Sequence[str] = ("code",), extra: Sequence[Column] = ()) -> DataFrame:
+    """Prints, volume and notional per time and direction, the one pass over a tape that reports share.
+
+    The time is compared as given, not parsed.
+    """
+    return tape.groupBy(*keys, "time", F.col("ticker_direction").alias("direction")).agg(
+        F.count(F.lit(1)).alias("prints"), F.sum("volume").alias("volume"), F.sum("turnover").alias("notional"), *extra
+    )
+
+
+def is_event(min_notional: float = P.MIN_NOTIONAL, min_prints: int = P.MIN_PRINTS) -> Column:
+    """Whether a cell is a cluster event; false, not null, for a cell without a time."""
+    found = (
+        aggressor(F.col("direction")) & F.col("time").isNotNull()
+        & (F.col("prints") >= min_prints) & (F.col("notional") >= min_notional)
+    )
+    return F.coalesce(found, F.lit(False))
+
+
 def clusters(tape: DataFrame, keys: Sequence[str] = ("code",), min_prints: int = P.MIN_PRINTS) -> DataFrame:
-    """Prints that share time and direction. The time is compared as given, not parsed."""
+    """Prints that share time and direction."""
     keyed = tape.filter(F.col("time").isNotNull() & F.col("ticker_direction").isNotNull())
-    return (
-        keyed.groupBy(*keys, "time", F.col("ticker_direction").alias("direction"))
-        .agg(F.count(F.lit(1)).alias("prints"), F.sum("volume").alias("volume"), F.sum("turnover").alias("notional"))
-        .filter(F.col("prints") >= min_prints)
-    )
+    return cells(keyed, keys).filter(F.col("prints") >= min_prints)
 
 
 def top_clusters(tape: DataFrame, keys: Sequence[str] = (), k: int = P.FLOW_TOP_K) -> DataFrame:
     """Largest clusters per group, NEUTRAL included."""
-    found = clusters(tape, keys)
-    return top_k(found, keys, [F.desc("notional"), F.col("time"), F.col("direction")], k, rank="cluster_rank")
+    order = [F.desc("notional"), "time", "direction"]
+    return top_k(clusters(tape, keys), keys, order, k, rank="cluster_rank")
 
 
 def cluster_events(

@@ -50,27 +50,31 @@ def value_gaps(
 ) -> DataFrame:
     """Neighbouring values per key that lie more than ``limit`` apart.
 
-    ``block`` maps values to ordered blocks of bounded size. Neighbours inside
-    a block come from a window over (keys, block); neighbours across blocks
-    from a window over one (first, last) row per block. No window partition
-    holds a whole key, however hot.
+    ``block`` maps values to ordered blocks of bounded size, so that no window
+    partition holds a whole key, however hot. Neighbours inside a block come
+    from a window over (keys, block). What is left are the gaps found and the
+    first and last value of each block; the first ones look up the end of the
+    block before in a second window that holds block ends only.
     """
-    grouped = list(keys)
-    values = df.select(*grouped, value).filter(F.col(value).isNotNull()).distinct().withColumn("_block", block)
-    inside_w = Window.partitionBy(*grouped, "_block").orderBy(value)
-    inside = values.select(*grouped, F.lag(value).over(inside_w).alias("gap_from"), F.col(value).alias("gap_to"))
-    edges = values.groupBy(*grouped, "_block").agg(F.min(value).alias("gap_to"), F.max(value).alias("_last"))
-    across_w = Window.partitionBy(*(grouped or [F.lit(1)])).orderBy("_block")
-    across = edges.select(*grouped, F.lag("_last").over(across_w).alias("gap_from"), "gap_to")
-    both = inside.unionByName(across)
-    return both.filter(distance(F.col("gap_from"), F.col("gap_to")) > limit)
+    values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct().withColumn("_block", block)
+    inside = Window.partitionBy(*keys, "_block").orderBy(value)
+    rows = values.withColumns({"_before": F.lag(value).over(inside), "_after": F.lead(value).over(inside)})
+    end = F.col("_before").isNull() | F.col("_after").isNull()
+    kept = rows.filter(end | (distance(F.col("_before"), F.col(value)) > limit)).withColumns(
+        {"_end": end, "_route": F.when(~end, F.col("_block"))}
+    )
+    across = Window.partitionBy(*keys, "_end", "_route").orderBy(value)
+    return (
+        kept.withColumn("gap_from", F.coalesce("_before", F.lag(value).over(across)))
+        .select(*keys, "gap_from", F.col(value).alias("gap_to"))
+        .filter(distance(F.col("gap_from"), F.col("gap_to")) > limit)
+    )
 
 
 def sequence_gaps(tape: DataFrame, keys: Sequence[str] = ("code", "trade_date"), block_size: int = 1 << 20) -> DataFrame:
     """Holes in the tick sequence of a contract-day."""
-    found = value_gaps(
-        tape, keys, "sequence", F.floor(F.col("sequence") / block_size), lambda a, b: b - a, 1
-    )
+    block = F.expr(f"sequence div {int(block_size)}")
+    found = value_gaps(tape, keys, "sequence", block, lambda a, b: b - a, 1)
     return found.withColumn("missing", F.col("gap_to") - F.col("gap_from") - 1)
 
 

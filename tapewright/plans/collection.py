@@ -13,7 +13,7 @@ from tapewright.functions.clock import hms, seconds_between
 from tapewright.operators.capture import capture_contracts, capture_days
 from tapewright.operators.coverage import snapshot_coverage, zero_filled
 from tapewright.operators.events import events_by, qualify_events
-from tapewright.operators.flow import cluster_events
+from tapewright.operators.flow import cells, cluster_events, is_event
 
 
 def event_status(
@@ -26,21 +26,24 @@ def event_status(
     return qualify_events(events, capture_days(contracts), contracts, cutoff_hour, threshold)
 
 
-def day_summary(tape: DataFrame, events: DataFrame, cutoff_hour: int = P.CUTOFF_HOUR) -> DataFrame:
-    """Per day and symbol, with a TOTAL row per day: span, contracts, prints, raw and counted events."""
-    per_code = tape.groupBy("trade_date", "symbol", "code").agg(
-        F.count(F.lit(1)).alias("prints"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-    )
-    per_symbol = per_code.groupBy("trade_date", "symbol").agg(
-        F.sum("prints").alias("prints"), F.count(F.lit(1)).alias("contracts"),
-        F.min("first").alias("first"), F.max("last").alias("last"),
+def day_summary(tape: DataFrame, min_notional: float = P.MIN_NOTIONAL, cutoff_hour: int = P.CUTOFF_HOUR) -> DataFrame:
+    """Per day and symbol, with a TOTAL row per day: span, contracts, prints, raw and counted events.
+
+    One pass over the tape: every report column is read off its cells.
+    """
+    keys = ["trade_date", "symbol"]
+    event = is_event(min_notional)
+    span = [F.min("ts").alias("first"), F.max("ts").alias("last")]
+    per_code = cells(tape, [*keys, "code"], span).groupBy(*keys, "code").agg(
+        F.sum("prints").alias("prints"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.count_if(event).alias("raw"), F.count_if(event & (F.hour("time") < cutoff_hour)).alias("counted"),
     )
-    found = events.groupBy("trade_date", "symbol").agg(
-        F.count(F.lit(1)).alias("raw"), F.count_if(F.hour("time") < cutoff_hour).alias("counted")
+    per_symbol = per_code.groupBy(*keys).agg(
+        F.sum("prints").alias("prints"), F.count(F.lit(1)).alias("contracts"), F.min("first").alias("first"),
+        F.max("last").alias("last"), F.sum("raw").alias("raw"), F.sum("counted").alias("counted"),
     )
-    joined = per_symbol.join(found, ["trade_date", "symbol"], "left").fillna(0, ["raw", "counted"])
     totals = (
-        joined.groupingSets([["trade_date", "symbol"], ["trade_date"]], "trade_date", "symbol")
+        per_symbol.groupingSets([["trade_date", "symbol"], ["trade_date"]], "trade_date", "symbol")
         .agg(
             F.grouping("symbol").alias("is_total"), F.min("first").alias("first_tick"),
             F.max("last").alias("last_tick"), F.sum("contracts").alias("contracts"), F.sum("prints").alias("prints"),

@@ -128,9 +128,7 @@ def test_day_summary_with_every_symbol(spark):
     rows = [(D[1], "TSLA", c, f"2026-08-12 {t}", 200_000.0, "BUY") for c, t in [("a", "09:30:00"), ("a", "09:30:00"), ("b", "15:59:59")]]
     tape = spark.createDataFrame(rows, "trade_date date, symbol string, code string, time string, turnover double, ticker_direction string")
     tape = tape.withColumn("ts", F.col("time").cast("timestamp_ntz")).withColumn("volume", F.lit(1.0))
-    from tapewright.operators.flow import cluster_events
-
-    summary = plan.day_summary(tape, cluster_events(tape, ["code", "symbol", "trade_date"]))
+    summary = plan.day_summary(tape)
     full = {r.symbol: r for r in plan.full_day_summary(summary, ["TSLA", "NVDA"]).collect()}
     assert (full["TSLA"].contracts, full["TSLA"].prints, full["TSLA"].raw_events, full["TSLA"].counted_events) == (2, 3, 1, 1)
     assert full["TOTAL"].span == "6:29:59" and full["TOTAL"].prints == 3

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tapewright.operators import capture, chain, coverage, events, flow, study
+from tapewright.operators import capture, chain, coverage, events, study
 from tapewright.plans import collection as plan
 from workload import adapters as A
 from workload.registry import EVENTS, TAPE, query
@@ -128,9 +128,7 @@ FROM (SELECT trade_date, symbol, count(*) AS prints, count(DISTINCT code) AS con
 LEFT JOIN n ON n.trade_date = t.trade_date AND n.symbol = t.symbol""",
 )
 def collection_counts(spark, sf_dir):
-    ticks = A.lineitem_tape(spark, sf_dir)
-    found = flow.cluster_events(ticks, ["code", "symbol", "trade_date"], 100_000)
-    return coverage.collection_counts(ticks, found)
+    return coverage.collection_counts(A.lineitem_tape(spark, sf_dir), 100_000)
 
 
 @query(
@@ -162,8 +160,7 @@ z AS (SELECT *, CAST(floor(epoch(last_tick - first_tick)) AS BIGINT) AS secs FRO
 SELECT *, printf('%d:%02d:%02d', secs // 3600, (secs % 3600) // 60, secs % 60) AS span FROM z""",
 )
 def day_summary_rollup(spark, sf_dir):
-    ticks = A.events_tape(spark, sf_dir)
-    return plan.day_summary(ticks, flow.cluster_events(ticks, ["code", "symbol", "trade_date"], 50))
+    return plan.day_summary(A.events_tape(spark, sf_dir), 50)
 
 
 @query(
