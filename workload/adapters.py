@@ -9,12 +9,20 @@ from tapewright.functions.clock import truncate
 from tapewright.functions.measures import ratio
 
 SYMBOLS = 5
+# Amounts are kept in whole cents: 64-bit sums are exact in any order and much
+# cheaper than wide decimals, whose sums leave the 64-bit range.
+CENTS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hundredths(amount):
+    """An amount with two decimals as a whole number."""
+    return F.rint(amount * 100).cast("bigint")
+
+
 def _direction(flag):
     return F.when(flag == "A", "BUY").when(flag == "R", "SELL").when(flag == "N", "NEUTRAL")
 
@@ -32,7 +40,7 @@ def as_lineitem_tape(lines: DataFrame) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         F.to_date("l_shipdate").alias("trade_date"),
         F.col("l_quantity").alias("volume"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("turnover"),
+        hundredths(F.col("l_extendedprice")).alias("turnover"),
         _direction(F.col("l_returnflag")).alias("ticker_direction"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"),
         F.col("l_partkey").alias("part"),
@@ -52,7 +60,7 @@ def as_events_tape(events: DataFrame) -> DataFrame:
         F.when(kind.isin("purchase", "signup"), "BUY").when(kind.isin("error", "click"), "SELL").otherwise("NEUTRAL")
     )
     loss = F.get_json_object("props", "$.k").cast("int")
-    value = F.col("value").cast("decimal(18,2)")
+    value = hundredths(F.col("value"))
     return events.select(
         (F.col("user_id") % 10).alias("code"),
         (F.col("user_id") % 3).alias("symbol"),
@@ -79,13 +87,12 @@ def events_captured(tape: DataFrame) -> DataFrame:
 
 
 def lineitem_official(tape: DataFrame) -> DataFrame:
-    hundredths = F.col("volume").cast("decimal(18,2)") * 100
-    return tape.select("code", F.col("trade_date").alias("day"), hundredths.alias("volume"))
+    return tape.select("code", F.col("trade_date").alias("day"), hundredths(F.col("volume")).alias("volume"))
 
 
 def lineitem_captured(tape: DataFrame) -> DataFrame:
     """Captured volume: each print lost its tax rate."""
-    kept = F.col("volume").cast("decimal(18,2)") * (100 - (F.col("tax") * 100).cast("decimal(18,0)"))
+    kept = F.rint("volume").cast("bigint") * (100 - hundredths(F.col("tax")))
     return tape.select("code", F.col("trade_date").alias("day"), kept.alias("volume"))
 
 
@@ -115,14 +122,14 @@ def symbol_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per symbol and day from order lines, with the feature table's measures."""
     flag, qty = F.col("l_returnflag"), F.col("l_quantity")
     line = F.col("l_linenumber")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    price = hundredths(F.col("l_extendedprice"))
 
     def total(value, which=None):
         picked = value if which is None else F.when(flag == which, value).otherwise(F.lit(0))
         return F.sum(picked).cast("double")
 
     def mean(name):
-        return F.sum(F.col(name).cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+        return F.sum(hundredths(F.col(name))) / 100 / F.count(F.lit(1))
 
     grouped = (
         table(spark, sf_dir, "lineitem")
@@ -130,7 +137,7 @@ def symbol_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             total(qty).alias("option_volume"), total(qty, "A").alias("call_volume"), total(qty, "R").alias("put_volume"),
             total(qty, "N").alias("option_oi"), total(line, "A").alias("call_oi"), total(line, "R").alias("put_oi"),
-            (F.sum(price).cast("double") / F.sum(qty)).alias("underlying_price"),
+            (F.sum(price) / 100 / F.sum(qty)).alias("underlying_price"),
             mean("l_tax").alias("iv"), mean("l_discount").alias("hv"),
         )
     )

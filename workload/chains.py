@@ -74,7 +74,7 @@ near AS (SELECT c.*, s.spot, abs(strike - spot) AS distance, row_number() OVER (
 
 def near_strikes(spark, sf_dir):
     rows = A.lineitem_chain(spark, sf_dir)
-    mean = F.sum(F.col("option_premium").cast("decimal(18,2)")).cast("double") / F.sum("volume")
+    mean = F.sum(A.hundredths(F.col("option_premium"))) / 100 / F.sum("volume")
     spot = materialize(rows.groupBy("symbol").agg(mean.alias("spot")), "spot")
     return chain.nearest_strikes(rows, spot, ties=TIES)
 

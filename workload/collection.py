@@ -15,7 +15,7 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 START = dt.date(2024, 1, 5)
 AS_OF = dt.date(2024, 1, 31)
 STOP = dt.date(2024, 6, 28)
-SIZES = [("50-75", 75), ("75-100", 100), ("100-150", 150), ("150-250", 250), ("250+", None)]
+SIZES = [("50-75", 7_500), ("75-100", 10_000), ("100-150", 15_000), ("150-250", 25_000), ("250+", None)]
 
 # Capture of the order-line tape and of the event tape.
 LINE_CAP = """cc AS (
@@ -60,7 +60,7 @@ def event_capture(spark, sf_dir):
 
 def qualified(spark, sf_dir):
     ticks = A.events_tape(spark, sf_dir)
-    return plan.event_status(ticks, A.events_official(ticks), A.events_captured(ticks), min_notional=50)
+    return plan.event_status(ticks, A.events_official(ticks), A.events_captured(ticks), min_notional=50 * A.CENTS)
 
 
 @query("day:d code:i our_volume:f official_volume:f pct:f below_threshold:i", f"WITH {TAPE}, {LINE_CAP}\nSELECT * FROM cc")
@@ -128,7 +128,7 @@ FROM (SELECT trade_date, symbol, count(*) AS prints, count(DISTINCT code) AS con
 LEFT JOIN n ON n.trade_date = t.trade_date AND n.symbol = t.symbol""",
 )
 def collection_counts(spark, sf_dir):
-    return coverage.collection_counts(A.lineitem_tape(spark, sf_dir), 100_000)
+    return coverage.collection_counts(A.lineitem_tape(spark, sf_dir), 100_000 * A.CENTS)
 
 
 @query(
@@ -160,7 +160,7 @@ z AS (SELECT *, CAST(floor(epoch(last_tick - first_tick)) AS BIGINT) AS secs FRO
 SELECT *, printf('%d:%02d:%02d', secs // 3600, (secs % 3600) // 60, secs % 60) AS span FROM z""",
 )
 def day_summary_rollup(spark, sf_dir):
-    return plan.day_summary(A.events_tape(spark, sf_dir), 50)
+    return plan.day_summary(A.events_tape(spark, sf_dir), 50 * A.CENTS)
 
 
 @query(
@@ -227,7 +227,7 @@ def bars_inventory(spark, sf_dir):
 
 
 @query(
-    "day:d code:i time:t direction:s notional:f hour:i overall:f before_cutoff:i qualified:i reason:s",
+    "day:d code:i time:t direction:s notional:m hour:i overall:f before_cutoff:i qualified:i reason:s",
     f"{QUALIFIED}\nSELECT * FROM q",
 )
 def event_qualification(spark, sf_dir):
@@ -272,7 +272,7 @@ def events_by_symbol(spark, sf_dir):
 
 
 @query(
-    "day:d events:i counted:i total_notional:f",
+    "day:d events:i counted:i total_notional:m",
     f"""{QUALIFIED}
 SELECT day, count(*) AS events, sum(qualified) AS counted, sum(notional) AS total_notional FROM q GROUP BY day""",
 )
@@ -281,7 +281,7 @@ def event_totals(spark, sf_dir):
 
 
 @query(
-    "time:t code:i direction:s prints:i volume:f notional:f reason:s",
+    "time:t code:i direction:s prints:i volume:m notional:m reason:s",
     f"{QUALIFIED}\nSELECT * FROM q WHERE day = DATE '2024-01-10' ORDER BY notional DESC, time, code, direction",
 )
 def events_of_day(spark, sf_dir):

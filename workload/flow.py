@@ -14,14 +14,14 @@ LINE_ORDER = ["time", "sequence", "code", "part", "turnover", "ticker_direction"
 
 
 @query(
-    "code:i time:d direction:s prints:i volume:f notional:f",
+    "code:i time:d direction:s prints:i volume:f notional:m",
     f"""WITH {TAPE}
 SELECT code, time, ticker_direction AS direction, count(*) AS prints, sum(volume) AS volume, sum(turnover) AS notional
 FROM tape WHERE ticker_direction IN ('BUY', 'SELL')
 GROUP BY code, time, ticker_direction HAVING count(*) >= 2 AND sum(turnover) >= 100000""",
 )
 def cluster_events(spark, sf_dir):
-    return flow.cluster_events(A.lineitem_tape(spark, sf_dir), ["code"], 100_000)
+    return flow.cluster_events(A.lineitem_tape(spark, sf_dir), ["code"], 100_000 * A.CENTS)
 
 
 FLOW_SQL = """SELECT {keys} b AS buy_notional, s AS sell_notional, b - s AS net_notional,
@@ -31,7 +31,7 @@ FLOW_SQL = """SELECT {keys} b AS buy_notional, s AS sell_notional, b - s AS net_
 FROM (SELECT {keys} sum(CASE WHEN ticker_direction = 'BUY' THEN turnover ELSE 0 END) AS b,
              sum(CASE WHEN ticker_direction = 'SELL' THEN turnover ELSE 0 END) AS s, count(*) AS n
       FROM tape {group})"""
-FLOW_COLS = "buy_notional:f sell_notional:f net_notional:f buy_share:f total_prints:i label:s"
+FLOW_COLS = "buy_notional:m sell_notional:m net_notional:m buy_share:f total_prints:i label:s"
 
 
 @query(
@@ -48,7 +48,7 @@ def flow_summary_total(spark, sf_dir):
 
 
 @query(
-    "symbol:i block_rank:i code:i time:d sequence:i volume:f turnover:f",
+    "symbol:i block_rank:i code:i time:d sequence:i volume:f turnover:m",
     f"""WITH {TAPE}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol
     ORDER BY volume DESC, time, sequence, code, part, turnover, ticker_direction) AS block_rank
@@ -66,14 +66,14 @@ TOP_CLUSTERS = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbo
 
 
 @query(
-    "symbol:i cluster_rank:i time:d direction:s prints:i volume:f notional:f", f"WITH {TAPE}\n{TOP_CLUSTERS}"
+    "symbol:i cluster_rank:i time:d direction:s prints:i volume:f notional:m", f"WITH {TAPE}\n{TOP_CLUSTERS}"
 )
 def clusters_top10(spark, sf_dir):
     return flow.top_clusters(A.lineitem_tape(spark, sf_dir), ["symbol"])
 
 
 @query(
-    "symbol:i total_prints:i n_blocks:i blocks_volume:f n_clusters:i top_notional:f last_notional:f",
+    "symbol:i total_prints:i n_blocks:i blocks_volume:f n_clusters:i top_notional:m last_notional:m",
     f"""WITH {TAPE},
 top_c AS ({TOP_CLUSTERS}),
 top_b AS (SELECT symbol, volume, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC) AS rn
@@ -99,7 +99,7 @@ def analyze_flow(spark, sf_dir):
 
 FIRST = "ORDER BY time, part, volume, turnover, ticker_direction, tax"
 FIRST_ORDER = ["time", "part", "volume", "turnover", "ticker_direction", "tax"]
-TICK_COLS = "code:i sequence:i time:d volume:f turnover:f ticker_direction:s"
+TICK_COLS = "code:i sequence:i time:d volume:f turnover:m ticker_direction:s"
 
 
 @query(

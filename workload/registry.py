@@ -1,7 +1,8 @@
 """Named queries over the given tables, each with the SQL that checks it.
 
 ``cols`` lists the result columns with a kind; it shapes both sides alike:
-i = bigint, f = double rounded to 6 places, s = string, d = date text,
+i = bigint, f = double rounded to 6 places, m = the same from whole cents,
+s = string, d = date text,
 t = timestamp text to the second, u = timestamp text to the microsecond.
 """
 
@@ -23,6 +24,7 @@ OFF_TIE = 1.234e-08
 _SPARK: dict[str, Callable[[Column], Column]] = {
     "i": lambda c: c.cast("bigint"),
     "f": lambda c: F.round(c.cast("double") + F.lit(OFF_TIE), 6) + F.lit(0.0),
+    "m": lambda c: F.round(c / 100 + F.lit(OFF_TIE), 6) + F.lit(0.0),
     "s": lambda c: c.cast("string"),
     "d": lambda c: F.date_format(c, "yyyy-MM-dd"),
     "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
@@ -31,6 +33,7 @@ _SPARK: dict[str, Callable[[Column], Column]] = {
 _SQL = {
     "i": "CAST({0} AS BIGINT)",
     "f": f"round(CAST({{0}} AS DOUBLE) + CAST({OFF_TIE} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
+    "m": f"round(CAST({{0}} AS DOUBLE) + CAST({OFF_TIE} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
     "s": "CAST({0} AS VARCHAR)",
     "d": "strftime(CAST({0} AS DATE), '%Y-%m-%d')",
     "t": "strftime({0}, '%Y-%m-%d %H:%M:%S')",

@@ -58,13 +58,13 @@ def stream_silence(spark, sf_dir):
 
 
 @query(
-    "code:i time:t direction:s prints:i notional:f",
+    "code:i time:t direction:s prints:i notional:m",
     f"""WITH {EVENTS}
 SELECT code, time, ticker_direction AS direction, count(*) AS prints, sum(turnover) AS notional FROM ev
 WHERE ticker_direction IN ('BUY', 'SELL') GROUP BY ALL HAVING count(*) >= 2 AND sum(turnover) >= 50""",
 )
 def stream_clusters(spark, sf_dir):
-    found = ticks.cluster_stream(events_stream(spark, sf_dir), time="time", min_notional=50)
+    found = ticks.cluster_stream(events_stream(spark, sf_dir), time="time", min_notional=50 * A.CENTS)
     return source.run_updates(found, ["code", "time", "direction"], "stream-clusters")
 
 
@@ -86,7 +86,7 @@ def stream_counters(spark, sf_dir):
 
 
 @query(
-    "trade_date:d symbol:i rows:i turnover:f",
+    "trade_date:d symbol:i rows:i turnover:m",
     f"WITH {EVENTS}\nSELECT trade_date, symbol, count(*) AS rows, sum(turnover) AS turnover FROM ev GROUP BY ALL",
 )
 def stream_append(spark, sf_dir):
@@ -124,7 +124,7 @@ def stream_intraday(spark, sf_dir):
 
 
 @query(
-    "trade_date:d symbol:i rows:i turnover:f",
+    "trade_date:d symbol:i rows:i turnover:m",
     f"WITH {EVENTS}\nSELECT trade_date, symbol, 2 * count(*) AS rows, 2 * sum(turnover) AS turnover FROM ev GROUP BY ALL",
 )
 def tape_append(spark, sf_dir):

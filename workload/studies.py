@@ -44,7 +44,7 @@ STAT_COLS = "events:i mean_signed_return:f mean_control_return:f excess:f t_stat
 
 
 def event_rows(spark, sf_dir):
-    found = flow.cluster_events(A.events_tape(spark, sf_dir), ["code", "symbol", "trade_date"], 50)
+    found = flow.cluster_events(A.events_tape(spark, sf_dir), ["code", "symbol", "trade_date"], 50 * A.CENTS)
     right = F.when(F.col("code") % 2 == 0, "CALL").otherwise("PUT")
     return found.withColumnRenamed("trade_date", "day").withColumn("sign", implied_sign(right, F.col("direction")))
 
@@ -69,7 +69,7 @@ def minute_returns(spark, sf_dir):
 
 
 @query(
-    "code:i symbol:i time:t direction:s notional:f sign:i close:f close_later:f signed_return:f",
+    "code:i symbol:i time:t direction:s notional:m sign:i close:f close_later:f signed_return:f",
     f"{STUDY}\nSELECT * FROM e",
 )
 def asof_returns(spark, sf_dir):
@@ -104,7 +104,7 @@ def event_study(spark, sf_dir):
 
 
 @query(
-    "code:i trade_date:d time:t direction:s notional:f",
+    "code:i trade_date:d time:t direction:s notional:m",
     f"""WITH {EVENTS}, {CLUSTERS},
 g AS (SELECT code, trade_date FROM ev GROUP BY ALL
       HAVING count(DISTINCT sequence) * 15 > max(sequence) - min(sequence) + 1)
@@ -115,5 +115,5 @@ def eligible_clusters(spark, sf_dir):
     """Events with more than one day to expiry on tapes that hold at least one in 15 numbers of their span."""
     ticks = A.events_tape(spark, sf_dir)
     checks = tape.gap_free(ticks).withColumn("gap_free", F.col("present") * 15 > F.col("expected"))
-    found = flow.cluster_events(ticks, ["code", "symbol", "trade_date"], 50)
+    found = flow.cluster_events(ticks, ["code", "symbol", "trade_date"], 50 * A.CENTS)
     return events.eligible_clusters(found, F.lit("2024-01-20").cast("date"), checks)
