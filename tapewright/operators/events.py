@@ -133,36 +133,37 @@ def quality_alerts(
     """Alert rows (severity, day, kind, message) for days on which data are not as they should be.
 
     ``capture`` is the day table with ``overall`` and ``n_below``. Every input
-    is reduced to one row per calendar day before it is joined.
+    is reduced to one row per calendar day, joined once, and each day then
+    lists its alerts.
     """
     experiment = days.select("day").distinct().filter(F.col("day") >= F.lit(start))
-    checked = experiment.join(capture.select("day", "overall", "n_below"), "day", "left")
-    unchecked = F.col("overall").isNull()
-    bad = F.col("overall") < threshold
-
-    def rows(source: DataFrame, severity: Column | str, kind: str, *message) -> DataFrame:
-        text = F.concat(*[m if isinstance(m, Column) else F.lit(m) for m in message])
-        level = severity if isinstance(severity, Column) else F.lit(severity)
-        return source.select(
-            level.alias("severity"), "day", F.lit(kind).alias("kind"), text.alias("message")
+    status = snapshot_coverage(experiment, snaps, universe_size).join(
+        capture.select("day", "overall", "n_below"), "day", "left"
+    )
+    overall, snapshots = F.col("overall"), F.col("snapshots")
+    unchecked, bad = overall.isNull(), overall < threshold
+
+    def alert(condition: Column, severity: Column, kind: str, *message: Column) -> Column:
+        text = F.concat(*message)
+        return F.when(condition, F.struct(severity.alias("severity"), F.lit(kind).alias("kind"), text.alias("message")))
+
+    warn, severe = F.lit("warn"), F.lit("bad")
+    alerts = F.array_compact(
+        F.array(
+            alert(unchecked | bad, warn, "pending", F.lit("not counted yet")),
+            alert(unchecked & (F.col("day") < F.lit(as_of)), warn, "unchecked", F.lit("capture not checked")),
+            alert(bad, severe, "day", F.lit("capture "), overall.cast("string"), F.lit("%, day excluded")),
+            alert(
+                ~bad & (F.col("n_below") > 0), warn, "contracts",
+                F.col("n_below").cast("string"), F.lit(" contracts excluded"),
+            ),
+            alert(
+                F.col("missing") > 0, F.when(snapshots == 0, severe).otherwise(warn), "snapshots",
+                snapshots.cast("string"), F.lit(f" of {universe_size} snapshots"),
+            ),
         )
-
-    pending = checked.filter(unchecked | bad)
-    open_days = checked.filter(unchecked & (F.col("day") < F.lit(as_of)))
-    low_days = checked.filter(bad)
-    low_contracts = checked.filter(~unchecked & ~bad & (F.col("n_below") > 0))
-    short = snapshot_coverage(experiment, snaps, universe_size).filter(F.col("missing") > 0)
-    level = F.when(F.col("snapshots") == 0, "bad").otherwise("warn")
-    count = F.col("snapshots").cast("string")
-    alerts = [
-        rows(pending, "warn", "pending", "not counted yet"),
-        rows(open_days, "warn", "unchecked", "capture not checked"),
-        rows(low_days, "bad", "day", "capture ", F.col("overall").cast("string"), "%, day excluded"),
-        rows(low_contracts, "warn", "contracts", F.col("n_below").cast("string"), " contracts excluded"),
-        rows(short, level, "snapshots", count, f" of {universe_size} snapshots"),
-        rows(weekday_gaps(experiment), "warn", "gap", "weekday without collection"),
-    ]
-    out = alerts[0]
-    for more in alerts[1:]:
-        out = out.unionByName(more)
-    return out
+    )
+    gaps = weekday_gaps(experiment).select(
+        "day", warn.alias("severity"), F.lit("gap").alias("kind"), F.lit("weekday without collection").alias("message")
+    )
+    return status.select("day", F.inline(alerts)).unionByName(gaps)

@@ -17,6 +17,10 @@ from tapewright.functions.measures import ratio
 from tapewright.functions.rolling import by_symbol
 
 
+# Modulus of the control draw.
+DRAW_PRIME = 2_147_483_647
+
+
 def minute_closes(quotes: DataFrame) -> DataFrame:
     """Last price per symbol and minute from (symbol, ts, price) quotes."""
     keyed = quotes.select("symbol", truncate(F.col("ts"), "minute").alias("minute"), "ts", "price")
@@ -50,8 +54,8 @@ def minute_returns(grid: DataFrame, horizon: int = P.HORIZON_MINUTES) -> DataFra
 
 def hour_minutes(returns: DataFrame) -> DataFrame:
     """The minutes of each symbol-hour as one array, at most 60 entries."""
-    clock = F.date_format("minute", "HH:mm").alias("clock")
-    entry = F.struct("minute", "close", "close_later", "ret", clock)
+    slot = (F.hour("minute") * 60 + F.minute("minute")).cast("bigint").alias("slot")
+    entry = F.struct("minute", "close", "close_later", "ret", slot)
     return returns.groupBy("symbol", "day", F.hour("minute").alias("hour")).agg(F.collect_list(entry).alias("minutes"))
 
 
@@ -79,21 +83,27 @@ def matched_controls(
     """Adds ``controls``: n minutes of the event's symbol, day and hour, drawn by a seeded hash.
 
     Takes the output of ``event_returns`` and draws inside the event's own
-    row. The digest is md5 so that any SQL engine repeats the draw.
+    row. Two numbers from the md5 of the event's key place every minute of the
+    day; the n minutes placed lowest are drawn. Integer arithmetic keeps the
+    draw cheap, and any SQL engine can repeat it.
     """
-    name = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+
+    def number(start: int) -> Column:
+        return F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint") % DRAW_PRIME
+
+    def placed(slot: Column) -> Column:
+        x = (F.col("_scale") * slot + F.col("_shift")) % DRAW_PRIME
+        return x * x % DRAW_PRIME
+
     usable = F.filter("minutes", lambda m: m["ret"].isNotNull())
     drawn = F.transform(
-        usable,
-        lambda m: F.struct(
-            F.md5(F.concat_ws("|", F.col("_name"), m["clock"])).alias("draw"),
-            m["minute"].alias("minute"), m["ret"].alias("ret"),
-        ),
+        usable, lambda m: F.struct(placed(m["slot"]).alias("draw"), m["minute"].alias("minute"), m["ret"].alias("ret"))
     )
     return (
-        events.withColumn("_name", name)
+        events.withColumns({"_scale": number(1) + 1, "_shift": number(9)})
         .withColumn("controls", F.slice(F.sort_array(drawn), 1, n))
-        .drop("minutes", "_name")
+        .drop("minutes", "_scale", "_shift")
     )
 
 

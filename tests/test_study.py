@@ -64,7 +64,9 @@ def test_event_returns_and_controls(spark):
     drawn = [c.minute for c in got["b"].controls]
     assert len(set(drawn)) == 20 and all(m.hour == 10 for m in drawn)
     name = "b|T|2026-08-12 10:05:00|BUY|3"
-    order = sorted(range(600, 660), key=lambda m: hashlib.md5(f"{name}|{at(m):%H:%M}".encode()).hexdigest())
+    digest, prime = hashlib.md5(name.encode()).hexdigest(), study.DRAW_PRIME
+    scale, shift = int(digest[:8], 16) % prime + 1, int(digest[8:16], 16) % prime
+    order = sorted(range(600, 660), key=lambda m: ((scale * m + shift) % prime) ** 2 % prime)
     assert drawn == [at(m) for m in order[:20]]
     excess = {r.code: r.excess for r in study.event_excess(study.matched_controls(study.event_returns(event_frame(spark, rows), returns), key, seed=3)).collect()}
     mean = statistics.fmean(price[m + 60] / price[m] - 1 for m in order[:20])

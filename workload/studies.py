@@ -25,11 +25,14 @@ ret AS (SELECT h.symbol, h.day, h.minute, h.close, l.close AS close_later, l.clo
 sgn AS (SELECT *, CASE WHEN (code % 2 = 0) = (direction = 'BUY') THEN 1 ELSE -1 END AS sign FROM cl),
 e AS (SELECT s.*, r.close, r.close_later, r.ret, s.sign * r.ret AS signed_return
       FROM sgn s LEFT JOIN ret r ON r.symbol = s.symbol AND r.minute = date_trunc('minute', s.time)),
-pick AS (SELECT e.code, e.symbol, e.time, e.direction, e.sign, e.signed_return, r.minute AS control_minute,
-                r.ret AS control_return, row_number() OVER (PARTITION BY e.code, e.symbol, e.time, e.direction
-                  ORDER BY md5(concat_ws('|', e.code, e.symbol, strftime(e.time, '%Y-%m-%d %H:%M:%S'), e.direction, '7',
-                                         strftime(r.minute, '%H:%M'))), r.minute) AS draw
-         FROM e JOIN ret r ON r.symbol = e.symbol AND r.day = e.day AND hour(r.minute) = hour(e.time) AND r.ret IS NOT NULL),
+named AS (SELECT *, md5(concat_ws('|', code, symbol, strftime(time, '%Y-%m-%d %H:%M:%S'), direction, '7')) AS digest FROM e),
+seeded AS (SELECT *, CAST(concat('0x', substr(digest, 1, 8)) AS BIGINT) % 2147483647 + 1 AS scale,
+                  CAST(concat('0x', substr(digest, 9, 8)) AS BIGINT) % 2147483647 AS shift FROM named),
+spot AS (SELECT e.*, r.minute AS control_minute, r.ret AS control_return,
+                (e.scale * (hour(r.minute) * 60 + minute(r.minute)) + e.shift) % 2147483647 AS x
+         FROM seeded e JOIN ret r ON r.symbol = e.symbol AND r.day = e.day AND hour(r.minute) = hour(e.time) AND r.ret IS NOT NULL),
+pick AS (SELECT *, row_number() OVER (PARTITION BY code, symbol, time, direction
+                  ORDER BY x * x % 2147483647, control_minute) AS draw FROM spot),
 ctl AS (SELECT * FROM pick WHERE draw <= 20),
 x AS (SELECT e.code, e.symbol, e.time, e.direction, any_value(e.signed_return) AS signed_return,
              any_value(e.sign) * (sum(ctl.control_return) / nullif(count(ctl.control_return), 0)) AS control_return
