@@ -176,8 +176,8 @@ def assign_splits(
 
 
 def draw_holdout(symbols: DataFrame, k: int, seed: int) -> DataFrame:
-    """k symbols by seeded hash order, the repeatable form of a random holdout."""
-    draw = F.xxhash64("symbol", F.lit(seed))
+    """k symbols by seeded digest order, the repeatable form of a random holdout."""
+    draw = F.md5(F.concat_ws("|", "symbol", F.lit(str(seed))))
     return symbols.select("symbol").distinct().orderBy(draw, "symbol").limit(k)
 
 

@@ -19,9 +19,14 @@ def dedup_ticks(tape: DataFrame, keys: Sequence[str] = TICK_KEY, order: Sequence
 
 
 def new_ticks(batch: DataFrame, seen: DataFrame, keys: Sequence[str] = TICK_KEY, order: Sequence[Column | str] = ()) -> DataFrame:
-    """Rows of ``batch`` whose key was not seen before, without repeats inside the batch."""
-    known = seen.select(*keys).distinct()
-    return dedup_ticks(batch, keys, order).join(known, list(keys), "left_anti")
+    """Rows of ``batch`` whose key was not seen before, without repeats inside the batch.
+
+    The history is first cut to keys of the batch. A poll is small, so that
+    step is a filter over the history's scan and the history is not shuffled.
+    """
+    by = list(keys)
+    known = seen.select(*by).join(batch.select(*by).distinct(), by, "left_semi").distinct()
+    return dedup_ticks(batch, keys, order).join(known, by, "left_anti")
 
 
 def seal_session(tape: DataFrame, session: Column) -> DataFrame:

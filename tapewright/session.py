@@ -6,7 +6,9 @@ import functools
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # AQE splits skewed join and rebalance partitions at run time and only
 # broadcasts sides whose measured size is below the threshold.
@@ -50,6 +52,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def read_if_present(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """A Parquet table, or None when nothing has been written to ``path`` yet."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators.columns import forbid_outcomes
 from tapewright.operators.tape import latest_per_key
-from tapewright.session import materialize
+from tapewright.session import materialize, read_if_present
 
 
 def _clustered(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
@@ -43,15 +43,8 @@ def upsert(
     touches are rewritten. The merged rows are written to the shared folder
     first, so the table is never read while it is replaced.
     """
-    spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as error:  # the first batch creates the table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        frames = [new]
-    else:
-        frames = [_touched(old, new, partitions), new]
+    old = read_if_present(new.sparkSession, path)
+    frames = [new] if old is None else [_touched(old, new, partitions), new]
     merged = materialize(latest_per_key(frames, keys, order), "upsert")
     replace_partitions(merged, path, partitions)
 

@@ -14,7 +14,7 @@ from tapewright.functions.clock import parse_time
 from tapewright.functions.contract import contract_symbol
 from tapewright.operators.ranking import first_per_key
 from tapewright.schemas import TICK
-from tapewright.session import scratch_path
+from tapewright.session import read_if_present, scratch_path
 
 
 def stream_landed_ticks(
@@ -85,7 +85,10 @@ def run_updates(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
         stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start().awaitTermination()
     )
-    updates = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    updates = read_if_present(spark, path, schema)
+    if updates is None:
+        return spark.createDataFrame([], stream.schema)
     return first_per_key(updates, keys, [F.desc("batch")]).drop("batch")
 
 

@@ -163,6 +163,25 @@ def day_summary_rollup(spark, sf_dir):
     return plan.day_summary(A.events_tape(spark, sf_dir), 50 * A.CENTS)
 
 
+@query(
+    "day:d symbol:s contracts:i prints:i raw_events:i",
+    f"""WITH {EVENTS}, {CLUSTERS},
+d AS (SELECT DISTINCT trade_date AS day FROM ev),
+s AS (SELECT unnest(['0', '1', '2', '3', 'TOTAL']) AS symbol),
+p AS (SELECT trade_date AS day, CAST(symbol AS VARCHAR) AS symbol, count(DISTINCT code) AS contracts, count(*) AS prints
+      FROM ev GROUP BY ALL),
+e AS (SELECT day, CAST(symbol AS VARCHAR) AS symbol, count(*) AS raw_events FROM cl GROUP BY ALL),
+j AS (SELECT p.*, coalesce(raw_events, 0) AS raw_events FROM p LEFT JOIN e ON e.day = p.day AND e.symbol = p.symbol),
+t AS (SELECT * FROM j UNION ALL SELECT day, 'TOTAL', sum(contracts), sum(prints), sum(raw_events) FROM j GROUP BY day)
+SELECT d.day, s.symbol, coalesce(contracts, 0) AS contracts, coalesce(prints, 0) AS prints,
+       coalesce(raw_events, 0) AS raw_events
+FROM d CROSS JOIN s LEFT JOIN t ON t.day = d.day AND t.symbol = s.symbol""",
+)
+def full_day_summary(spark, sf_dir):
+    """The day summary with a row for every symbol of the list, also one that never traded."""
+    return plan.full_day_summary(plan.day_summary(A.events_tape(spark, sf_dir), 50 * A.CENTS), ["0", "1", "2", "3"])
+
+
 @query(
     "day:d symbol:s prints:i",
     """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),

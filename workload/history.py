@@ -140,6 +140,15 @@ def date_range(spark, sf_dir):
     return plan.date_range(A.symbol_history(spark, sf_dir))
 
 
+@query(
+    "symbol:s",
+    """SELECT symbol FROM (SELECT DISTINCT p_brand AS symbol FROM part)
+ORDER BY md5(concat_ws('|', symbol, '20260822')), symbol LIMIT 7""",
+)
+def holdout_draw(spark, sf_dir):
+    return H.draw_holdout(A.table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")), 7, 20260822)
+
+
 def _fwd(k: int) -> str:
     return f"ln(lead(underlying_price, {k}) OVER s / nullif(underlying_price, 0)) AS ret_fwd_{k}d"
 

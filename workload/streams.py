@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapewright.operators import tape
+from tapewright.operators import capture, chain
 from tapewright.session import scratch_path
-from tapewright.sources import sinks
+from tapewright.sources import readers, sinks
 from tapewright.streaming import polls, source, ticks
 from workload import adapters as A
+from workload.collection import EVENT_CAP, event_capture
 from workload.flow import ORDER_TIES, UPSERT, order_batches
 from workload.registry import EVENTS, TAPE, query
 
@@ -167,3 +168,42 @@ def upsert_table(spark, sf_dir):
         keyed = batch.withColumn("key_range", F.floor(F.col("o_orderkey") / 1_000_000))
         sinks.upsert(keyed, path, ["o_orderkey"], ORDER_TIES, ["key_range"])
     return spark.read.parquet(path)
+
+
+@query(
+    "code:i rows:i",
+    """SELECT l_suppkey AS code, count(*) AS rows FROM lineitem
+WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1""",
+)
+def stream_watched(spark, sf_dir):
+    """Ticks of watched contracts; the list is read anew for every batch."""
+    watch, kept = scratch_path(spark, "watch"), scratch_path(spark, "watched")
+    suppliers = A.table(spark, sf_dir, "supplier").filter("s_acctbal > 0")
+    suppliers.select(F.col("s_suppkey").alias("code")).write.parquet(watch)
+    handle = polls.watched_batches(
+        watch, lambda batch, i: batch.select("code").write.mode("overwrite").parquet(f"{kept}/batch={i}")
+    )
+    checkpoint = scratch_path(spark, "watched-checkpoint")
+    source.each_batch(lineitem_stream(spark, sf_dir), handle, checkpoint, availableNow=True).awaitTermination()
+    return spark.read.parquet(kept).groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "day:d overall:f code:i pct:f below:i",
+    f"""WITH {EVENTS}, {EVENT_CAP},
+n AS (SELECT trade_date AS day, code, row_number() OVER (PARTITION BY trade_date, symbol
+        ORDER BY count(*) DESC, code DESC) AS rn FROM ev GROUP BY trade_date, symbol, code),
+x AS (SELECT cc.* FROM cc SEMI JOIN (SELECT * FROM n WHERE rn <= 3) s ON s.day = cc.day AND s.code = cc.code),
+d AS (SELECT day, round(100 * (CAST(sum(our_volume) AS DOUBLE) / CAST(sum(official_volume) AS DOUBLE)), 1) AS overall
+      FROM x GROUP BY day)
+SELECT x.day, overall, code, pct, below_threshold AS below FROM x JOIN d ON d.day = x.day""",
+)
+def capture_table(spark, sf_dir):
+    """Day records written to the capture table, re-checked days replaced, read back as contract rows."""
+    path = scratch_path(spark, "capture")
+    sample = chain.busiest_contracts(A.events_tape(spark, sf_dir)).withColumnRenamed("trade_date", "day")
+    sampled = capture.sample_contracts(event_capture(spark, sf_dir), sample).withColumn("code", F.col("code").cast("string"))
+    records = capture.capture_records(sampled)
+    sinks.write_capture(records, path)
+    sinks.write_capture(records.filter("overall < 95"), path)
+    return capture.record_contracts(readers.read_capture(spark, path))
