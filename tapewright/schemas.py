@@ -1,4 +1,4 @@
-"""Explicit table schemas."""
+"""Explicit table schemas. Column names are fixed values: they must match the landed files."""
 
 from __future__ import annotations
 

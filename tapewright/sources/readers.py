@@ -46,7 +46,7 @@ def read_landed_ticks(spark: SparkSession, path: str) -> DataFrame:
     )
     ts = parse_time(F.col("time"))
     return named.select(
-        "code", contract_symbol(F.col("file_code")).alias("symbol"), "time", ts.alias("ts"),
+        "code", contract_symbol(F.coalesce("file_code", "code")).alias("symbol"), "time", ts.alias("ts"),
         F.to_date(ts).alias("trade_date"), "price", "volume", "turnover", "ticker_direction", "sequence",
         "file_code", "file_day",
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewright.operators import capture, chain
-from tapewright.session import scratch_path
-from tapewright.sources import readers, sinks
+from tapewright.session import materialize, scratch_path
+from tapewright.sources import files, readers, sinks
 from tapewright.streaming import polls, source, ticks
 from workload import adapters as A
 from workload.collection import EVENT_CAP, event_capture
@@ -207,3 +207,52 @@ def capture_table(spark, sf_dir):
     sinks.write_capture(records, path)
     sinks.write_capture(records.filter("overall < 95"), path)
     return capture.record_contracts(readers.read_capture(spark, path))
+
+
+LANDED = f"""WITH {EVENTS}
+SELECT trade_date, chr(CAST(65 + symbol AS INTEGER)) AS symbol, count(*) AS rows, count(DISTINCT code) AS contracts,
+       sum(turnover) AS turnover, min(ts) AS first_tick FROM ev GROUP BY ALL"""
+LANDED_COLS = "trade_date:d symbol:s rows:i contracts:i turnover:m first_tick:u"
+
+
+def land_events(spark, sf_dir):
+    """The event tape as landed CSV files with vendor columns; the fraction of the time is kept as text."""
+    path = scratch_path(spark, "landing")
+    symbol = F.char(F.lit(65) + F.col("symbol"))
+    ticks_out = A.events_tape(spark, sf_dir).select(
+        F.concat(F.lit("US."), symbol, F.lit("240621C"), F.col("code").cast("string")).alias("code"),
+        F.col("ts").cast("string").alias("time"), "price", "volume", "turnover", "ticker_direction", "sequence",
+    )
+    ticks_out.write.option("header", True).csv(path)
+    return path
+
+
+def landed_report(rows):
+    return rows.groupBy("trade_date", "symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("code").alias("contracts"),
+        F.sum(F.col("turnover").cast("bigint")).alias("turnover"), F.min("ts").alias("first_tick"),
+    )
+
+
+@query(LANDED_COLS, LANDED)
+def landed_ticks(spark, sf_dir):
+    """Landed CSV files read back as a typed tape."""
+    return landed_report(readers.read_landed_ticks(spark, land_events(spark, sf_dir)))
+
+
+@query(LANDED_COLS, LANDED)
+def stream_landed(spark, sf_dir):
+    """The landing folder as a stream, appended to a table and read back."""
+    stream = source.stream_landed_ticks(spark, land_events(spark, sf_dir))
+    return landed_report(source.run_available(stream, "stream-landed", ["trade_date"]))
+
+
+@query("day:d", "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def changed_partitions(spark, sf_dir):
+    """File fingerprints of a table before and after more ticks arrive for some days."""
+    path = scratch_path(spark, "fingerprints")
+    rows = A.events_tape(spark, sf_dir)
+    sinks.append_tape(rows, path, ["trade_date"])
+    before = materialize(files.partition_fingerprints(spark, path), "fingerprint-cache")
+    sinks.append_tape(rows.filter("trade_date >= '2024-01-20'"), path, ["trade_date"])
+    return capture.changed_days(files.partition_fingerprints(spark, path), before)
