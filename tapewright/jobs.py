@@ -103,7 +103,7 @@ def status(spark: SparkSession, table: str, captured: str, chains: str, as_of: d
     days = materialize(capture.capture_days(spark.read.parquet(f"{captured}/contracts")), "capture-days")
     found = materialize(qualified_events(spark, table, captured), "events")
     snaps = spark.read.parquet(chains).select(F.col("snap_date").alias("day"), "symbol")
-    collected = rows.select(F.col("trade_date").alias("day"))
+    collected = materialize(rows.select(F.col("trade_date").alias("day")).distinct(), "days")
     on_valid = events.valid_days(found, P.EXPERIMENT_START)
     counted = on_valid.filter("qualified = 1")
     size = len(P.UNIVERSE)

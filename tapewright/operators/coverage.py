@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright import params as P
@@ -45,10 +45,16 @@ def snapshot_depth(snaps: DataFrame) -> DataFrame:
 
 
 def weekday_gaps(days: DataFrame) -> DataFrame:
-    """Weekdays between the first and last collection day without a collection."""
-    have = days.select("day").distinct()
-    calendar = have.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return calendar.filter(is_weekday(F.col("day"))).join(have, "day", "left_anti")
+    """Weekdays between the first and last collection day without a collection.
+
+    One pass: the distinct days, one row per calendar date, list what lies
+    between each of them and the next.
+    """
+    w = Window.partitionBy(F.lit(1)).orderBy("day")
+    steps = days.select("day").distinct().withColumn("_next", F.lead("day").over(w))
+    holes = steps.filter(F.col("_next") > F.date_add("day", 1))
+    between = F.sequence(F.date_add("day", 1), F.date_sub("_next", 1))
+    return holes.select(F.explode(between).alias("day")).filter(is_weekday(F.col("day")))
 
 
 def collection_counts(tape: DataFrame, min_notional: float = P.MIN_NOTIONAL) -> DataFrame:

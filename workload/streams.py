@@ -165,7 +165,7 @@ def upsert_table(spark, sf_dir):
     """Two overlapping batches upserted into a table partitioned by a range of the key."""
     path = scratch_path(spark, "upsert-table")
     for batch in order_batches(spark, sf_dir):
-        keyed = batch.withColumn("key_range", F.floor(F.col("o_orderkey") / 1_000_000))
+        keyed = batch.withColumn("key_range", F.floor(F.col("o_orderkey") / 100_000_000))
         sinks.upsert(keyed, path, ["o_orderkey"], ORDER_TIES, ["key_range"])
     return spark.read.parquet(path)
 
