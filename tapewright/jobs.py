@@ -1,4 +1,4 @@
-"""Jobs over landed folders and tables: ``spark-submit tapewright/jobs.py <job> ...`` or ``python -m tapewright.jobs``."""
+"""Jobs over landed folders and tables: ``python -m tapewright.jobs <job> ...``."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from tapewright import params as P
 from tapewright.functions.contract import contract_right
 from tapewright.functions.measures import implied_sign
 from tapewright.operators import capture, chain, coverage, events, flow, history, study, tape
+from tapewright.operators.ranking import first_per_key
 from tapewright.plans import collection, feature_table, screening
 from tapewright.schemas import FEATURE_COLUMNS, FEATURE_FLAGS, TAPE
 from tapewright.session import build_session, materialize, read_if_present
@@ -144,6 +145,7 @@ def run_study(
     counted = events.valid_days(found, P.EXPERIMENT_START).filter("qualified = 1")
     signed = counted.withColumn("sign", implied_sign(contract_right(F.col("code")), F.col("direction")))
     minutes = readers.read_bars(spark, bars).select("symbol", "minute", "close")
+    minutes = first_per_key(minutes, ["symbol", "minute"], ["close"])  # fetched pages may overlap
     returns = study.minute_returns(study.minute_grid(minutes, day_end_minute=16 * 60 - 1))
     matched = study.matched_controls(study.event_returns(signed, returns), ["code", "time", "direction"], seed=seed)
     excess = materialize(study.event_excess(matched).drop("controls"), "excess")

@@ -30,6 +30,7 @@ def minute_closes(quotes: DataFrame) -> DataFrame:
 def minute_grid(bars: DataFrame, day_end_minute: int = 24 * 60 - 1, label: str = "start") -> DataFrame:
     """Every minute from a symbol-day's first bar to the session end with the last close known.
 
+    ``bars`` holds one row per symbol and minute.
     The grid turns an as-of lookup into an equality join. A symbol-day has at
     most 1,440 minutes, so the window partitions are bounded by the clock.
     ``label`` says whether a bar's time marks its start or its end.
