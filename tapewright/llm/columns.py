@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -23,3 +23,23 @@ def held_out(doc_id: Column | str) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other letter unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sample_per_label(docs: DataFrame, label: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each label: those with the smallest hashes of ``doc_id``; rows without a label go.
+
+    The cut is one hash per label, applied as a filter, so no text moves. Rows that share an id are taken or
+    left together; where more than ``most`` of a label share the smallest hash, none of that label is taken.
+    """
+    place = F.xxhash64("doc_id")
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    cuts = (
+        docs.select(F.col(label).cast("string").alias("label"), place.alias("place")).filter("label is not null")
+        .withColumn("nth", nth).filter(F.col("nth") <= most + 1)
+        .groupBy("label").agg(F.max(F.when(F.col("nth") == most + 1, F.col("place"))).alias("cut")).collect()
+    )
+    taken = F.lit(False)
+    for row in cuts:  # one row a label
+        same = F.col(label).cast("string") == row["label"]
+        taken = taken | (same if row["cut"] is None else same & (place < row["cut"]))
+    return docs.filter(taken)

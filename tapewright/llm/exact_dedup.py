@@ -22,6 +22,8 @@ MAX_KICKS = 200
 LOAD = 0.85
 DIGESTS_PER_BUCKET = 100_000
 SALTS = 16
+# Stands for a null id inside a bucket: pandas would turn longs beside nulls into floats.
+NO_ID = -(2**63)
 
 GROUP_SCHEMA = "text_sha256 string, keep_id long, group_size long"
 INDEX_SCHEMA = "bucket int, filter binary, digests binary, copies binary"
@@ -156,8 +158,8 @@ def _bucket(buckets: int):
 def _groups_of_bucket(part: pd.DataFrame) -> pd.DataFrame:
     """Partial groups of one bucket, largest id first, through the filter; one row per live digest."""
     live = LiveDigests(min(len(part), 1024))
-    part = part.sort_values(["last_id", "text_sha256"], ascending=[False, True], na_position="last")
-    keep: dict[bytes, object] = {}
+    part = part.sort_values(["last_id", "text_sha256"], ascending=[False, True])
+    keep: dict[bytes, int] = {}
     for text_sha256, last_id, n in zip(part["text_sha256"], part["last_id"], part["n"]):
         digest = bytes.fromhex(text_sha256)
         if live.insert(digest, int(n)):
@@ -165,7 +167,7 @@ def _groups_of_bucket(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "text_sha256": [d.hex() for d in live.copies],
-            "keep_id": pd.array([None if pd.isna(keep[d]) else int(keep[d]) for d in live.copies], dtype="Int64"),
+            "keep_id": [keep[d] for d in live.copies],
             "group_size": list(live.copies.values()),
         }
     )
@@ -178,12 +180,13 @@ def groups(marked: DataFrame, buckets: int) -> DataFrame:
     at most ``SALTS`` rows.
     """
     salted = marked.groupBy("text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(
-        F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n")
+        F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("last_id"), F.count(F.lit(1)).alias("n")
     )
     return (
         salted.select(_bucket(buckets), "text_sha256", "last_id", "n")
         .groupBy("bucket")
         .applyInPandas(lambda part: _groups_of_bucket(part), GROUP_SCHEMA)
+        .withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID)))
     )
 
 
