@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, decontam, exact_dedup, langid, simhash, token_files, url_filter
+from tapewright.llm import bpe, decontam, exact_dedup, langid, simhash, token_files, url_filter, warc
 from tapewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,22 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read_archive(spark, path))
+
+
+
+
+ORACLES["op3_warc"] = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < refers_to THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < refers_to THEN refers_to END AS refers_to
+FROM (SELECT page_id, payload_bytes, payload_digest,
+             CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS refers_to
+      FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS payload_digest FROM pages))"""
