@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -90,3 +92,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _zipped() -> str:
+    """This package as a zip file below a folder of the driver, from where Spark serves it."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    return shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tapewright-code-"), "tapewright"), "zip", os.path.dirname(package), os.path.basename(package))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once; operators with Python functions need it there."""
+    if spark.sparkContext.applicationId not in _shipped:
+        spark.sparkContext.addPyFile(_zipped())
+        _shipped.add(spark.sparkContext.applicationId)
