@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -17,7 +19,8 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def held_out(doc_id: Column | str) -> Column:
     """True for the fold that no model learns from. A null id counts as empty text, whose crc32 is 0: held out."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % FOLDS == 0
+    name = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
+    return F.crc32(name.cast("binary")) % FOLDS == 0
 
 
 def ascii_lower(text: Column) -> Column:
@@ -25,21 +28,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def sample_per_label(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each label: those with the smallest hashes of ``doc_id``; rows without a label go.
+def sample_per_label(docs: DataFrame, label: str, about: int) -> DataFrame:
+    """About ``about`` rows of each label, all of a label with fewer; rows without a label go.
 
-    The cut is one hash per label, applied as a filter, so no text moves. Rows that share an id are taken or
-    left together; where more than ``most`` of a label share the smallest hash, none of that label is taken.
+    A row is taken if the hash of its ``doc_id`` falls below the share that its label needs, so that one count per
+    label is all that is gathered and no text moves. Rows that share an id are taken or left together.
     """
-    place = F.xxhash64("doc_id")
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("place"))
-    cuts = (
-        docs.select(F.col(label).cast("string").alias("label"), place.alias("place")).filter("label is not null")
-        .withColumn("nth", nth).filter(F.col("nth") <= most + 1)
-        .groupBy("label").agg(F.max(F.when(F.col("nth") == most + 1, F.col("place"))).alias("cut")).collect()
-    )
+    name = F.col(label).cast("string")
+    sizes = docs.filter(name.isNotNull()).groupBy(name.alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a label
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     taken = F.lit(False)
-    for row in cuts:  # one row a label
-        same = F.col(label).cast("string") == row["label"]
-        taken = taken | (same if row["cut"] is None else same & (place < row["cut"]))
+    for row in sizes:
+        taken = taken | ((name == row["label"]) & (place < math.ceil(about / row["n"] * (1 << 40))))
     return docs.filter(taken)

@@ -19,19 +19,20 @@ from tapewright.llm.columns import held_out, id_and_text, sample_per_label
 
 PROFILE_SIZE = 300
 MAX_GRAM = 3
-# Bound of the sample that the profiles are learned from.
+# Size of the sample that the profiles are learned from.
 TRAIN_PER_LANGUAGE = 2_000
 UNDETERMINED = "und"
 # Below this score a text is further from every profile than any prose is; see ``accepted``.
 MIN_SCORE = 0.05
 
 _BITS = 21  # a code point
+_EDGE = 1  # a word boundary: no letter, and not 0, which would make n-grams of different lengths alike
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """Per code point: the lower-cased letter, or 0 where it is no letter."""
-    out = np.zeros(0x110000, dtype=np.int64)
+    """Per code point: the lower-cased letter, or the boundary where it is no letter."""
+    out = np.full(0x110000, _EDGE, dtype=np.int64)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
@@ -48,15 +49,15 @@ def profile(text: str, size: int = PROFILE_SIZE, longest: int = MAX_GRAM) -> tup
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     points = _letters()[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
-    padded = np.concatenate(([0], points, [0]))
-    padded = padded[np.concatenate(([True], (padded[1:] != 0) | (padded[:-1] != 0)))]
-    grams = [padded[padded != 0]]
+    padded = np.concatenate(([_EDGE], points, [_EDGE]))
+    padded = padded[np.concatenate(([True], (padded[1:] != _EDGE) | (padded[:-1] != _EDGE)))]
+    grams = [padded[padded != _EDGE]]
     code = padded
     for n in range(2, longest + 1):
         if len(padded) < n:
             break
         code = (code[: len(padded) - n + 1] << _BITS) | padded[n - 1 :]
-        grams.append(code[(padded[: len(code)] != 0) | (padded[1 : len(code) + 1] != 0)])
+        grams.append(code)
     if not len(grams[0]):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes, counts = np.unique(np.concatenate(grams), return_counts=True)
@@ -79,7 +80,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, size: int = PROFILE_SIZE) -> Profiles:
     """Ranked n-gram codes per language, from documents with a language outside the held-out fold.
 
-    At most ``per_language`` documents of a language take part (see ``sample_per_label``).
+    About ``per_language`` documents of a language take part (see ``sample_per_label``).
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     texts = sample_per_label(known.filter(~held_out("doc_id")), "lang", per_language).filter("text is not null")
