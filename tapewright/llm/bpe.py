@@ -29,7 +29,7 @@ from tapewright.llm.columns import id_and_text
 
 SHARD_BYTES = 16_000_000
 
-_WORDS = "shard int, block long, first long, words array<string>"
+_WORDS = "shard int, block long, first long, words binary"
 _IDS = "block long, first long, sizes binary, ids binary"
 _TEXTS = "block long, doc_ids binary, has_id binary, ends binary, codes binary"
 _RESULT = "doc_id long, ids array<int>, decoded string"
@@ -103,14 +103,12 @@ def _split(batches: Iterator[pa.RecordBatch], shards: int):
 
 def _words_of_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for block, _, words, bounds, _, _ in _split(batches, shards):
+        strings = words.to_pylist()
         some = np.flatnonzero(np.diff(bounds))
+        # A word holds no space, and many words of a block compress well together.
+        packed = [zstandard.compress(" ".join(strings[bounds[k] : bounds[k + 1]]).encode(), 1) for k in some]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(some.astype(np.int32)),
-                pa.array(np.full(len(some), block)),
-                pa.array(bounds[some]),
-                pa.ListArray.from_arrays(pa.array(np.append(bounds[some], bounds[-1]).astype(np.int32)), words.cast(pa.string())),
-            ],
+            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), pa.array(bounds[some]), pa.array(packed, pa.binary())],
             ["shard", "block", "first", "words"],
         )
 
@@ -126,7 +124,7 @@ def _texts_of_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator
 
 def _encode_shard(rows: pa.Table, path: str) -> pa.Table:
     """Ids of the words of one shard, a row for each block that sent some; every distinct word is encoded once."""
-    lists = rows.column("words").combine_chunks()
+    lists = pc.ascii_split_whitespace(pa.array([zstandard.decompress(w.as_py()).decode() for w in rows.column("words")], pa.large_string()))
     coded = pc.dictionary_encode(lists.flatten())
     sizes, ids = encode_words(coded.dictionary.to_pylist(), path)
     starts = np.cumsum(sizes, dtype=np.int64) - sizes

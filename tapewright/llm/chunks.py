@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text in a block; a single longer text is a block of its own.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.Table]:
