@@ -1,8 +1,8 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nystroem landmarks.
 
-The kernel of two words sums, over all character subsequences of length three, the product of their weights in
+The kernel of two words sums, over all character subsequences of length four, the product of their weights in
 both; a subsequence weighs ``DECAY`` to the power of the stretch it spans, gaps included, so inserted and spaced
-characters cost similarity without hiding a word. Nystroem features of a word are its kernel values with a set
+characters cost similarity without hiding a word. The two ends of a word count as characters. Nystroem features of a word are its kernel values with a set
 of landmark words, whitened by the landmarks' own kernel matrix. The machine is trained on the words of labelled
 sentences: words that mark toxic texts against words of clean ones, then once more with the clean words it took
 for toxic. A text scores by its strongest words, calibrated on the labelled texts.
@@ -26,10 +26,12 @@ from tapewright.llm import chunks
 from tapewright.llm.columns import held_out, id_and_text, sample_per_label
 from tapewright.session import materialize
 
-LENGTH = 3
+LENGTH = 4
 DECAY = 0.6
-SPAN = 6  # longest stretch of a subsequence
-SYMBOLS = 64
+SPAN = 7  # longest stretch of a subsequence
+SYMBOLS = 40
+START, STOP = SYMBOLS - 2, SYMBOLS - 1
+SHORTEST = 3  # letters of a word that can be toxic
 LANDMARKS = 128
 # Words that the landmarks of a class are picked from.
 CANDIDATES = 400
@@ -44,6 +46,7 @@ MARKING_RATIO, MARKING_Z, MARKING_SHARE = 10, 5.0, 0.25
 INSERTED = "xa1"
 COST = 10.0
 STRONGEST = 3
+EVIDENCE = 5
 SPACED = 4  # single letters in a row that are read as one word
 
 _NOT_LETTER = re.compile(r"[\W_]+")
@@ -55,73 +58,71 @@ def plain(word: str) -> str:
 
 
 def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the words as rows of symbols (0 pads), and the word of each window. Shorter words than three have none."""
+    """Windows of the words as rows of symbols (0 pads), and the word of each window. Words that are too short have none."""
     pieces, owner = [], []
     for k, word in enumerate(words):
-        for start in range(0, max(1, len(word) - WINDOW // 2), WINDOW // 2):
-            piece = word[start : start + WINDOW]
-            if len(piece) >= LENGTH:
-                pieces.append(piece)
+        if len(word) >= SHORTEST:
+            framed = f"\x01{word}\x02"
+            for start in range(0, max(1, len(framed) - WINDOW // 2), WINDOW // 2):
+                pieces.append(framed[start : start + WINDOW])
                 owner.append(k)
-    points = np.zeros((len(pieces), WINDOW), dtype=np.int64)
+    points = np.zeros((len(pieces), WINDOW), dtype=np.int32)
     if pieces:
         sizes = np.array([len(p) for p in pieces])
-        flat = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        points[np.arange(WINDOW) < sizes[:, None]] = flat
+        points[np.arange(WINDOW) < sizes[:, None]] = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype="<u4")
+    # a-z and the two ends have symbols of their own, all other characters share the rest.
     letter = (points >= ord("a")) & (points <= ord("z"))
-    # a-z have symbols of their own, all other characters share the rest.
-    return np.where(points == 0, 0, np.where(letter, points - ord("a") + 1, 27 + points % (SYMBOLS - 27))), np.array(owner, dtype=np.int64)
+    symbols = np.where(letter, points - ord("a") + 1, 27 + points % (START - 27))
+    for point, symbol in ((0, 0), (1, START), (2, STOP)):
+        symbols[points == point] = symbol
+    return symbols, np.array(owner, dtype=np.int64)
 
 
-_STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
+_STEPS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
 
 
-def _subsequences(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Rows, subsequence codes and weight for every choice of three places; rows must be sorted by length, longest first."""
-    lengths = (symbols > 0).sum(axis=1)
+def _subsequences(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+    """Number of rows, their subsequence codes and weight for every choice of four places.
+
+    Rows must be sorted by length, longest first: a choice holds for the first rows.
+    """
+    lengths = -(symbols > 0).sum(axis=1)
     for start in range(WINDOW - LENGTH + 1):
-        for j, k in _STEPS:
-            n = int(np.searchsorted(-lengths, -(start + k + 1), side="right"))
+        for i, j, k in _STEPS:
+            n = int(np.searchsorted(lengths, -(start + k + 1), side="right"))
             if start + k < WINDOW and n:
-                a, b, c = symbols[:n, start], symbols[:n, start + j], symbols[:n, start + k]
-                yield np.arange(n), (a * SYMBOLS + b) * SYMBOLS + c, DECAY ** (k + 1)
+                a, b, c, d = (symbols[:n, start + step] for step in (0, i, j, k))
+                yield n, ((a * SYMBOLS + b) * SYMBOLS + c) * SYMBOLS + d, DECAY ** (k + 1)
 
 
 def _norms() -> np.ndarray:
     """By length of a window: the norm it would have if its subsequences were all different, 1 where it has none."""
     squares = np.zeros(WINDOW + 1)
     for length in range(LENGTH, WINDOW + 1):
-        squares[length] = sum(DECAY ** (2 * (k + 1)) for start in range(length) for _, k in _STEPS if start + k < length)
+        squares[length] = sum(DECAY ** (2 * (steps[-1] + 1)) for start in range(length) for steps in _STEPS if start + steps[-1] < length)
     return np.sqrt(np.where(squares > 0, squares, 1.0))
 
 
 _NORM = _norms()
 
 
-def _applied(words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per window: sum of the ``weights`` rows of its subsequences over its norm, and the word it belongs to."""
+def _sorted_windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows longest first, the word of each and its norm."""
     symbols, owner = _symbols(words)
     lengths = (symbols > 0).sum(axis=1)
     order = np.argsort(-lengths, kind="stable")
-    symbols, lengths = symbols[order], lengths[order]
-    out = np.zeros((len(symbols), *weights.shape[1:]), dtype=np.float32)
-    for rows, codes, weight in _subsequences(symbols):
-        out[: len(rows)] += np.float32(weight) * weights[codes]
-    norm = _NORM[lengths].astype(np.float32)
-    return out / norm.reshape(-1, *[1] * (out.ndim - 1)), owner[order]
+    return symbols[order], owner[order], _NORM[lengths[order]].astype(np.float32)
 
 
 def _explicit(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the subsequences of each word (one window each), normalized, and their codes: the kernel is their product."""
-    symbols, owner = _symbols([w[:WINDOW] for w in words])
-    lengths = (symbols > 0).sum(axis=1)
-    order = np.argsort(-lengths, kind="stable")
-    found = [(owner[order][rows], codes, weight) for rows, codes, weight in _subsequences(symbols[order])]
+    """Weights of the subsequences of each word (its first window), normalized, and their codes: the kernel is their product."""
+    symbols, owner, norm = _sorted_windows([w[: WINDOW - 2] for w in words])
+    found = list(_subsequences(symbols))
     codes = np.unique(np.concatenate([c for _, c, _ in found])) if found else np.empty(0, np.int64)
     out = np.zeros((len(words), len(codes)), dtype=np.float32)
-    for rows, own, weight in found:
-        np.add.at(out, (rows, np.searchsorted(codes, own)), np.float32(weight))
-    out[owner] /= _NORM[lengths][:, None].astype(np.float32)
+    for n, own, weight in found:
+        np.add.at(out, (owner[:n], np.searchsorted(codes, own)), np.float32(weight))
+    out[owner] /= norm[:, None]
     return out, codes
 
 
@@ -145,21 +146,24 @@ def _spread_out(words: list[str], most: int) -> list[str]:
 
 
 class Machine(NamedTuple):
-    """Weight per subsequence, and the calibration of a text's strongest words."""
+    """Weight per subsequence code, bias of a word, and the calibration of a text's evidence (see ``_evidence``)."""
 
     weights: np.ndarray
     bias: float
-    calibration: np.ndarray  # strongest word, mean of the strongest words, constant
+    calibration: np.ndarray
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Decision value per plain word: positive is toxic. Words without a subsequence have the lowest there is."""
-        out = np.full(len(words), -1.0, dtype=np.float64)
-        values, owner = _applied(words, self.weights)
-        np.maximum.at(out, owner, np.maximum(values + self.bias, -1.0))
+        """Decision value per plain word, at least -1: positive is toxic. Words that are too short have -1."""
+        symbols, owner, norm = _sorted_windows(words)
+        sums = np.zeros(len(symbols), dtype=np.float32)
+        for n, codes, weight in _subsequences(symbols):
+            sums[:n] += np.float32(weight) * self.weights[codes]
+        out = np.full(len(words), -1.0)
+        np.maximum.at(out, owner, sums / norm + self.bias)
         return out
 
-    def probability(self, strongest: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(strongest @ self.calibration[:2] + self.calibration[2], -30, 30)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(evidence @ self.calibration[:-1] + self.calibration[-1], -30, 30)))
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -201,47 +205,64 @@ def fit_words(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) ->
     known, codes = _explicit(marks)
     values, vectors = np.linalg.eigh((known @ known.T).astype(np.float64))
     good = values > 1e-6 * values.max()
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    # Kernel values with the landmarks, whitened: a matrix from subsequences to features.
-    to_features = np.zeros((SYMBOLS**LENGTH, whiten.shape[1]), dtype=np.float32)
-    to_features[codes] = known.T @ whiten
-    features, owner = _applied([w[:WINDOW] for w in toxic + clean], to_features)
+    # Kernel values with the landmarks, whitened: a matrix from subsequences to features, its last row for all others.
+    to_features = np.vstack([known.T @ (vectors[:, good] / np.sqrt(values[good])), np.zeros(int(good.sum()))]).astype(np.float32)
+    at = np.full(SYMBOLS**LENGTH, len(codes), dtype=np.int32)
+    at[codes] = np.arange(len(codes))
+    symbols, owner, norm = _sorted_windows([w[: WINDOW - 2] for w in toxic + clean])
+    features = np.zeros((len(symbols), to_features.shape[1]), dtype=np.float32)
+    for n, own, weight in _subsequences(symbols):
+        features[:n] += np.float32(weight) * to_features[at[own]]
     y = np.where(owner < len(toxic), 1.0, -1.0)
     cost = np.where(y > 0, COST / max(1, (y > 0).sum()), COST / max(1, (y < 0).sum())) * 100
-    w = _squared_hinge(features, y, cost)
-    return (to_features @ w[:-1]).astype(np.float32), float(w[-1])
+    w = _squared_hinge(features / norm[:, None], y, cost)
+    weights = np.zeros(SYMBOLS**LENGTH, dtype=np.float32)
+    weights[codes] = to_features[:-1] @ w[:-1]
+    return weights, float(w[-1])
+
 
+def _evidence(values: np.ndarray) -> tuple[float, ...]:
+    """What the values of a text's distinct words say of it.
 
-def _strongest(batches: Iterator[pa.RecordBatch], machine: Machine):
-    """Blocks as (rows, strongest word value, mean of the strongest few distinct words) per text; -1 for no word."""
+    The strongest, the mean of the strongest few and how many are toxic; the first and the last once more, weighed
+    by the length of the text, as a long one holds words like toxic ones by chance. A text without toxic words has
+    no part that depends on its length.
+    """
+    if not len(values):
+        return -1.0, -1.0, 0.0, 0.0, 0.0
+    top = np.partition(values, max(0, len(values) - STRONGEST))[-STRONGEST:]
+    strongest, mean = float(top.max()), float((top.sum() - (STRONGEST - len(top))) / STRONGEST)
+    many, length = float(np.log1p((values > 0).sum())), float(np.log1p(len(values)))
+    return strongest, mean, many, max(strongest, 0.0) * length, many * length
+
+
+def _texts(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Blocks of rows with the evidence of their texts. Letters written one by one count as a word as well."""
     for rows in chunks.blocks(batches):
         words, codes, ends = chunks.factorize(rows.column("text"))
         strings = [plain(w) for w in words.to_pylist()]
         values = machine.words(strings)
-        out = np.full((len(rows), 2), -1.0)
         begins = np.concatenate(([0], ends[:-1]))
-        for k, (begin, end) in enumerate(zip(begins, ends)):
-            if end > begin:
-                own = values[np.unique(codes[begin:end])]
-                top = np.sort(np.partition(own, max(0, len(own) - STRONGEST))[-STRONGEST:])
-                out[k] = top[-1], (top.sum() - (STRONGEST - len(top))) / STRONGEST
-        # Letters written one by one.
         single = np.array([len(s) == 1 for s in strings], dtype=bool)[codes]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
+        spelled: dict[int, list[str]] = {}
         for begin, end in zip(edges[::2], edges[1::2]):
             if end - begin >= SPACED:
                 for k in range(int(np.searchsorted(ends, begin, side="right")), int(np.searchsorted(ends, end, side="left")) + 1):
-                    spelled = "".join(strings[c] for c in codes[max(begin, begins[k]) : min(end, ends[k])])
-                    value = float(machine.words([spelled])[0])
-                    if len(spelled) >= SPACED and value > out[k, 0]:
-                        out[k] = value, out[k, 1] + (value + 1) / STRONGEST
+                    spelled.setdefault(k, []).append("".join(strings[c] for c in codes[max(begin, begins[k]) : min(end, ends[k])]))
+        out = np.empty((len(rows), EVIDENCE))
+        for k, (begin, end) in enumerate(zip(begins, ends)):
+            own = values[np.unique(codes[begin:end])]
+            if k in spelled:
+                own = np.concatenate([own, machine.words([s for s in spelled[k] if len(s) >= SPACED])])
+            out[k] = _evidence(own)
         yield rows, out
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, most_words: int = TRAIN_WORDS) -> Machine | None:
     """A machine from the labelled documents outside the held-out fold; None unless both labels occur.
 
-    At most ``per_label`` documents of each label and ``most_words`` words of each class take part. Documents with
+    About ``per_label`` documents of each label and at most ``most_words`` words of each class take part. Documents with
     a null label are not labelled; of several labels of a document the largest counts.
     """
     marked = (
@@ -251,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     )
     chosen = sample_per_label(marked, "toxic", per_label).withColumnRenamed("doc_id", "l_id")
     texts = id_and_text(docs)
-    # At most 2 * per_label rows of two numbers.
+    # About 2 * per_label rows of two numbers, whatever the number of labels.
     sample = materialize(texts.join(F.broadcast(chosen), texts["doc_id"] == F.col("l_id")).select("doc_id", "text", "toxic"), "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic_n, clean_n = sizes.get(1, 0), sizes.get(0, 0)
@@ -273,13 +294,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     if not marking or not clean:
         return None
     marking += [w[:at] + c + w[at:] for w in marking for c, at in zip(INSERTED, (len(w) // 3, len(w) // 2, 2 * len(w) // 3))]
-    machine = Machine(*fit_words(marking, clean), np.zeros(3))
+    machine = Machine(*fit_words(marking, clean), np.zeros(EVIDENCE + 1))
     # Clean words that the first machine takes for toxic join the second training.
     hard = ordinary.select("word").mapInArrow(lambda batches: _word_values(batches, machine), "word string, value double")
     mistaken = [r["word"] for r in hard.filter("value > -0.5").orderBy(F.desc("value"), "word").limit(most_words // 2).collect()]
-    machine = Machine(*fit_words(marking, sorted(set(clean + mistaken))), np.zeros(3))
-    rows = sample.mapInArrow(lambda batches: _sample_values(batches, machine), "toxic int, top double, mean double").collect()
-    x = np.array([[r["top"], r["mean"]] for r in rows])
+    machine = Machine(*fit_words(marking, sorted(set(clean + mistaken))), np.zeros(EVIDENCE + 1))
+    rows = sample.mapInArrow(lambda batches: _sample_evidence(batches, machine), "toxic int, evidence array<double>").collect()
+    x = np.array([r["evidence"] for r in rows])
     return machine._replace(calibration=_logistic(x, np.array([r["toxic"] for r in rows], dtype=np.float64)))
 
 
@@ -294,7 +315,7 @@ def _contexts(sample: DataFrame) -> DataFrame:
             found = set()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = [w for w in map(plain, text.split()) if w]
-                found |= {(w[:WINDOW], b[:WINDOW], toxic) for w, b in zip(words, ["", *words]) if len(w) >= LENGTH}
+                found |= {(w[:WINDOW], b[:WINDOW], toxic) for w, b in zip(words, ["", *words]) if len(w) >= SHORTEST}
             rows = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())],
@@ -311,10 +332,9 @@ def _word_values(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(machine.words(batch.column("word").to_pylist()))], ["word", "value"])
 
 
-def _sample_values(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
-    for rows, found in _strongest(batches, machine):
-        columns = [rows.column("toxic").combine_chunks(), pa.array(found[:, 0]), pa.array(found[:, 1])]
-        yield pa.RecordBatch.from_arrays(columns, ["toxic", "top", "mean"])
+def _sample_evidence(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
+    for rows, found in _texts(batches, machine):
+        yield pa.RecordBatch.from_arrays([rows.column("toxic").combine_chunks(), pa.array(found.tolist(), pa.list_(pa.float64()))], ["toxic", "evidence"])
 
 
 def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +344,7 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
         return texts.select("doc_id", F.lit(0.0).alias("score"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, found in _strongest(batches, machine):
+        for rows, found in _texts(batches, machine):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array(machine.probability(found))], ["doc_id", "score"])
 
     return texts.mapInArrow(of_batches, "doc_id long, score double")
