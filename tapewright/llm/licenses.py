@@ -76,20 +76,20 @@ LICENSES = [
     ("pddl", ["public domain dedication and license"], "pddl", "opendatacommons.org/licenses/pddl", "1.0"),
 ]
 
-# Notices that are no license of a name; label, keyword, pattern with blanks for separators, weight.
+# Notices that are no license of a name; label, keyword (one word), pattern with blanks for separators, weight.
 NOTICES = [
     ("proprietary", "reserved", "all rights reserved", 0.6),
-    ("proprietary", "reserved", "tous droits r..serv..s", 0.6),
+    ("proprietary", "droits", "tous droits r..serv..s", 0.6),
     ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)", 0.7),
     ("proprietary", "permission", "may not be (?:reproduced|copied|distributed) without (?:the )?(?:prior )?(?:written )?permission", 0.7),
-    ("public-domain", "public domain", "(?:released|dedicated|placed|is) (?:to|in|into) the public domain", 0.8),
-    ("public-domain", "public domain", "public domain", 0.5),
+    ("public-domain", "domain", "(?:released|dedicated|placed|is) (?:to|in|into) the public domain", 0.8),
+    ("public-domain", "domain", "public domain", 0.5),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 0.4),
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software", 1.0),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 1.0),
-    ("isc", "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose", 1.0),
-    ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
-    ("zlib", "as-is", "this software is provided as is without any express or implied warranty in no event will the authors", 0.9),
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software", 1.0),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 1.0),
+    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose", 1.0),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors", 0.9),
     ("boost", "boost", "distributed under the boost software license", 0.9),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1.0),
 ]
