@@ -9,35 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright import params as P
-from tapewright.functions.contract import contract_right
+from tapewright.functions.contract import contract_expiry, contract_right, contract_symbol
 from tapewright.functions.measures import implied_sign
 from tapewright.operators import capture, chain, coverage, events, flow, history, study, tape
 from tapewright.operators.ranking import first_per_key
-from tapewright.plans import collection, feature_table, screening
-from tapewright.schemas import FEATURE_COLUMNS, FEATURE_FLAGS, TAPE
-from tapewright.session import build_session, materialize, read_if_present
+from tapewright.plans import collection, feature_table, ingest, screening
+from tapewright.schemas import FEATURE_COLUMNS, FEATURE_FLAGS
+from tapewright.session import build_session, materialize, read_if_present, scratch_path, scratch_scope, sized
 from tapewright.sources import files, readers, sinks
-from tapewright.streaming import source, ticks
 
+# Options that name a folder a job reads.
+INPUTS = ("landing", "table", "volumes", "captured", "chains", "bars")
 
-def ingest_ticks(spark: SparkSession, landing: str, table: str) -> None:
-    """Landed ticks of their file's session that the table does not hold yet, appended to it."""
-    landed = readers.read_landed_ticks(spark, landing)
-    sealed = tape.seal_session(landed, F.coalesce("file_day", "trade_date")).select(*TAPE.fieldNames())
-    held = read_if_present(spark, table, TAPE)
-    fresh = tape.dedup_ticks(sealed) if held is None else tape.new_ticks(sealed, held)
-    sinks.append_tape(materialize(fresh, "fresh-ticks"), table)
+
+def ingest_ticks(spark: SparkSession, landing: str, table: str) -> dict[str, DataFrame]:
+    """Ticks of new and changed files, of their file's session and not in the table yet, appended to it.
+
+    Returns rows kept and refused per session, and the files that could not be read.
+    """
+    counts = ingest.ingest_changed(spark, landing, table)
+    unreadable = readers.unreadable_files(spark, landing, readers.TICK_HEADER)
+    return {"unreadable": unreadable} if counts is None else {"sealed": counts, "unreadable": unreadable}
 
 
 def stream_ticks(spark: SparkSession, landing: str, table: str, checkpoint: str) -> None:
     """The same as a stream that flushes every minute; runs until stopped."""
-    unique = ticks.dedup_sessions(source.stream_landed_ticks(spark, landing)).drop("session_start")
-    source.append_partitions(unique, table, checkpoint).awaitTermination()
+    ingest.ingest_stream(spark, landing, table, checkpoint).awaitTermination()
 
 
 def ingest_chains(spark: SparkSession, landing: str, table: str) -> DataFrame:
     """Landed chain snapshots; the partition of a symbol and day is replaced. Returns contracts per symbol."""
-    snapshot = readers.read_landed_chains(spark, landing).filter("symbol is not null and snap_date is not null")
+    snapshot = readers.read_landed_chains(spark, landing)
     sinks.replace_partitions(snapshot, table)
     return chain.snapshot_totals(snapshot)
 
@@ -68,10 +70,10 @@ def build_features(spark: SparkSession, table: str, out: str, csv: bool = False)
 
 
 def screen(spark: SparkSession, table: str, tickers: list[str]) -> DataFrame:
-    """Top calls and puts of the tickers on the latest snapshot day."""
+    """Top calls and puts of the tickers, each on its own latest snapshot day."""
     chains = spark.read.parquet(table)
-    latest = chains.agg(F.max("snap_date").alias("snap_date"))
-    return screening.screen_tickers(chains.join(latest, "snap_date"), tickers).orderBy(
+    latest = chains.groupBy("symbol").agg(F.max("snap_date").alias("snap_date"))
+    return screening.screen_tickers(chains.join(latest, ["symbol", "snap_date"]), tickers).orderBy(
         "symbol", "option_type", "screen_rank"
     )
 
@@ -91,8 +93,14 @@ def check_capture(spark: SparkSession, table: str, volumes: str, out: str, as_of
     sinks.write_capture(records.join(todo.select("day", "fingerprint"), "day"), f"{out}/days")
 
 
-def qualified_events(spark: SparkSession, table: str, captured: str) -> DataFrame:
+def event_contracts(spark: SparkSession, captured: str) -> DataFrame:
+    """Measured contracts of the event symbols: capture of other symbols decides nothing."""
     contracts = spark.read.parquet(f"{captured}/contracts")
+    return contracts.filter(contract_symbol(F.col("code")).isin(P.EVENT_SYMBOLS))
+
+
+def qualified_events(spark: SparkSession, table: str, captured: str) -> DataFrame:
+    contracts = event_contracts(spark, captured)
     found = flow.cluster_events(readers.read_tape(spark, table), ["code", "symbol", "trade_date"])
     ours = found.filter(F.col("symbol").isin(P.EVENT_SYMBOLS)).withColumnRenamed("trade_date", "day")
     return events.qualify_events(ours, capture.capture_days(contracts), contracts)
@@ -101,7 +109,7 @@ def qualified_events(spark: SparkSession, table: str, captured: str) -> DataFram
 def status(spark: SparkSession, table: str, captured: str, chains: str, as_of: dt.date) -> dict[str, DataFrame]:
     """Daily detail, alerts, progress and event distributions of the collection."""
     rows = readers.read_tape(spark, table).filter(F.col("symbol").isin(P.EVENT_SYMBOLS))
-    days = materialize(capture.capture_days(spark.read.parquet(f"{captured}/contracts")), "capture-days")
+    days = materialize(capture.capture_days(event_contracts(spark, captured)), "capture-days")
     found = materialize(qualified_events(spark, table, captured), "events")
     snaps = spark.read.parquet(chains).select(F.col("snap_date").alias("day"), "symbol")
     collected = materialize(rows.select(F.col("trade_date").alias("day")).distinct(), "days")
@@ -135,21 +143,23 @@ def missing_bars(spark: SparkSession, table: str, bars: str) -> DataFrame:
 
 
 def run_study(
-    spark: SparkSession, table: str, captured: str, bars: str, as_of: dt.date, seed: int = 0
+    spark: SparkSession, table: str, captured: str, bars: str, as_of: dt.date, seed: int = 0, label: str = "start"
 ) -> dict[str, DataFrame]:
-    """The event study, refused until the stopping rule is met."""
+    """The event study over contracts with more than a day left and a gap-free tape, refused until the stopping rule is met."""
     found = materialize(qualified_events(spark, table, captured), "events")
-    days = capture.capture_days(spark.read.parquet(f"{captured}/contracts"))
+    days = capture.capture_days(event_contracts(spark, captured))
     if not events.progress(found, days, as_of).first()["stop"]:
         raise ValueError("the stopping rule is not met; outcomes stay sealed")
-    counted = events.valid_days(found, P.EXPERIMENT_START).filter("qualified = 1")
+    counted = events.valid_days(found, P.EXPERIMENT_START).filter("qualified = 1").withColumn("trade_date", F.col("day"))
+    checks = tape.gap_free(readers.read_tape(spark, table))
+    counted = events.eligible_clusters(counted, contract_expiry(F.col("code")), checks).drop("trade_date")
     signed = counted.withColumn("sign", implied_sign(contract_right(F.col("code")), F.col("direction")))
     minutes = readers.read_bars(spark, bars).select("symbol", "minute", "close")
     minutes = first_per_key(minutes, ["symbol", "minute"], ["close"])  # fetched pages may overlap
-    returns = study.minute_returns(study.minute_grid(minutes, day_end_minute=16 * 60 - 1))
+    returns = study.minute_returns(study.minute_grid(minutes, day_end_minute=16 * 60 - 1, label=label))
     matched = study.matched_controls(study.event_returns(signed, returns), ["code", "time", "direction"], seed=seed)
     excess = materialize(study.event_excess(matched).drop("controls"), "excess")
-    return {"symbols": study.study_by_symbol(excess), "decision": study.study_decision(excess)}
+    return {"symbols": study.study_by_symbol(excess), "decision": study.study_decision(excess, P.EVENT_SYMBOLS)}
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -160,6 +170,7 @@ def _parser() -> argparse.ArgumentParser:
         sub = jobs.add_parser(name, help=run.__doc__)
         for path in paths:
             sub.add_argument(path)
+        sub.add_argument("--results", help="folder for the job's result tables; a fresh one of the shared folder by default")
         for option, settings in options.items():
             sub.add_argument(f"--{option.replace('_', '-')}", **settings)
         sub.set_defaults(run=run)
@@ -175,18 +186,23 @@ def _parser() -> argparse.ArgumentParser:
     job("status", status, "table", "captured", "chains", as_of=date)
     job("day", day, "table", "captured", on=date)
     job("missing-bars", missing_bars, "table", "bars")
-    job("study", run_study, "table", "captured", "bars", as_of=date, seed={"type": int, "default": 0})
+    bar = {"choices": ["start", "end"], "default": "start"}
+    job("study", run_study, "table", "captured", "bars", as_of=date, seed={"type": int, "default": 0}, label=bar)
     return parser
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     options = vars(_parser().parse_args(arguments))
-    run, name = options.pop("run"), options.pop("job")
-    result = run(spark or build_session(f"tapewright-{name}"), **options)
-    frames = result if isinstance(result, dict) else {name: result} if result is not None else {}
-    for title, frame in frames.items():
-        print(title)
-        frame.show(100, truncate=False)
+    run, name, results = options.pop("run"), options.pop("job"), options.pop("results")
+    session = spark or build_session(f"tapewright-{name}")
+    results = results or scratch_path(session, f"{name}-results")
+    folders = [v for k, v in options.items() if isinstance(v, str) and k in INPUTS]
+    with sized(session, files.total_bytes(session, folders)), scratch_scope(session):
+        result = run(session, **options)
+        frames = result if isinstance(result, dict) else {name: result} if result is not None else {}
+        for title, frame in frames.items():
+            frame.write.mode("overwrite").parquet(f"{results}/{title}")
+            print(f"{title}: {session.read.parquet(f'{results}/{title}').count()} rows in {results}/{title}")
 
 
 if __name__ == "__main__":

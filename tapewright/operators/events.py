@@ -113,7 +113,9 @@ def progress(
     totals = both.agg(F.sum("valid_days").alias("valid_days"), F.sum("qualifying_events").alias("qualifying_events"))
     per_day = F.coalesce(ratio(F.col("qualifying_events"), F.col("valid_days")), F.lit(0.0))
     event_days = F.when(F.col("per_day") > 0, F.col("need_events") / F.col("per_day")).otherwise(0.0)
-    steps = F.least(F.ceil("eta_days"), F.lit(100_000))
+    # One weekday beyond those that are left reaches the hard stop, however far away the projection is.
+    left = sum((as_of + dt.timedelta(days=d)).weekday() < 5 for d in range(1, max(0, (hard_stop - as_of).days) + 1))
+    steps = F.least(F.ceil("eta_days"), F.lit(left + 1))
     return (
         totals.withColumn("per_day", per_day)
         .withColumn("need_days", F.greatest(F.lit(target_days) - F.col("valid_days"), F.lit(0)))

@@ -144,13 +144,17 @@ def study_by_symbol(excess: DataFrame) -> DataFrame:
     return study_rows(excess).filter("is_total = 0").drop("is_total")
 
 
-def study_decision(excess: DataFrame) -> DataFrame:
-    """Overall excess, t-statistic, agreement of the symbols and the GO / KILL / AMBIGUOUS decision."""
+def study_decision(excess: DataFrame, symbols: Sequence | None = None) -> DataFrame:
+    """Overall excess, t-statistic, agreement of the symbols and the GO / KILL / AMBIGUOUS decision.
+
+    ``symbols`` lists the symbols of the protocol: GO needs all of them positive, so a silent one blocks it. Without
+    the list, the symbols that have events count.
+    """
     total, part = F.col("is_total") == 1, F.col("is_total") == 0
     measures = ["events", "mean_signed_return", "mean_control_return", "excess", "t_stat"]
     summary = study_rows(excess).agg(
         *[F.max(F.when(total, F.col(m))).alias(m) for m in measures],
-        F.count(F.when(part, F.col("excess"))).alias("symbols"),
+        (F.count(F.when(part, F.col("excess"))) if symbols is None else F.lit(len(symbols)).cast("bigint")).alias("symbols"),
         F.count_if(part & (F.col("excess") > 0)).alias("positive_symbols"),
         F.count_if(part & (F.col("excess") < 0)).alias("negative_symbols"),
     )

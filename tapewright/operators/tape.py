@@ -11,6 +11,8 @@ from tapewright import params as P
 from tapewright.operators.ranking import first_per_key
 
 TICK_KEY = ("code", "sequence")
+# Sequence numbers start anew each day, so a stored tick is known by its session as well.
+SESSION_KEY = ("code", "trade_date", "sequence")
 
 
 def dedup_ticks(tape: DataFrame, keys: Sequence[str] = TICK_KEY, order: Sequence[Column | str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 import os
@@ -37,7 +38,7 @@ SHUFFLE_TARGET_BYTES = 256 * 1024 * 1024
 
 def shuffle_partitions(input_bytes: int) -> int:
     """Shuffle partitions for an input size; adaptive execution merges those that stay small."""
-    return min(max(math.ceil(input_bytes / SHUFFLE_TARGET_BYTES), 200), 100_000)
+    return max(math.ceil(input_bytes / SHUFFLE_TARGET_BYTES), 200)
 
 
 def build_session(
@@ -53,11 +54,39 @@ def build_session(
     return builder.getOrCreate()
 
 
+@contextlib.contextmanager
+def sized(spark: SparkSession, input_bytes: int):
+    """Shuffles sized for an input while the scope lasts; a larger setting stays."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if input_bytes > SHUFFLE_TARGET_BYTES:
+        spark.conf.set(name, str(max(int(before), shuffle_partitions(input_bytes))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="tapewright-")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the intermediate tables that ``materialize`` writes inside the scope when it ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -90,6 +119,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     for a small lookup table and a shuffled join for a large one.
     """
     path = scratch_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

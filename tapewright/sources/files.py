@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,9 @@ from tapewright.operators.capture import fingerprint_text
 
 # File name formats.
 TICK_FILE = r"(US_[A-Z]+\d{6}[CP]\d+)_(\d{4}-\d{2}-\d{2})\.csv$"
-SYMBOL_FILE = r"US_([A-Z]+)_(\d{4}-\d{2}-\d{2})(?:_[a-z_]+)?\.csv$"
+SYMBOL_FILE = r"US_([A-Z]+)_(\d{4}-\d{2}-\d{2})\.csv$"
+COLLECTOR_FILE = r"US_([A-Z]+)_(\d{4}-\d{2}-\d{2})_(collector(?:_repick)?)\.csv$"
+PASS_FILE = r"US_([A-Z]+)_(\d{4}-\d{2}-\d{2})(?:_[a-z_]+)?\.csv$"
 HISTORY_FILE = r"US_([A-Z]+)_(stat|vol)\.csv$"
 
 
@@ -34,6 +39,18 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "modificationTime", "length")
 
 
+def total_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Size of all files below the paths; a path that does not exist yet counts nothing."""
+    total = 0
+    for path in paths:
+        try:
+            total += list_files(spark, path).agg(F.sum("length")).first()[0] or 0
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return total
+
+
 def tick_file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """Landed contract-day files: count and newest modification second per day."""
     files = list_files(spark, path).withColumn("day", tick_file_day(F.col("name"))).filter("day is not null")

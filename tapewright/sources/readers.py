@@ -1,8 +1,10 @@
 """Typed readers for landed CSV files and for the tables written from them.
 
 Landed columns are matched by header name, never by position: vendor files
-carry extra columns in an order of their own. Files of one folder must agree
-on the header; a file that does not fails the read instead of shifting values.
+carry extra columns in an order of their own. Ticks and chains are matched file
+by file, so files of one folder may differ; a file without the header is left
+out and listed by ``unreadable_files``. The other kinds come from one writer
+each: there, a file with another header fails the read.
 """
 
 from __future__ import annotations
@@ -39,11 +41,56 @@ def _csv(
     return raw.select(*typed, *[c.alias(n) for n, c in (named or {}).items()])
 
 
-def read_landed_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """Contract-day files; contract and day of the file name are added as ``file_code`` and ``file_day``."""
-    named = _csv(
-        spark, S.TICK, path, named={"file_code": files.tick_file_code(), "file_day": files.tick_file_day()}
-    )
+# Names that a line must hold to be the header of its file.
+TICK_HEADER = ("time", "sequence")
+CHAIN_HEADER = ("code", "option_type")
+
+# A comma outside quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def landed_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of landed CSV files with the path of their file."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    return reader.text(paths if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def _fields(lines: DataFrame, header: Sequence[str]) -> DataFrame:
+    cells = F.transform(F.split(F.rtrim("value"), _COMMA), lambda c: F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    split = lines.withColumn("cells", cells)
+    return split.withColumn("is_header", F.array_size(F.array_intersect(F.transform("cells", F.lower), F.array(*map(F.lit, header)))) == len(header))
+
+
+def _headers(lines: DataFrame, header: Sequence[str]) -> DataFrame:
+    """One row a file: its columns by name."""
+    return _fields(lines, header).filter("is_header").groupBy("file").agg(F.first(F.transform("cells", F.lower)).alias("columns"))
+
+
+def by_name(lines: DataFrame, schema: T.StructType, header: Sequence[str]) -> DataFrame:
+    """Typed columns of ``schema`` of all lines, each matched by the header of its own file, and the file's name.
+
+    A column that a file lacks is null, and so is a value that does not parse. Files without a header give nothing.
+    """
+    rows = _fields(lines, header).filter(~F.col("is_header")).select("file", "cells").join(_headers(lines, header), "file")
+    typed = [
+        F.when(F.array_contains("columns", f.name), F.try_element_at("cells", F.array_position("columns", f.name).cast("int")))
+        .try_cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ]
+    return rows.select(*typed, F.element_at(F.split("file", "/"), -1).alias("file_name"))
+
+
+def unreadable_files(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
+    """Names of landed files in which no line is a header."""
+    listed = files.list_files(spark, path).filter(F.col("name").endswith(".csv"))
+    good = _headers(landed_lines(spark, path), header).select(F.element_at(F.split("file", "/"), -1).alias("name"))
+    return listed.join(good, "name", "left_anti").select("name")
+
+
+def typed_ticks(lines: DataFrame) -> DataFrame:
+    """Ticks of landed lines, of a batch or of a micro-batch of a stream; see ``read_landed_ticks``."""
+    name = F.col("file_name")
+    named = by_name(lines, S.TICK, TICK_HEADER).withColumns({"file_code": files.tick_file_code(name), "file_day": files.tick_file_day(name)})
     ts = parse_time(F.col("time"))
     return named.select(
         "code", contract_symbol(F.coalesce("file_code", "code")).alias("symbol"), "time", ts.alias("ts"),
@@ -52,23 +99,37 @@ def read_landed_ticks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_landed_ticks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Contract-day files; contract and day of the file name are added as ``file_code`` and ``file_day``."""
+    return typed_ticks(landed_lines(spark, path))
+
+
 def read_tape(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.TAPE).parquet(path)
 
 
-def _snapshots(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    day = F.to_date(files.named_part(files.SYMBOL_FILE, 2))
-    return _csv(spark, schema, path, named={"symbol": files.named_part(files.SYMBOL_FILE, 1), "snap_date": day})
+def _chains(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    rows = by_name(landed_lines(spark, path), S.CHAIN, CHAIN_HEADER)
+    part = lambda group: files.named_part(pattern, group, F.col("file_name"))
+    named = rows.withColumns({"symbol": part(1), "snap_date": F.to_date(part(2)), "tag": part(3) if "collector" in pattern else F.lit(None).cast("string")})
+    return named.filter("symbol is not null and snap_date is not null").withColumn("expiry", contract_expiry(F.col("code"))).drop("file_name")
 
 
 def read_landed_chains(spark: SparkSession, path: str) -> DataFrame:
-    """Daily chain snapshots with symbol and day of the file name and the contract's expiry."""
-    return _snapshots(spark, S.CHAIN, path).withColumn("expiry", contract_expiry(F.col("code")))
+    """Daily chain snapshots with symbol and day of the file name and the contract's expiry; collector files are left out."""
+    return _chains(spark, path, files.SYMBOL_FILE).drop("tag")
+
+
+def read_collector_chains(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots that the collector took when it picked contracts, with the ``tag`` of the pick."""
+    return _chains(spark, path, files.COLLECTOR_FILE)
 
 
 def read_landed_intraday(spark: SparkSession, path: str) -> DataFrame:
     """Intraday chain states; every row carries the time of its pass."""
-    return _snapshots(spark, T.StructType([*S.INTRADAY.fields, T.StructField("snap_time", T.StringType())]), path)
+    schema = T.StructType([*S.INTRADAY.fields, T.StructField("snap_time", T.StringType())])
+    day = F.to_date(files.named_part(files.PASS_FILE, 2))
+    return _csv(spark, schema, path, named={"symbol": files.named_part(files.PASS_FILE, 1), "snap_date": day})
 
 
 def read_symbol_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

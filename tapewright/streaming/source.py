@@ -36,6 +36,14 @@ def stream_landed_ticks(
     )
 
 
+def stream_landed_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Lines of new CSV files with the path of their file; a micro-batch holds whole files, so each keeps its own header."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table or a single file as a stream with the schema it has now.
 

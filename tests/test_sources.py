@@ -33,12 +33,22 @@ def test_landed_ticks_match_columns_by_name(spark, tmp_path):
     assert b.price is None and b.turnover == 95.0
 
 
-def test_files_with_another_header_fail(spark, tmp_path):
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     d = str(tmp_path / "mixed")
-    land(d, "US_A260821C1_2026-08-12.csv", "code,time,price", ["c,t,1"])
-    land(d, "US_B260821C1_2026-08-12.csv", "time,code,price", ["t,c,1"])
+    land(d, "US_A260821C1_2026-08-12.csv", "code,time,price,sequence", ["c,t,1,5"])
+    land(d, "US_B260821C1_2026-08-12.csv", "Sequence,name,time,code,price", ['6,"a, ""b""",t,c,2'])
+    land(d, "US_C260821C1_2026-08-12.csv", "code,price", ["c,3"])
+    got = sorted((r.file_code, r.code, r.time, r.price, r.sequence) for r in readers.read_landed_ticks(spark, d).collect())
+    assert got == [("US.A260821C1", "c", "t", 1.0, 5), ("US.B260821C1", "c", "t", 2.0, 6)]
+    assert [r.name for r in readers.unreadable_files(spark, d, readers.TICK_HEADER).collect()] == ["US_C260821C1_2026-08-12.csv"]
+
+
+def test_files_of_one_writer_with_another_header_fail(spark, tmp_path):
+    d = str(tmp_path / "mixed")
+    land(d, "a.csv", "code,day,volume", ["c,2026-08-12,1"])
+    land(d, "b.csv", "day,code,volume", ["2026-08-12,c,1"])
     with pytest.raises(Exception):
-        readers.read_landed_ticks(spark, d).collect()
+        readers.read_daily_volume(spark, d).collect()
 
 
 def test_chain_intraday_underlying_bars_and_volume(spark, tmp_path):
@@ -46,8 +56,9 @@ def test_chain_intraday_underlying_bars_and_volume(spark, tmp_path):
     land(d + "/snap", "US_TSLA_2026-08-12.csv", "option_type,code,option_strike_price,bogus", ["CALL,US.TSLA260821C250000,250,9"])
     land(d + "/snap", "US_NVDA_2026-08-12_collector_repick.csv", "option_type,code,option_strike_price,bogus", ["PUT,US.NVDA260821P9500,9.5,9"])
     chain = {r.symbol: r for r in readers.read_landed_chains(spark, d + "/snap").collect()}
-    assert chain["TSLA"].option_strike_price == 250.0 and chain["TSLA"].expiry == dt.date(2026, 8, 21)
-    assert chain["NVDA"].snap_date == dt.date(2026, 8, 12) and chain["NVDA"].option_delta is None
+    assert chain["TSLA"].option_strike_price == 250.0 and chain["TSLA"].expiry == dt.date(2026, 8, 21) and set(chain) == {"TSLA"}
+    picked = readers.read_collector_chains(spark, d + "/snap").first()
+    assert (picked.symbol, picked.tag, picked.snap_date, picked.option_delta) == ("NVDA", "collector_repick", dt.date(2026, 8, 12), None)
     land(d + "/intra", "US_TSLA_2026-08-12.csv", "code,bid_vol,snap_time", ["US.TSLA260821C250000,7,2026-08-12 10:00:00"])
     assert readers.read_landed_intraday(spark, d + "/intra").first().snap_time == "2026-08-12 10:00:00"
     land(d + "/under", "US_TSLA_2026-08-12.csv", "code,last_price,poll_time", ["US.TSLA,301.5,2026-08-12T10:00:00"])
