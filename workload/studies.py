@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.measures import implied_sign
@@ -13,18 +14,23 @@ from workload.registry import EVENTS, query
 KEY = ["code", "symbol", "time", "direction"]
 
 # Last price at or before a minute of the same symbol and day, and 60 minutes later.
-STUDY = f"""WITH {EVENTS}, {CLUSTERS},
+RETURNS = f"""WITH {EVENTS},
 bar AS (SELECT symbol, date_trunc('minute', ts) AS minute, arg_max(price, ts) AS close FROM ev GROUP BY ALL),
-grid AS (SELECT symbol, day, day + INTERVAL (m) MINUTE AS minute
-         FROM (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM ev), range(0, 1440) AS r(m)),
-held AS (SELECT g.symbol, g.day, g.minute, b.close
-         FROM grid g ASOF JOIN bar b ON b.symbol = g.symbol AND b.minute <= g.minute
-         WHERE CAST(b.minute AS DATE) = g.day),
-ret AS (SELECT h.symbol, h.day, h.minute, h.close, l.close AS close_later, l.close / nullif(h.close, 0) - 1 AS ret
-        FROM held h LEFT JOIN held l ON l.symbol = h.symbol AND l.day = h.day AND l.minute = h.minute + INTERVAL 60 MINUTE),
+grid AS (SELECT symbol, day, unnest(generate_series(CAST(day AS TIMESTAMP), day + INTERVAL 1439 MINUTE, INTERVAL 1 MINUTE)) AS minute
+         FROM (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM ev)),
+held AS (SELECT * FROM (
+           SELECT g.symbol, g.day, g.minute,
+                  last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.symbol, g.day ORDER BY g.minute) AS close
+           FROM grid g LEFT JOIN bar b ON b.symbol = g.symbol AND b.minute = g.minute) WHERE close IS NOT NULL),
+late AS (SELECT *, lead(close, 60) OVER (PARTITION BY symbol, day ORDER BY minute) AS close_later FROM held),
+ret AS (SELECT symbol, day, minute, close, close_later, close_later / nullif(close, 0) - 1 AS ret FROM late)"""
+
+RETURNED = f"""{RETURNS}, {CLUSTERS},
 sgn AS (SELECT *, CASE WHEN (code % 2 = 0) = (direction = 'BUY') THEN 1 ELSE -1 END AS sign FROM cl),
 e AS (SELECT s.*, r.close, r.close_later, r.ret, s.sign * r.ret AS signed_return
-      FROM sgn s LEFT JOIN ret r ON r.symbol = s.symbol AND r.minute = date_trunc('minute', s.time)),
+      FROM sgn s LEFT JOIN ret r ON r.symbol = s.symbol AND r.minute = date_trunc('minute', s.time))"""
+
+STUDY = f"""{RETURNED},
 named AS (SELECT *, md5(concat_ws('|', code, symbol, strftime(time, '%Y-%m-%d %H:%M:%S'), direction, '7')) AS digest FROM e),
 seeded AS (SELECT *, CAST(concat('0x', substr(digest, 1, 8)) AS BIGINT) % 2147483647 + 1 AS scale,
                   CAST(concat('0x', substr(digest, 9, 8)) AS BIGINT) % 2147483647 AS shift FROM named),
@@ -65,7 +71,7 @@ def matched(spark, sf_dir):
 
 
 @query(
-    "symbol:i day:d minute:t close:f close_later:f ret:f", f"{STUDY}\nSELECT * FROM ret"
+    "symbol:i day:d minute:t close:f close_later:f ret:f", f"{RETURNS}\nSELECT * FROM ret"
 )
 def minute_returns(spark, sf_dir):
     return minute_table(spark, sf_dir)
@@ -73,7 +79,7 @@ def minute_returns(spark, sf_dir):
 
 @query(
     "code:i symbol:i time:t direction:s notional:m sign:i close:f close_later:f signed_return:f",
-    f"{STUDY}\nSELECT * FROM e",
+    f"{RETURNED}\nSELECT * FROM e",
 )
 def asof_returns(spark, sf_dir):
     return returned(spark, sf_dir)
@@ -106,17 +112,38 @@ def event_study(spark, sf_dir):
     return study.study_decision(study.event_excess(matched(spark, sf_dir)))
 
 
+PROTOCOL_SYMBOLS = [0, 1, 2, 3]
+
+
+@query(
+    STAT_COLS + " symbols:i positive_symbols:i decision:s",
+    f"""{STUDY},
+o AS (SELECT {STATS} FROM xs),
+s AS (SELECT count(*) FILTER (m > 0) AS positive_symbols, count(*) FILTER (m < 0) AS negative_symbols
+      FROM (SELECT symbol, avg(excess) AS m FROM xs GROUP BY symbol))
+SELECT *, 4 AS symbols, CASE WHEN excess >= 0.0015 AND t_stat >= 2.5 AND positive_symbols = 4 THEN 'GO'
+               WHEN abs(excess) < 0.0010 OR t_stat < 2.0
+                 OR 2 * (CASE WHEN excess >= 0 THEN negative_symbols ELSE positive_symbols END) > 4 THEN 'KILL'
+               ELSE 'AMBIGUOUS' END AS decision FROM o, s""",
+)
+def event_study_protocol(spark, sf_dir):
+    """The decision over a protocol of four symbols, one of which has no events and so blocks GO."""
+    return study.study_decision(study.event_excess(matched(spark, sf_dir)), PROTOCOL_SYMBOLS).drop("negative_symbols")
+
+
 @query(
     "code:i trade_date:d time:t direction:s notional:m",
     f"""WITH {EVENTS}, {CLUSTERS},
-g AS (SELECT code, trade_date FROM ev GROUP BY ALL
-      HAVING count(DISTINCT sequence) * 15 > max(sequence) - min(sequence) + 1)
+n AS (SELECT code, trade_date, row_number() OVER (PARTITION BY code, trade_date ORDER BY sequence) AS nth FROM ev),
+g AS (SELECT code, trade_date FROM n WHERE NOT (code % 3 = 0 AND nth = 4) GROUP BY ALL
+      HAVING count(*) = max(nth) - min(nth) + 1)
 SELECT cl.code, cl.day AS trade_date, time, direction, notional FROM cl SEMI JOIN g ON g.code = cl.code AND g.trade_date = cl.day
 WHERE date_diff('day', cl.day, DATE '2024-01-20') > 1""",
 )
 def eligible_clusters(spark, sf_dir):
-    """Events with more than one day to expiry on tapes that hold at least one in 15 numbers of their span."""
+    """Events with more than one day to expiry on gap-free tapes: numbered densely, with a hole in every third contract."""
     ticks = A.events_tape(spark, sf_dir)
-    checks = tape.gap_free(ticks).withColumn("gap_free", F.col("present") * 15 > F.col("expected"))
+    numbered = ticks.withColumn("sequence", F.row_number().over(Window.partitionBy("code", "trade_date").orderBy("sequence")))
+    checks = tape.gap_free(numbered.filter("not (code % 3 = 0 and sequence = 4)"))
     found = flow.cluster_events(ticks, ["code", "symbol", "trade_date"], 50 * A.CENTS)
     return events.eligible_clusters(found, F.lit("2024-01-20").cast("date"), checks)
