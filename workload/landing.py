@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tapewright.plans import ingest
 from tapewright.schemas import TAPE
 from tapewright.session import scratch_path
-from tapewright.sources import readers
+from tapewright.sources import readers, sinks
 from workload import adapters as A
+from workload import history
 from workload.registry import EVENTS, query
 
 # Two writers: the second has vendor columns, one of them quoted text, in an order of its own.
@@ -127,3 +128,143 @@ def landed_snapshots(spark, sf_dir):
     return daily.unionByName(readers.read_collector_chains(spark, path)).groupBy("symbol", "snap_date", "tag").agg(
         F.count(F.lit(1)).alias("contracts"), F.sum("option_open_interest").alias("oi")
     )
+
+
+@query(REPORT_COLS, REPORT)
+def stream_restart(spark, sf_dir):
+    """Half of the files, a restart from the checkpoint, then the other half beside files seen before."""
+    ticks, table, checkpoint = land_ticks(spark, sf_dir), scratch_path(spark, "tape"), scratch_path(spark, "restart-checkpoint")
+    landing = scratch_path(spark, "restart-landing")
+    for half in (0, 1):
+        named = readers.landed_lines(spark, ticks).withColumn("name", F.element_at(F.split("file", "/"), -1))
+        copy_files(named.filter(F.crc32("name") % 2 == half), landing)
+        ingest.ingest_stream(spark, landing, table, checkpoint, max_files=320, seconds=None).awaitTermination()
+    return report(spark, table)
+
+
+def copy_files(lines, path):
+    """Lines of landed files, each file whole under its own name in ``path``; the header goes first."""
+
+    def write(part):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(folder, recursive=True)
+        heads = part["value"].str.contains("ticker_direction")
+        text = "\n".join([*part["value"][heads], *part["value"][~heads]]) + "\n"
+        with store.open_output_stream(f"{folder}/{part['name'].iloc[0]}") as out:
+            out.write(text.encode())
+        return pd.DataFrame({"rows": [len(part)]})
+
+    lines.groupBy("name").applyInPandas(write, "rows long").count()
+
+
+@query(
+    "symbol:s day:d states:i volume:f snap_times:i",
+    """SELECT chr(CAST(65 + p_size % 5 AS INTEGER)) AS symbol, DATE '2024-03-01' + CAST(p_partkey % 3 AS INTEGER) AS day, count(*) AS states,
+       sum(CAST(p_size AS DOUBLE)) AS volume, count(DISTINCT p_size % 4) AS snap_times FROM part GROUP BY ALL""",
+)
+def landed_intraday(spark, sf_dir):
+    """Parts as intraday states; every row carries the time of its pass, symbol and day come from the file name."""
+    parts = A.table(spark, sf_dir, "part")
+    symbol, day = F.char(F.lit(65) + F.col("p_size") % 5), F.date_add(F.lit("2024-03-01").cast("date"), (F.col("p_partkey") % 3).cast("int"))
+    rows = parts.select(
+        F.concat(F.lit("US."), symbol, F.lit("240621C"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_size").cast("double").alias("volume"),
+        F.concat(day.cast("string"), F.lit(" 1"), (F.col("p_size") % 4).cast("string"), F.lit(":30:00")).alias("snap_time"),
+        F.concat(F.lit("US_"), symbol, F.lit("_"), day.cast("string"), F.lit(".csv")).alias("file"), F.lit("code,volume,snap_time").alias("header"),
+    )
+    states = readers.read_landed_intraday(spark, write_files(rows, scratch_path(spark, "intraday")))
+    return states.groupBy("symbol", F.col("snap_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("states"), F.sum("volume").alias("volume"), F.countDistinct("snap_time").alias("snap_times")
+    )
+
+
+@query(
+    "symbol:s days:i first_day:d volume:f missing:i",
+    """WITH h AS (SELECT chr(CAST(65 + l_suppkey % 5 AS INTEGER)) AS symbol, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS volume,
+                  sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS calls FROM lineitem GROUP BY ALL)
+SELECT symbol, count(*) AS days, min(day) AS first_day, sum(volume) AS volume, count(*) FILTER (calls = 0) AS missing FROM h GROUP BY symbol""",
+)
+def landed_history(spark, sf_dir):
+    """Symbol-day sums of the order lines as landed statistics; measures that are not known read "N/A"."""
+    ticks = A.lineitem_tape(spark, sf_dir)
+    symbol = F.char(F.lit(65) + F.col("symbol"))
+    sums = ticks.groupBy(symbol.alias("of"), F.col("trade_date").cast("string").alias("time")).agg(
+        F.sum("volume").alias("option_volume"), F.sum(F.when(F.col("ticker_direction") == "BUY", F.col("volume")).otherwise(0.0)).alias("call_volume")
+    )
+    known = sums.withColumn("call_volume", F.when(F.col("call_volume") == 0, "N/A").otherwise(F.col("call_volume").cast("string")))
+    path = scratch_path(spark, "histories")
+    for kind, header in (("stat", "time,option_volume,call_volume"), ("vol", "time,iv")):
+        name = F.concat(F.lit("US_"), "of", F.lit(f"_{kind}.csv"))
+        write_files(known.withColumns({"iv": F.lit("0.5"), "file": name, "header": F.lit(header)}), path)
+    stat, vol = readers.read_symbol_history(spark, path)
+    both = stat.join(vol.select("symbol", "time"), ["symbol", "time"])
+    return both.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("days"), F.min(F.to_date("time")).alias("first_day"), F.sum(F.col("option_volume").cast("double")).alias("volume"),
+        F.count_if(F.col("call_volume").try_cast("double").isNull()).alias("missing"),
+    )
+
+
+@query(
+    "symbol:s day:d bars:i close:m volume:f",
+    f"""WITH {EVENTS}
+SELECT chr(CAST(65 + symbol AS INTEGER)) AS symbol, trade_date AS day, count(*) AS bars, sum(turnover) AS close, count(*) * 2.0 AS volume FROM ev GROUP BY ALL""",
+)
+def landed_bars_and_volume(spark, sf_dir):
+    """Minute bars of two fetched pages with headers of their own, and official volumes beside them."""
+    ticks = A.events_tape(spark, sf_dir)
+    symbol = F.char(F.lit(65) + F.col("symbol"))
+    rows = ticks.select(
+        F.concat(F.lit("US."), symbol).alias("code"), F.col("ts").cast("string").alias("time_key"), F.col("turnover").cast("string").alias("close"),
+        F.col("trade_date").cast("string").alias("day"), F.lit("2").alias("volume"), "sequence",
+    )
+    pages = []
+    for page, header in ((0, "code,time_key,close"), (1, "close,code,time_key")):
+        own = rows.filter(F.col("sequence") % 2 == page).withColumns({"file": F.concat("code", F.lit("_"), "day", F.lit(".csv")), "header": F.lit(header)})
+        pages.append(write_files(own, scratch_path(spark, "bars")))
+    volumes = write_files(rows.withColumns({"file": F.concat("day", F.lit(".csv")), "header": F.lit("code,day,volume")}), scratch_path(spark, "volumes"))
+    bars = [readers.read_bars(spark, p) for p in pages]
+    per_day = bars[0].unionByName(bars[1]).groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("bars"), F.sum(F.col("close").cast("bigint")).alias("close"))
+    official = readers.read_daily_volume(spark, volumes).groupBy(F.substring("code", 4, 9).alias("symbol"), "day").agg(F.sum("volume").alias("volume"))
+    return per_day.join(official, ["symbol", "day"])
+
+
+@query(
+    "lang:s files:i chars:i",
+    """WITH f AS (SELECT lang, doc_id % 20 AS part, sum(length(text)) + count(*) AS chars FROM documents GROUP BY ALL)
+SELECT lang, count(*) AS files, sum(chars) AS chars FROM f GROUP BY lang""",
+)
+def text_files(spark, sf_dir):
+    """Documents as text files of twenty parts a language, read back as whole files."""
+    docs = A.table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "texts")
+
+    def write(part):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/{part['lang'].iloc[0]}-{part['part'].iloc[0]}.txt") as out:
+            for text in part["text"]:
+                out.write(f"{text}\n".encode())
+        return pd.DataFrame({"rows": [len(part)]})
+
+    docs.select("lang", (F.col("doc_id") % 20).alias("part"), "text").groupBy("lang", "part").applyInPandas(write, "rows long").count()
+    files = readers.read_text(spark, path).withColumn("lang", F.regexp_extract("doc_id", r"([a-z]+)-\d+\.txt$", 1))
+    return files.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(
+    "symbol:s rows:i first_day:d last_day:d",
+    """SELECT CAST(l_suppkey % 5 AS VARCHAR) AS symbol, count(DISTINCT CAST(l_shipdate AS DATE)) AS rows, min(CAST(l_shipdate AS DATE)) AS first_day,
+       max(CAST(l_shipdate AS DATE)) AS last_day FROM lineitem GROUP BY 1""",
+)
+def feature_files(spark, sf_dir):
+    """The feature table written as CSV files in order of date and symbol, read back."""
+    path = scratch_path(spark, "feature-files")
+    sinks.write_features(history.features(spark, sf_dir), path, csv=True)
+    return spark.read.option("header", True).csv(path).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("date").cast("date").alias("first_day"), F.max("date").cast("date").alias("last_day")
+    )
