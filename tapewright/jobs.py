@@ -19,7 +19,7 @@ from tapewright.session import build_session, materialize, read_if_present, scra
 from tapewright.sources import files, readers, sinks
 
 # Options that name a folder a job reads.
-INPUTS = ("landing", "table", "volumes", "captured", "chains", "bars")
+INPUTS = ("landing", "table", "volumes", "captured", "chains", "bars", "quotes", "pushed")
 
 
 def ingest_ticks(spark: SparkSession, landing: str, table: str) -> dict[str, DataFrame]:
@@ -69,6 +69,36 @@ def build_features(spark: SparkSession, table: str, out: str, csv: bool = False)
     }
 
 
+def watch(spark: SparkSession, landing: str, push: bool = False) -> dict[str, DataFrame]:
+    """The contracts to watch, most liquid per ticker, from the collector's latest snapshots, and what its re-pick adds."""
+    picked = readers.read_collector_chains(spark, landing)
+    latest = picked.groupBy("symbol").agg(F.max("snap_date").alias("snap_date"))
+    today = materialize(picked.join(latest, ["symbol", "snap_date"]), "collector-snapshots")
+    n = P.WATCH_PUSH if push else P.WATCH_POLLING
+    first, again = (chain.liquid_contracts(today.filter(F.col("tag") == tag), n=n) for tag in ("collector", "collector_repick"))
+    return {"watch": first.select("symbol", "code", "volume_rank"), "additions": chain.watch_additions(again, first)}
+
+
+def universe(spark: SparkSession, table: str, quotes: str) -> DataFrame:
+    """Contracts nearest the last price of their underlying, of each ticker's latest snapshot within the days that count."""
+    chains = spark.read.parquet(table)
+    latest = chains.groupBy("symbol").agg(F.max("snap_date").alias("snap_date"))
+    polled = readers.read_underlying(spark, quotes).withColumn("symbol", F.substring("code", 4, 32))
+    spot = polled.groupBy("symbol").agg(F.max_by("last_price", "poll_time").alias("spot"))
+    near = chains.join(latest, ["symbol", "snap_date"]).filter(F.col("option_expiry_date_distance") <= P.MAX_DTE)
+    return chain.contract_universe(chain.nearest_strikes(near, spot))
+
+
+def compare_feeds(spark: SparkSession, table: str, pushed: str) -> dict[str, DataFrame]:
+    """Ticks of the polled and of the pushed tape per contract and day."""
+    return {"feeds": coverage.feed_comparison(*(readers.read_tape(spark, path) for path in (table, pushed)))}
+
+
+def bars(spark: SparkSession, bars: str) -> DataFrame:
+    """Minute bars per symbol and day: count, first and last."""
+    return coverage.bars_inventory(readers.read_bars(spark, bars))
+
+
 def screen(spark: SparkSession, table: str, tickers: list[str]) -> DataFrame:
     """Top calls and puts of the tickers, each on its own latest snapshot day."""
     chains = spark.read.parquet(table)
@@ -182,6 +212,10 @@ def _parser() -> argparse.ArgumentParser:
     job("ingest-history", ingest_history, "landing", "table")
     job("features", build_features, "table", "out", csv={"action": "store_true"})
     job("screen", screen, "table", tickers={"nargs": "+", "required": True})
+    job("watch", watch, "landing", push={"action": "store_true"})
+    job("universe", universe, "table", "quotes")
+    job("feeds", compare_feeds, "table", "pushed")
+    job("bars", bars, "bars")
     job("capture", check_capture, "table", "volumes", "out", as_of=date)
     job("status", status, "table", "captured", "chains", as_of=date)
     job("day", day, "table", "captured", on=date)

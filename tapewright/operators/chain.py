@@ -69,8 +69,8 @@ def nearest_strikes(
 ) -> DataFrame:
     """The n strikes nearest the spot, on either side, per symbol, expiry and type.
 
-    ``spot`` holds one row per symbol. Pass a written table (a source or
-    ``materialize``) so that the planner knows its size and can broadcast it.
+    ``spot`` holds one row per symbol. Whether it is read from a table or
+    aggregated here, adaptive execution sees its size before it joins.
     """
     distance = F.abs(F.col("option_strike_price") - F.col("spot"))
     keyed = chain.filter(F.col("expiry").isNotNull() & F.col("option_type").isNotNull())

@@ -131,6 +131,28 @@ def test_study_is_sealed_until_the_rule_is_met(spark, root):
     assert decision.events == 1 and decision.symbols == 3 and decision.decision != "GO"
 
 
+def test_watch_universe_feeds_and_bars(spark, root, tmp_path):
+    header = "code,option_type,option_strike_price,option_premium,volume,option_expiry_date_distance"
+    row = lambda strike, volume: f"US.TSLA260821C{strike}000,CALL,{strike},2.5,{volume},14"
+    chains = str(tmp_path / "chains")
+    land(chains, "US_TSLA_2026-08-12_collector.csv", header, [row(k, 100 - k) for k in range(1, 21)])
+    land(chains, "US_TSLA_2026-08-11_collector.csv", header, [row(900, 1)])
+    land(chains, "US_TSLA_2026-08-12_collector_repick.csv", header, [row(k, 100 + k) for k in range(1, 21)])
+    got = run(spark, root, "watch", chains)
+    assert [r.code for r in got["watch"].orderBy("volume_rank").collect()] == [f"US.TSLA260821C{k}000" for k in range(1, 13)]
+    assert {r.code for r in got["additions"].collect()} == {f"US.TSLA260821C{k}000" for k in range(13, 21)}
+    daily = str(tmp_path / "daily")
+    land(daily, "US_TSLA_2026-08-12.csv", header, [row(k, 1) for k in range(1, 61)])
+    run(spark, root, "ingest-chains", daily, str(tmp_path / "snaps"))
+    land(str(tmp_path / "quotes"), "q.csv", "code,last_price,poll_time", ["US.TSLA,5,2026-08-12T10:00:00", "US.TSLA,40.2,2026-08-12T11:00:00"])
+    near = run(spark, root, "universe", str(tmp_path / "snaps"), str(tmp_path / "quotes"))["universe"]
+    assert {r.code for r in near.collect()} == {f"US.TSLA260821C{k}000" for k in range(31, 51)}
+    run(spark, root, "ingest-ticks", f"{root}/landing", str(tmp_path / "tape"))
+    feeds = run(spark, root, "feeds", str(tmp_path / "tape"), str(tmp_path / "tape"))["feeds"]
+    assert {(r.polled_prints, r.difference) for r in feeds.collect()} == {(4, 0)}
+    assert run(spark, root, "bars", f"{root}/bars")["bars"].first().bars == 360
+
+
 def test_feature_jobs(spark, root):
     for _ in range(2):
         jobs.main(["ingest-history", f"{root}/hist", f"{root}/history"], spark)

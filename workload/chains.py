@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tapewright.functions import clock, contract
 from tapewright.operators import chain
 from tapewright.plans import screening
-from tapewright.session import materialize
 from workload import adapters as A
 from workload.registry import CHAIN, TAPE, query
 
@@ -75,7 +74,7 @@ near AS (SELECT c.*, s.spot, abs(strike - spot) AS distance, row_number() OVER (
 def near_strikes(spark, sf_dir):
     rows = A.lineitem_chain(spark, sf_dir)
     mean = F.sum(A.hundredths(F.col("option_premium"))) / 100 / F.sum("volume")
-    spot = materialize(rows.groupBy("symbol").agg(mean.alias("spot")), "spot")
+    spot = rows.groupBy("symbol").agg(mean.alias("spot"))
     return chain.nearest_strikes(rows, spot, ties=TIES)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import capture, chain, coverage, events, study
 from tapewright.plans import collection as plan
-from tapewright.session import materialize
 from workload import adapters as A
 from workload.registry import EVENTS, TAPE, query
 
@@ -356,7 +355,7 @@ UNION ALL SELECT 'warn', day, 'gap', 'weekday without collection' FROM c
 )
 def quality_alerts(spark, sf_dir):
     checked = capture.capture_days(line_capture(spark, sf_dir)).filter(F.col("day") < F.lit(CHECKED_UNTIL))
-    days = materialize(line_days(spark, sf_dir).distinct(), "days")
+    days = line_days(spark, sf_dir).distinct()
     return events.quality_alerts(
         days, checked, A.snapshots(spark, sf_dir), ALERT_AS_OF, len(PRIORITIES), ALERT_START
     )
