@@ -53,17 +53,22 @@ def latest_per_key(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequ
 
 
 def value_gaps(
-    df: DataFrame, keys: Sequence[str], value: str, block: Column, distance, limit
+    df: DataFrame, keys: Sequence[str], value: str, block: Column | int, distance, limit
 ) -> DataFrame:
     """Neighbouring values per key that lie more than ``limit`` apart.
 
     ``block`` maps values to ordered blocks of bounded size, so that no window
-    partition holds a whole key, however hot. Neighbours inside a block come
+    partition holds a whole key, however hot; a number asks for that many ranges
+    of sampled bounds instead, where values are too far apart for a fixed width. Neighbours inside a block come
     from a window over (keys, block). What is left are the gaps found and the
     first and last value of each block; the first ones look up the end of the
     block before in a second window that holds block ends only.
     """
-    values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct().withColumn("_block", block)
+    values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+    if isinstance(block, int):
+        # Ranges of about equal size, whatever the values are: a hot key spans many of them.
+        values, block = values.repartitionByRange(block, *keys, value), F.spark_partition_id()
+    values = values.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(value)
     rows = values.withColumns({"_before": F.lag(value).over(inside), "_after": F.lead(value).over(inside)})
     end = F.col("_before").isNull() | F.col("_after").isNull()
@@ -78,9 +83,15 @@ def value_gaps(
     )
 
 
-def sequence_gaps(tape: DataFrame, keys: Sequence[str] = ("code", "trade_date"), block_size: int = 1 << 20) -> DataFrame:
-    """Holes in the tick sequence of a contract-day."""
-    block = F.expr(f"sequence div {int(block_size)}")
+def sequence_gaps(
+    tape: DataFrame, keys: Sequence[str] = ("code", "trade_date"), block_size: int = 1 << 20, ranges: int | None = None
+) -> DataFrame:
+    """Holes in the tick sequence of a contract-day.
+
+    Numbers that count up are cut into blocks of ``block_size``; for numbers like clock times give ``ranges``, the
+    number of sampled ranges, as a block of fixed width would hold a tick or two.
+    """
+    block = F.expr(f"sequence div {int(block_size)}") if ranges is None else ranges
     found = value_gaps(tape, keys, "sequence", block, lambda a, b: b - a, 1)
     return found.withColumn("missing", F.col("gap_to") - F.col("gap_from") - 1)
 

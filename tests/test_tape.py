@@ -55,6 +55,9 @@ def test_gaps_across_blocks_and_copies(spark):
     for size in (1, 3, 16, 1 << 20):
         got = sorted((r.gap_from, r.gap_to, r.missing) for r in tape.sequence_gaps(df, ["code"], size).collect())
         assert got == _brute_gaps(hot), size
+    for ranges in (1, 7):
+        got = sorted((r.gap_from, r.gap_to, r.missing) for r in tape.sequence_gaps(df, ["code"], ranges=ranges).collect())
+        assert got == _brute_gaps(hot), ranges
     clean = {r.code: r.gap_free for r in tape.gap_free(df, ["code"]).collect()}
     assert clean == {"hot": False, "one": True, "full": True}
 

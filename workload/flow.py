@@ -179,6 +179,18 @@ def sequence_gaps(spark, sf_dir):
     return tape.sequence_gaps(A.lineitem_tape(spark, sf_dir), ["code"])
 
 
+@query(
+    "code:i gap_from:i gap_to:i missing:i",
+    f"""WITH {EVENTS}, s AS (SELECT DISTINCT code, epoch_us(ts) AS sequence FROM ev),
+g AS (SELECT code, lag(sequence) OVER (PARTITION BY code ORDER BY sequence) AS gap_from, sequence AS gap_to FROM s)
+SELECT *, gap_to - gap_from - 1 AS missing FROM g WHERE gap_to - gap_from > 1""",
+)
+def clock_sequence_gaps(spark, sf_dir):
+    """Sequence numbers that are clock times in microseconds: blocks of sampled ranges."""
+    ticks = A.events_tape(spark, sf_dir).withColumn("sequence", F.unix_micros(F.col("ts").cast("timestamp")))
+    return tape.sequence_gaps(ticks, ["code"], ranges=64)
+
+
 @query(
     "code:i trade_date:d present:i expected:i clean:i",
     f"""WITH {EVENTS}
