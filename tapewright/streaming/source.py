@@ -65,10 +65,13 @@ def append_partitions(
     )
 
 
-def run_available(stream: DataFrame, name: str, partitions: Sequence[str] = ()) -> DataFrame:
-    """Process what has landed, append the results to a table in the shared folder and read it."""
+def run_available(stream: DataFrame, name: str, partitions: Sequence[str] = (), at: tuple[str, str] | None = None) -> DataFrame:
+    """Process what has landed, append the results to a table in the shared folder and read it.
+
+    ``at`` names table and checkpoint of an earlier run to go on from; state and progress are those of that run.
+    """
     spark = stream.sparkSession
-    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    path, checkpoint = at or (scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint"))
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partitions:
         writer = writer.partitionBy(*partitions)
@@ -76,14 +79,14 @@ def run_available(stream: DataFrame, name: str, partitions: Sequence[str] = ())
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_updates(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def run_updates(stream: DataFrame, keys: Sequence[str], name: str, at: tuple[str, str] | None = None) -> DataFrame:
     """Like ``run_available`` for aggregates that change: every update is kept and the last one per key returned.
 
     Append mode would hold back groups the watermark has not passed; update
     mode also delivers those that are still open when the input ends.
     """
     spark = stream.sparkSession
-    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    path, checkpoint = at or (scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         # Overwriting the batch's own folder makes a replayed batch harmless.
