@@ -42,11 +42,14 @@ TRAIN_PER_LABEL = 6_000
 TRAIN_WORDS = 12_000
 # A word marks toxic texts if it comes in this many times more contexts there, with at least this z-score, and at
 # least this share of the z-score of the strongest word.
-MARKING_RATIO, MARKING_Z, MARKING_SHARE = 10, 5.0, 0.25
+MARKING_RATIO, MARKING_Z, MARKING_SHARE = 10, 5.0, 0.15
 INSERTED = "xa1"
 COST = 10.0
 STRONGEST = 3
 EVIDENCE = 5
+# What a task holds at once: bytes of text, words as symbols.
+BLOCK_BYTES = 8_000_000
+WORDS_AT_ONCE = 32_768
 SPACED = 4  # single letters in a row that are read as one word
 
 _NOT_LETTER = re.compile(r"[\W_]+")
@@ -154,12 +157,13 @@ class Machine(NamedTuple):
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision value per plain word, at least -1: positive is toxic. Words that are too short have -1."""
-        symbols, owner, norm = _sorted_windows(words)
-        sums = np.zeros(len(symbols), dtype=np.float32)
-        for n, codes, weight in _subsequences(symbols):
-            sums[:n] += np.float32(weight) * self.weights[codes]
         out = np.full(len(words), -1.0)
-        np.maximum.at(out, owner, sums / norm + self.bias)
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            symbols, owner, norm = _sorted_windows(words[first : first + WORDS_AT_ONCE])
+            sums = np.zeros(len(symbols), dtype=np.float32)
+            for n, codes, weight in _subsequences(symbols):
+                sums[:n] += np.float32(weight) * self.weights[codes]
+            np.maximum.at(out, owner + first, sums / norm + self.bias)
         return out
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -187,10 +191,10 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a balanced, lightly regularized logistic regression, the constant last."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a lightly regularized logistic regression, the constant last."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = weight / weight.sum()
     w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -238,7 +242,7 @@ def _evidence(values: np.ndarray) -> tuple[float, ...]:
 
 def _texts(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Blocks of rows with the evidence of their texts. Letters written one by one count as a word as well."""
-    for rows in chunks.blocks(batches):
+    for rows in chunks.blocks(batches, size=BLOCK_BYTES):
         words, codes, ends = chunks.factorize(rows.column("text"))
         strings = [plain(w) for w in words.to_pylist()]
         values = machine.words(strings)
@@ -300,8 +304,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     mistaken = [r["word"] for r in hard.filter("value > -0.5").orderBy(F.desc("value"), "word").limit(most_words // 2).collect()]
     machine = Machine(*fit_words(marking, sorted(set(clean + mistaken))), np.zeros(EVIDENCE + 1))
     rows = sample.mapInArrow(lambda batches: _sample_evidence(batches, machine), "toxic int, evidence array<double>").collect()
-    x = np.array([r["evidence"] for r in rows])
-    return machine._replace(calibration=_logistic(x, np.array([r["toxic"] for r in rows], dtype=np.float64)))
+    x, y = np.array([r["evidence"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=np.float64)
+    # The sample evens the labels out; a row stands for as many documents as its label has for each one sampled.
+    every = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return machine._replace(calibration=_logistic(x, y, np.where(y == 1, every[1] / toxic_n, every[0] / clean_n)))
 
 
 def _contexts(sample: DataFrame) -> DataFrame:
