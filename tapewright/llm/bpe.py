@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import math
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,15 +55,57 @@ def _pieces(path: str) -> pa.Array:
     return pa.array([known.id_to_token(i) or "" for i in range(size)], pa.large_string())
 
 
-def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of each word and all ids in a row."""
-    sizes, ids = [], []
+# A word of Latin letters and the punctuation after it. The pre-tokenizer parts them, too, and these letters are
+# lower-cased one by one and need no composition, so both can be encoded on their own.
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_TAIL = ".,;:!?"
+
+
+# Lower-case Latin words: normalizer and pre-tokenizer leave them as they are, but for the spelling of their bytes.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+@functools.cache
+def _byte_spelling() -> dict[int, str]:
+    """Characters beyond ASCII as the byte-level alphabet spells them.
+
+    Fixed values: bytes of printable Latin-1 characters stand for themselves, the others count up from 256.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    spelled = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+def _encode_distinct(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each word and all ids in a row, word by word through the library."""
+    known = tokenizer(path)
+    sizes, ids = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
     for start in range(0, len(words), 10_000):
-        for found in tokenizer(path).encode_batch_fast(words[start : start + 10_000], add_special_tokens=False):
-            part = found.ids
-            sizes.append(len(part))
-            ids.extend(part)
-    return np.array(sizes, dtype=np.int32), np.array(ids, dtype=np.int32)
+        part = words[start : start + 10_000]
+        plain = [_PLAIN.fullmatch(w) is not None for w in part]
+        rest = iter(known.encode_batch_fast([w for w, p in zip(part, plain) if not p], add_special_tokens=False))
+        model, spelling = known.model, _byte_spelling()
+        found = [[t.id for t in model.tokenize(w if w.isascii() else w.translate(spelling))] if p else next(rest).ids for w, p in zip(part, plain)]
+        sizes.append(np.array([len(f) for f in found], dtype=np.int32))
+        ids.append(np.array([i for f in found for i in f], dtype=np.int32))
+    return np.concatenate(sizes), np.concatenate(ids)
+
+
+def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each word and all ids in a row; words that differ in case or punctuation share the work."""
+    words = words.cast(pa.large_string())
+    core = pc.utf8_rtrim(words, characters=_TAIL)
+    split = pc.match_substring_regex(core, f"{_LETTERS}$")
+    none = pa.scalar("", pa.large_string())
+    tail = pc.if_else(split, pc.replace_substring_regex(words, _LETTERS, ""), none)
+    parts = pa.concat_arrays([pc.if_else(split, pc.utf8_lower(core), words), tail])
+    coded = pc.dictionary_encode(parts)
+    sizes, ids = _encode_distinct(coded.dictionary.to_pylist(), path)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    pairs = coded.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T
+    both = sizes[pairs]
+    return both.sum(axis=1, dtype=np.int32), ids[gather(starts[pairs].reshape(-1), both.reshape(-1))]
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,7 +169,7 @@ def _encode_shard(rows: pa.Table, path: str) -> pa.Table:
     """Ids of the words of one shard, a row for each block that sent some; every distinct word is encoded once."""
     lists = pc.ascii_split_whitespace(pa.array([zstandard.decompress(w.as_py()).decode() for w in rows.column("words")], pa.large_string()))
     coded = pc.dictionary_encode(lists.flatten())
-    sizes, ids = encode_words(coded.dictionary.to_pylist(), path)
+    sizes, ids = encode_words(coded.dictionary, path)
     starts = np.cumsum(sizes, dtype=np.int64) - sizes
     at = coded.indices.to_numpy(zero_copy_only=False)
     ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))

@@ -26,6 +26,10 @@ from tapewright.llm.bpe import encode_words, gather
 from tapewright.llm.columns import id_and_text
 
 TEXT_BYTES_PER_SHARD = 64_000_000
+# Smaller than elsewhere, and fewer rows at once between JVM and Python: the sort before and the Parquet writer after
+# the encoding hold memory at the same time.
+BLOCK_BYTES = 14_000_000
+ROWS_AT_ONCE = "1000"
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 * 1024 * 1024),
@@ -43,9 +47,9 @@ def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_i
     """Rows of one shard in the order in which they come; every distinct word of a block is encoded once."""
     task = TaskContext.get()
     shard, offset = task.partitionId() if task else 0, 0
-    for rows in chunks.blocks(batches):
+    for rows in chunks.blocks(batches, size=BLOCK_BYTES):
         words, codes, ends = chunks.factorize(rows.column("text"))
-        sizes, ids = encode_words(words.to_pylist(), tokenizer_path)
+        sizes, ids = encode_words(words, tokenizer_path)
         if end_id is not None:
             # The end of a document is one more word, after all others.
             codes = np.insert(codes, ends, len(words))
@@ -87,15 +91,21 @@ def write_tokens(
     shards = max(8, math.ceil(size / TEXT_BYTES_PER_SHARD))
     ordered = texts.repartitionByRange(shards, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key").drop("text_key")
     encoded = ordered.mapInArrow(lambda batches: encode_batches(batches, tokenizer_path, end_id), _DATA)
-    encoded.write.options(**layout).parquet(f"{path}/data")
     spark = docs.sparkSession
+    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_at_once)
+    spark.conf.set(rows_at_once, ROWS_AT_ONCE)
+    try:
+        encoded.write.options(**layout).parquet(f"{path}/data")
+    finally:
+        spark.conf.set(rows_at_once, before)
     counted = (
         spark.read.schema(_DATA).parquet(f"{path}/data").groupBy("shard")
         .agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     )
     # One row a shard.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counted.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counted.withColumn("start", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
