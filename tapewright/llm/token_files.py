@@ -25,7 +25,7 @@ from tapewright.llm import chunks
 from tapewright.llm.bpe import encode_words, gather
 from tapewright.llm.columns import id_and_text
 
-TEXT_BYTES_PER_SHARD = 64_000_000
+TEXT_BYTES_PER_SHARD = 32_000_000
 # Smaller than elsewhere, and fewer rows at once between JVM and Python: the sort before and the Parquet writer after
 # the encoding hold memory at the same time.
 BLOCK_BYTES = 14_000_000
