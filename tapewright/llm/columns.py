@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.session import materialize
+
 FOLDS = 5
 
 
@@ -17,6 +19,39 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def text_key(text: Column | str) -> Column:
+    """Hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def stay(docs: DataFrame, marked: DataFrame, group: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all columns, per value of ``group`` in ``marked`` (doc_id, text_key, group).
+
+    Smallest id, a null last, of its texts the smallest key; of rows that repeat both, the first by their JSON.
+    """
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    kept = marked.groupBy(group).agg(order).select("least.doc_id", "least.text_key")
+    return rows_of(docs, kept, marked, text_key(docs[text_col].cast("string")), id_col)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, marked: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` per row of ``kept`` (doc_id, text_key), the first by its JSON if rows repeat both.
+
+    ``marked`` has doc_id and text_key of every row of ``docs``, ``digest`` is the text's key there.
+    """
+    names = [F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")]
+    twice = marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*names)
+    again = materialize(twice, "repeated-rows")
+    kept = materialize(kept.select(*names).distinct(), "kept-rows")
+    pair = (F.col("a._kept_id").eqNullSafe(F.col("b._kept_id"))) & (F.col("a._kept_key") == F.col("b._kept_key"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_key"))
+    once = kept.alias("a").join(again.alias("b"), pair, "left_anti")
+    repeated = kept.alias("a").join(again.alias("b"), pair, "left_semi")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    first = docs.join(repeated, same).groupBy("_kept_id", "_kept_key").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return docs.join(once, same, "left_semi").unionByName(first.select("_row.*"))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fold that no model learns from. A null id counts as empty text, whose crc32 is 0: held out."""
     name = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
