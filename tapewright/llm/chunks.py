@@ -34,12 +34,12 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
         yield pa.Table.from_batches(held)
 
 
-def factorize(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def factorize(texts: pa.ChunkedArray, split=pc.ascii_split_whitespace) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words in order of appearance, the word number at each place of the block, and the end of each text.
 
-    Words are runs without ASCII white space. Text i holds the places from the end of text i - 1 to its own end.
+    Words are runs without the white space of ``split``, ASCII's by default. Text i holds the places from the end of text i - 1 to its own end.
     """
-    pieces = pc.ascii_split_whitespace(texts.combine_chunks().cast(pa.large_string()))
+    pieces = split(texts.combine_chunks().cast(pa.large_string()))
     flat = pc.list_flatten(pieces)
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # edges of a text give empty pieces
     ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False), dtype=np.int64)

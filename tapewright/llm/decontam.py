@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare word n-grams seed candidate passages, Smith-Waterman alignment scores them.
 
-Words are runs without white space, lower-cased, letters and digits only. Test items longer than a segment are
+Words are runs without white space of any kind (Unicode's), lower-cased, letters and digits only; a character of a
+script that is written without spaces is a word of its own. Items and documents are split by one function. Test items longer than a segment are
 cut into overlapping segments. The n-grams of a segment are ranked by the number of documents of the whole corpus
 that hold them and the most common quarter is no seed, so that everyday phrases do not start alignments; the rank
-is within the segment, so a passage that leaked into thousands of documents keeps its seeds.
+is within the segment, so a passage that leaked into thousands of documents keeps its seeds. A segment of one or two
+words is its own seed and must be found whole.
 
 The corpus is read twice, for the document counts and for the windows around seeds. A task knows the seeds by a
 bitset of fixed size only; the exact match is a join, whatever the size of the benchmark.
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,34 +37,59 @@ MIN_SCORE = 0.5
 # Words of a window to either side of a stretch with seeds, as a multiple of the longest segment.
 SLACK = 1.25
 FILTER_BITS = 22
+BLOCK_BYTES = 8_000_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
+# Scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, Cham, kana, bopomofo, Han, Yi.
+_UNSPACED = (
+    "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u19e0-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3021-\u3029\u3031-\u3035"
+    "\u3038-\u303c\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\ua980-\ua9ff\uaa00-\uaadf\uf900-\ufaff\uff66-\uff9f"
+    "\U0001aff0-\U0001b16f\U00020000-\U0003ffff"
+)
+_PARTS = re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+")
 # Odd 64-bit multipliers.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def word_hash(word: str) -> int:
-    """Hash of a normalized word; 0 if nothing is left of it."""
-    plain = word.lower() if word.isalnum() else _NOT_WORD.sub("", word.lower())
-    return xxhash.xxh64_intdigest(plain) | 1 if plain else 0
+def word_hashes(run: str) -> list[int]:
+    """Hashes of the normalized words of a run without white space: one as a rule, none if nothing is left of it."""
+    plain = run.lower() if run.isalnum() else _NOT_WORD.sub("", run.lower())
+    parts = [plain] if plain.isascii() else _PARTS.findall(plain)
+    return [xxhash.xxh64_intdigest(p) | 1 for p in parts if p]
 
 
-def seed_hashes(words: np.ndarray) -> np.ndarray:
-    """Hash of the n-gram that starts at each word but the last ones; ``words`` are hashes."""
-    n = len(words) - SEED_WORDS + 1
+def seed_hashes(words: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
+    """Hash of the n-gram of ``size`` words that starts at each word but the last ones; ``words`` are hashes."""
+    n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(SEED_WORDS):
+    out = np.full(n, SEED_WORDS - size, dtype=np.uint64)
+    for k in range(size):
         out += words[k : k + n] * _MIX[k]
     out ^= out >> np.uint64(29)
     out *= _MIX[3]
     return out ^ (out >> np.uint64(32))
 
 
+def texts_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row and the end of each text."""
+    runs, codes, ends = chunks.factorize(texts, pc.utf8_split_whitespace)
+    found = [word_hashes(r) for r in runs.to_pylist()]
+    sizes = np.array([len(f) for f in found], dtype=np.int64)
+    flat = np.array([h for f in found for h in f], dtype=np.uint64)
+    if sizes.max(initial=0) <= 1:
+        of_run = np.array([f[0] if f else 0 for f in found], dtype=np.uint64)[codes]
+        real = of_run != 0
+        return of_run[real], np.concatenate(([0], np.cumsum(real, dtype=np.int64)))[ends]
+    counts = sizes[codes]
+    total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    # The place of a word among those of its run, from where the run's words begin.
+    begins = np.cumsum(sizes) - sizes
+    return flat[np.repeat(begins[codes] - total[:-1], counts) + np.arange(total[-1])], total[ends]
+
+
 def text_words(text: str | None) -> np.ndarray:
-    hashes = np.array([word_hash(w) for w in (text or "").split()], dtype=np.uint64)
-    return hashes[hashes != 0]
+    return texts_words(pa.chunked_array([pa.array([text or ""])]))[0]
 
 
 def segments(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -86,7 +114,8 @@ def _seeds_of(cut: DataFrame) -> DataFrame:
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(seed_hashes(np.asarray(w, dtype=np.int64).view(np.uint64))).view(np.int64) for w in batch["words"]]
+            words = [np.asarray(w, dtype=np.int64).view(np.uint64) for w in batch["words"]]
+            found = [np.unique(seed_hashes(w, min(SEED_WORDS, len(w)))).view(np.int64) for w in words]
             sizes = [len(f) for f in found]
             yield pd.DataFrame(
                 {
@@ -107,28 +136,37 @@ def _bitset(seeds: DataFrame) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _hits(batches: Iterator[pa.RecordBatch], packed: bytes):
-    """Blocks as (rows, word hashes, ends of texts, text of each hit, place of each hit, seed of each hit)."""
+def _seed_sizes(cut: DataFrame) -> list[int]:
+    """Numbers of words that the seeds of the segments have."""
+    return sorted(r[0] for r in cut.select(F.least(F.size("words"), F.lit(SEED_WORDS))).distinct().collect())  # three at most
+
+
+def _hits(batches: Iterator[pa.RecordBatch], packed: bytes, sizes: list[int]):
+    """Blocks as (rows, word hashes, ends of texts, text of each hit, place of each hit, seed of each hit), by place."""
     bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
-    for rows in chunks.blocks(batches):
-        words, codes, ends = chunks.factorize(rows.column("text"))
-        hashes = np.array([word_hash(w) for w in words.to_pylist()], dtype=np.uint64)[codes]
-        real = hashes != 0
-        ends = np.concatenate(([0], np.cumsum(real, dtype=np.int64)))[ends]
-        hashes = hashes[real]
-        seeds = seed_hashes(hashes)
-        places = np.flatnonzero(bits[(seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        of_text = np.searchsorted(ends, places, side="right")
-        inside = places + SEED_WORDS <= ends[of_text] if len(places) else np.empty(0, bool)
-        places, of_text = places[inside], of_text[inside]
-        yield rows, hashes, ends, of_text, places, seeds[places].view(np.int64)
-
-
-def document_counts(texts: DataFrame, packed: bytes) -> DataFrame:
+    for rows in chunks.blocks(batches, size=BLOCK_BYTES):
+        hashes, ends = texts_words(rows.column("text"))
+        hits = []
+        for size in sizes:
+            seeds = seed_hashes(hashes, size)
+            places = np.flatnonzero(bits[(seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            of_text = np.searchsorted(ends, places, side="right")
+            inside = places + size <= ends[of_text] if len(places) else np.empty(0, bool)
+            places, of_text = places[inside], of_text[inside]
+            hits.append((of_text, places, seeds[places].view(np.int64)))
+        if len(hits) == 1:
+            yield rows, hashes, ends, *hits[0]
+        elif hits:
+            of_text, places, seeds = (np.concatenate(x) for x in zip(*hits))
+            order = np.argsort(places, kind="stable")
+            yield rows, hashes, ends, of_text[order], places[order], seeds[order]
+
+
+def document_counts(texts: DataFrame, packed: bytes, sizes: list[int]) -> DataFrame:
     """seed and the number of documents with it, for all n-grams that pass the filter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, of_text, _, seeds in _hits(batches, packed):
+        for _, _, _, of_text, _, seeds in _hits(batches, packed, sizes):
             once = np.unique(np.stack([of_text, seeds], axis=1), axis=0) if len(seeds) else np.empty((0, 2), np.int64)
             found, n = np.unique(once[:, 1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["seed", "n"])
@@ -148,14 +186,14 @@ def rare_seeds(seeds: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def windows(texts: DataFrame, packed: bytes, reach: int) -> DataFrame:
+def windows(texts: DataFrame, packed: bytes, reach: int, sizes: list[int]) -> DataFrame:
     """Stretches of ``reach`` words that hold seeds, with ``reach`` words more on either side.
 
     doc_id, text_key, start (first word of the window), words, seeds (distinct).
     """
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, hashes, ends, of_text, places, seeds in _hits(batches, packed):
+        for rows, hashes, ends, of_text, places, seeds in _hits(batches, packed, sizes):
             begins = np.concatenate(([0], ends[:-1]))
             tile = (places - begins[of_text]) // reach
             first = np.flatnonzero(np.concatenate(([True], (of_text[1:] != of_text[:-1]) | (tile[1:] != tile[:-1])))) if len(places) else np.empty(0, int)
@@ -219,8 +257,9 @@ def _score(batches: Iterator[pa.RecordBatch], min_score: float) -> Iterator[pa.R
             items = [np.array(x, dtype=np.int64).view(np.uint64) for x in part.column("item_words").to_pylist()]
             passages = [np.frombuffer(x, dtype=np.uint64) for x in part.column("words").to_pylist()]
             best, end = align(_padded(items), _padded(passages))
-            score = best / (MATCH * np.array([len(x) for x in items]))
-            good = np.flatnonzero(score >= min_score)
+            lengths = np.array([len(x) for x in items])
+            score = best / (MATCH * lengths)
+            good = np.flatnonzero(score >= np.where(lengths < SEED_WORDS, 1.0, min_score))
             if not len(good):
                 continue
             # The same alignment read backwards ends where it began.
@@ -238,9 +277,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
     texts = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
     cut = materialize(segments(benchmark), "decontam-segments")
     longest = cut.agg(F.max(F.size("words"))).first()[0] or 1
+    sizes = _seed_sizes(cut)
     seeds = materialize(_seeds_of(cut), "decontam-seeds")
-    rare = materialize(rare_seeds(seeds, document_counts(texts, _bitset(seeds))), "decontam-rare")
-    found = materialize(windows(texts, _bitset(rare), int(longest * SLACK) + 1), "decontam-windows")
+    rare = materialize(rare_seeds(seeds, document_counts(texts, _bitset(seeds), sizes)), "decontam-rare")
+    found = materialize(windows(texts, _bitset(rare), int(longest * SLACK) + 1, sizes), "decontam-windows")
     place = ["doc_id", "text_key", "start"]
     pairs = (
         found.select(F.struct(*place).alias("place"), F.explode("seeds").alias("seed")).join(rare, "seed")
@@ -266,8 +306,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
 
     ``score`` is the alignment's share of what a perfect copy of the item (of its segment, if it has several) would
     reach, at least ``min_score``. Words are counted from 0 after dropping those without letter or digit; of equal
-    scores the first place counts. Null and empty texts match nothing, nor do items of fewer than three words or
-    without an id. Rows that repeat id and text give one row. A document without an id has null there. An empty
+    scores the first place counts. An item of one or two words is found only where all of it stands. Null and
+    empty texts match nothing, nor do items without words or without an id. Rows that repeat id and text give one row. A document without an id has null there. An empty
     table on either side gives no rows; further columns play no part.
     """
     return matches(docs, benchmark, min_score).drop("text_key")

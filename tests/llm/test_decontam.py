@@ -90,3 +90,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.count() == len(ODD_ROWS) - len(same)
     assert D.leaks(no_docs, bench).count() == 0 and D.leaks(odd_docs, bench.limit(0)).count() == 0
     assert D.drop_leaks(odd_docs, bench.limit(0)).count() == len(ODD_ROWS)
+
+
+def test_items_are_found_across_any_white_space_and_in_scripts_without_spaces(spark):
+    phrase = "un deux trois quatre cinq six sept huit".split()
+    han = "机器学习模型需要大量高质量数据才能训练"
+    thai = "ประเทศไทยมีอาหารอร่อยมากมาย"
+    items = {1: " ".join(phrase), 2: han, 3: thai, 4: "rareword", 5: "two words", 6: " ".join("alpha beta gamma delta epsilon".split())}
+    docs = {}
+    for k, gap in enumerate(["\u00a0", "\u3000", "\u2028", "\x1c", "\x1f", "\x85", " \u2009"]):
+        docs[k] = ("start " + gap.join(phrase) + " end", {1})
+    docs |= {
+        20: ("前言。" + han + "。后记", {2}), 21: ("前言。" + han[:9] + "的" + han[9:] + "后记", {2}), 22: ("数据很多", set()), 23: (f"คำนำ{thai}จบ", {3}),
+        30: ("here a Rareword, stands", {4}), 31: ("two other words and words two", set()), 32: ("at last Two, WORDS!", {5}), 33: ("rarewords", set()),
+        40: ("x alpha beta gamma delta epsilon y", {6}), 41: ("", set()), 42: ("rareword two words", {4, 5}),
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = D.leaks(spark.createDataFrame([(k, t) for k, (t, _) in docs.items()], "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, i) for k, (_, want) in docs.items() for i in want}
+    assert all(r["score"] == 1.0 for r in found if r["doc_id"] != 21)
