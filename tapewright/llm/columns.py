@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from tapewright.session import materialize
 FOLDS = 5
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``doc_id`` (long) and ``text`` (null becomes empty); other columns, whatever their names, stay behind."""
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Columns ``doc_id`` (long), ``text`` (null becomes empty) and ``keep``; others, whatever their names, stay behind."""
     return docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
+        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *[docs[c] for c in keep]
     )
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.columns import id_and_text
+from tapewright.llm.columns import id_and_text, rows_of
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -207,14 +207,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat the id as well, one."""
-    marks = exact_dedup(docs, id_col, text_col).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    once, again = (marks.filter(c).select(F.col("doc_id").alias("_kept_id")) for c in ("n = 1", "n > 1"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_kept_id"))
-    repeated = docs.join(again, same, "left_semi").groupBy(docs[id_col], docs[text_col]).agg(
-        *[F.first(docs[c]).alias(c) for c in docs.columns if c not in (id_col, text_col)]
-    )
-    return docs.join(once, same, "left_semi").unionByName(repeated)
+    """One row of ``docs`` per distinct text, with all columns: largest id, of rows that repeat the id the first by its JSON."""
+    marks = exact_dedup(docs, id_col, text_col).withColumnRenamed("text_sha256", "text_key")
+    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    return rows_of(docs, marks.filter("kept"), marks, digest, id_col)
 
 
 def build_index(marked: DataFrame, buckets: int) -> DataFrame:

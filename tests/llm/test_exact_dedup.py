@@ -75,3 +75,12 @@ def test_index_build_update_probe(spark):
     got = {r["text_sha256"]: r["live"] for r in X.probe_index(index, texts(range(300)), 8).collect()}
     want = {hashlib.sha256(f"t{k}".encode()).hexdigest(): k < 50 or 100 <= k < 260 for k in range(300)}
     assert got == want
+
+
+def test_a_decision_binds_the_row_and_not_its_id(spark):
+    rows = [(1, "a", "x"), (5, "a", "x"), (1, "b", "x"), (None, "c", "x"), (None, "a", "x"), (None, "c", "w"), (7, "d", "z"), (7, "d", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for _ in range(2):
+        got = sorted(map(tuple, X.drop_duplicates(docs).collect()), key=repr)
+        assert got == sorted([(5, "a", "x"), (1, "b", "x"), (None, "c", "w"), (7, "d", "y")], key=repr)
+        docs = docs.orderBy("lang", "text")
