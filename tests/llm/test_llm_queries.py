@@ -21,11 +21,14 @@ COLUMNS = {
     "op8": "doc_id held_out lang_pred score",
     "op9": "doc_id fingerprint component_id",
     "op10": "page_id host path rule verdict",
+    "op11": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op12": "doc_id held_out score predicted",
+    "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert {name.split("_")[0] for name in queries.QUERIES} == set(COLUMNS) and len(queries.QUERIES) == 10
+    assert {name.split("_")[0] for name in queries.QUERIES} == set(COLUMNS) and len(queries.QUERIES) == 13
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -36,8 +39,7 @@ def test_columns_and_rows(spark, name):
     rows = got.collect()
     if name.startswith("op1_"):
         return  # a row per leak
-    table = "pages" if "page_id" in got.columns else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
+    key, table = next((k, t) for k, t in (("page_id", "pages"), ("vec_id", "embeddings"), ("doc_id", "documents")) if k in got.columns)
     assert sorted(r[key] for r in rows) == sorted(r[key] for r in spark.read.parquet(f"{DIR}/{table}.parquet").select(key).collect())
 
 
