@@ -2,9 +2,9 @@
 
 A text is the set of its n-grams: characters within words, with the words' edges, and words of a stretch as one of
 ``MARKS``, how far back the same word stood, so that repetition shows whatever is repeated. Each n-gram is an indicator, hashed
-into ``BUCKETS``. The log-count ratio of an indicator tells how much likelier it is in a text of label 1, from the counts
-of all labelled texts; the indicators scaled by it are the features of a linear machine with hinge loss, fitted by dual
-coordinate descent on a bounded sample. A logistic curve over the machine's values on the sample gives the score.
+into ``BUCKETS``. The log-count ratio of an indicator tells how much likelier it is in a text of label 1; the indicators
+scaled by it are the features of a linear machine with hinge loss, fitted by dual coordinate descent. Both are fitted on
+a sample of bounded size. A logistic curve over the machine's values on the sample gives the score.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ MARK_WORDS = 3  # marks of an n-gram of words
 SMOOTHING = 1.0
 COST = 1.0
 PASSES = 30
-# The machine learns from about this many texts of each label; the log-count ratios from all.
-TRAIN_PER_LABEL = 3_000
+# Log-count ratios and machine learn from about this many texts of each label.
+TRAIN_PER_LABEL = 4_000
 BLOCK_BYTES = 4_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -184,16 +184,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int = TRAIN_PER_LABEL) -> Machine | None:
     """A machine from the labelled documents for which ``learn``, a condition on doc_id, holds; None unless both labels occur.
 
-    What is gathered is bounded: a count per label and bucket, and the buckets of about ``per_label`` texts of each label.
+    About ``per_label`` documents of each label take part. What is gathered is bounded: a count per label and bucket, and
+    the buckets of these texts. The sample is drawn from the labels alone, so that no text but its own is moved.
     """
     marked = _labelled(labels, label, learn)
+    chosen = sample_per_label(marked, "label", per_label).withColumnRenamed("doc_id", "l_id")
     texts = id_and_text(docs)
-    known = materialize(texts.join(marked, "doc_id").select("doc_id", "text", "label"), "quality-texts")
+    # About 2 * per_label rows of two numbers, whatever the number of labels.
+    known = materialize(texts.join(F.broadcast(chosen), texts["doc_id"] == F.col("l_id")).select("doc_id", "text", "label"), "quality-sample")
     counted = known.mapInArrow(_counted, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, BUCKETS))
     counts[counted.column("label").to_numpy(), counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    chosen = sample_per_label(known, "label", per_label)
-    sample = chosen.mapInArrow(_rows, "doc_id long, label int, buckets binary").toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
+    sample = known.mapInArrow(_rows, "doc_id long, label int, buckets binary").toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
     y = np.where(sample.column("label").to_numpy() == 1, 1.0, -1.0)
     if len(set(y)) < 2:
         return None
@@ -207,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_lab
     weights = (w[:-1] * ratios).astype(np.float32)
     values = np.array([float(weights[c].sum()) + w[-1] for c, _ in rows])
     # A row of the sample stands for as many texts as its label has for each one sampled.
-    every = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    every = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     each = np.where(y > 0, every[1] / (y > 0).sum(), every[0] / (y < 0).sum())
     return Machine(weights, float(w[-1]), *_logistic(values, (y > 0).astype(float), each))
 
