@@ -1,16 +1,18 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split at white space, in blocks of bounded size. Each block sends its distinct words to shards of the
-word table by their hash; a shard encodes every distinct word once, whatever the number of blocks that hold it.
-The ids come back to the block and are put at the positions of the words; an id gives its piece by a lookup in
-the vocabulary, whose size the tokenizer file bounds.
+word table by their hash; a shard is a stream of such rows, whatever the number of blocks, and encodes every distinct
+word once: it holds its distinct words and nothing else. The ids come back to the block and are joined to the positions
+of the words; an id is joined to its piece in the vocabulary, whose size the tokenizer file bounds.
 
-Splitting first is exact: the tokenizer's normalizer and pre-tokenizer never reach across white space.
+Splitting first is exact for tokenizers whose normalizer and pre-tokenizer never reach across white space; others are
+refused.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
 import re
@@ -28,7 +30,12 @@ from pyspark.sql import functions as F
 from tapewright.llm import chunks
 from tapewright.llm.columns import id_and_text
 
-SHARD_BYTES = 16_000_000
+# Text of a shard of the word table, and the power of the text with which shards grow: words grow slower than text.
+SHARD_BYTES, SHARD_GROWTH = 16_000_000, 0.75
+# Words that a shard looks up at once, in bytes.
+PART_BYTES = 4_000_000
+# Words whose shard a block works out at once.
+WORDS_AT_ONCE = 32_768
 
 _WORDS = "shard int, block long, first long, words binary"
 _IDS = "block long, first long, sizes binary, ids binary"
@@ -36,14 +43,37 @@ _TEXTS = "block long, doc_ids binary, has_id binary, ends binary, codes binary"
 _RESULT = "doc_id long, ids array<int>, decoded string"
 
 
+# What a tokenizer file must say for words to be encoded on their own. Text is composed, lower-cased and
+# cut into runs of letters, single digits and runs of signs, without white space; bytes are spelled as characters.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def _words_stand_alone(told: dict) -> bool:
+    normalizers = (told.get("normalizer") or {}).get("normalizers", [])
+    parts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [n["type"] for n in normalizers] != _NORMALIZERS or len(parts) != 2:
+        return False
+    blank = normalizers[1]["pattern"] == {"Regex": r"\s+"} and normalizers[1]["content"] == " "
+    cut = parts[0].get("pattern") == {"Regex": _SPLIT} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    spelled = all(parts[1].get(k) == v for k, v in _BYTES.items())
+    whole = all(a["normalized"] is False and not a["lstrip"] and not a["rstrip"] and " " not in a["content"] for a in told.get("added_tokens", []))
+    return blank and cut and spelled and whole and told.get("decoder") is None and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+
+
 @functools.cache
 def tokenizer(path: str):
+    """The tokenizer of a file; a ValueError unless its words can be encoded one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
     loaded.no_truncation()
     loaded.no_padding()
+    with open(path, encoding="utf-8") as file:
+        if not _words_stand_alone(json.load(file)):
+            raise ValueError(f"{path}: only tokenizers that lower-case, drop white space and split as the word tokenizers do are supported")
     return loaded
 
 
@@ -130,8 +160,10 @@ def _split(batches: Iterator[pa.RecordBatch], shards: int):
     task = TaskContext.get()
     for nth, rows in enumerate(chunks.blocks(batches)):
         words, codes, ends = chunks.factorize(rows.column("text"))
-        strings = words.to_pylist()
-        shard = np.array([xxhash.xxh64_intdigest(w) % shards for w in strings], dtype=np.int64)
+        shard = np.empty(len(words), dtype=np.int64)
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words.slice(start, WORDS_AT_ONCE).to_pylist()
+            shard[start : start + len(some)] = [xxhash.xxh64_intdigest(w) % shards for w in some]
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
@@ -146,10 +178,9 @@ def _split(batches: Iterator[pa.RecordBatch], shards: int):
 
 def _words_of_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for block, _, words, bounds, _, _ in _split(batches, shards):
-        strings = words.to_pylist()
         some = np.flatnonzero(np.diff(bounds))
         # A word holds no space, and many words of a block compress well together.
-        packed = [zstandard.compress(" ".join(strings[bounds[k] : bounds[k + 1]]).encode(), 1) for k in some]
+        packed = [zstandard.compress(" ".join(words.slice(bounds[k], bounds[k + 1] - bounds[k]).to_pylist()).encode(), 1) for k in some]
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), pa.array(bounds[some]), pa.array(packed, pa.binary())],
             ["shard", "block", "first", "words"],
@@ -165,21 +196,39 @@ def _texts_of_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator
         yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "has_id", "ends", "codes"])
 
 
-def _encode_shard(rows: pa.Table, path: str) -> pa.Table:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Some rows of a shard at a time with their words, about ``PART_BYTES`` of them."""
+    for batch in batches:
+        first, filled, texts = 0, 0, []
+        for k, packed in enumerate(batch.column("words")):
+            texts.append(zstandard.decompress(packed.as_py()).decode())
+            filled += len(texts[-1])
+            if filled >= PART_BYTES or k + 1 == batch.num_rows:
+                yield batch.slice(first, k + 1 - first), texts
+                first, filled, texts = k + 1, 0, []
+
+
+def _encode_shard(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Ids of the words of one shard, a row for each block that sent some; every distinct word is encoded once."""
-    lists = pc.ascii_split_whitespace(pa.array([zstandard.decompress(w.as_py()).decode() for w in rows.column("words")], pa.large_string()))
-    coded = pc.dictionary_encode(lists.flatten())
-    sizes, ids = encode_words(coded.dictionary, path)
-    starts = np.cumsum(sizes, dtype=np.int64) - sizes
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    of_sizes, of_ids = [], []
-    for begin, end in zip(np.concatenate(([0], ends[:-1])), ends):
-        part = at[begin:end]
-        of_sizes.append(_pack(sizes[part]))
-        of_ids.append(_pack(ids[gather(starts[part], sizes[part])]))
-    columns = [rows.column("block"), rows.column("first"), pa.array(of_sizes, pa.binary()), pa.array(of_ids, pa.binary())]
-    return pa.table(columns, names=["block", "first", "sizes", "ids"])
+    known, sizes, ids = pa.array([], pa.large_string()), np.empty(0, np.int32), np.empty(0, np.int32)
+    for rows, texts in _parts(batches):
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        # Words that were met before keep their numbers, new ones follow.
+        coded = pc.dictionary_encode(pa.concat_arrays([known, lists.flatten()]))
+        at = coded.indices.to_numpy(zero_copy_only=False)[len(known) :]
+        more_sizes, more_ids = encode_words(coded.dictionary.slice(len(known)), path)
+        known, sizes, ids = coded.dictionary, np.concatenate([sizes, more_sizes]), np.concatenate([ids, more_ids])
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        of_sizes, of_ids = [], []
+        for begin, end in zip(np.concatenate(([0], ends[:-1])), ends):
+            part = at[begin:end]
+            of_sizes.append(_pack(sizes[part]))
+            of_ids.append(_pack(ids[gather(starts[part], sizes[part])]))
+        columns = [rows.column("block"), rows.column("first"), pa.array(of_sizes, pa.binary()), pa.array(of_ids, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "first", "sizes", "ids"])
+    del known, sizes, ids
+    chunks.release()
 
 
 def _join_runs(values: pa.Array, at: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -223,7 +272,9 @@ def _assemble_block(words: pa.Table, held: pa.Table, path: str) -> pa.Table:
                 names=["doc_id", "ids", "decoded"],
             )
         )
-    return pa.Table.from_batches(out)
+    result = pa.Table.from_batches(out)
+    chunks.release()
+    return result
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,12 +285,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     table gives none; further columns play no part. ``docs`` is read twice and must be a table or files, so that
     both passes see the same batches; if they do not, the job fails rather than mix up texts.
     """
+    tokenizer(tokenizer_path)  # a file that is not supported fails here
     texts = id_and_text(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(16, math.ceil(size / SHARD_BYTES))
+    shards = max(16, math.ceil((size / SHARD_BYTES) ** SHARD_GROWTH))
+    # A partition is a shard of the word table.
     encoded = (
         texts.mapInArrow(lambda batches: _words_of_blocks(batches, shards), _WORDS)
-        .groupBy("shard").applyInArrow(lambda rows: _encode_shard(rows, tokenizer_path), _IDS)
+        .repartitionById(shards, F.col("shard")).mapInArrow(lambda batches: _encode_shard(batches, tokenizer_path), _IDS)
     )
     held = texts.mapInArrow(lambda batches: _texts_of_blocks(batches, shards), _TEXTS)
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,11 +11,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text in a block; a single longer text is a block of its own.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the machine: workers outlive their task, and several of them share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Consecutive rows with about ``size`` bytes of text; the cut depends on the rows alone."""
+    """Consecutive rows with about ``size`` bytes of text; the cut depends on the rows alone.
+
+    The memory of a block is released before the next one is read.
+    """
     held: list[pa.RecordBatch] = []
     filled = 0
     for batch in batches:
@@ -30,8 +47,11 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             if filled >= size:
                 yield pa.Table.from_batches(held)
                 held, filled = [], 0
+                release()
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def factorize(texts: pa.ChunkedArray, split=pc.ascii_split_whitespace) -> tuple[pa.Array, np.ndarray, np.ndarray]:

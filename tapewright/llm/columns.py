@@ -35,22 +35,29 @@ def stay(docs: DataFrame, marked: DataFrame, group: str, id_col: str = "doc_id",
     return rows_of(docs, kept, marked, text_key(docs[text_col].cast("string")), id_col)
 
 
+def whole_rows(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """``row`` (all columns of ``docs``), ``doc_id`` and ``text_key``: no name of the rows can clash with another."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    return docs.select(row.alias("row"), docs[id_col].cast("long").alias("doc_id"), key.alias("text_key"))
+
+
+def same_row(a: str, b: str) -> Column:
+    """Id and text key agree; null ids are alike."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+
+
 def rows_of(docs: DataFrame, kept: DataFrame, marked: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
     """One row of ``docs`` per row of ``kept`` (doc_id, text_key), the first by its JSON if rows repeat both.
 
     ``marked`` has doc_id and text_key of every row of ``docs``, ``digest`` is the text's key there.
     """
-    names = [F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")]
-    twice = marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*names)
-    again = materialize(twice, "repeated-rows")
-    kept = materialize(kept.select(*names).distinct(), "kept-rows")
-    pair = (F.col("a._kept_id").eqNullSafe(F.col("b._kept_id"))) & (F.col("a._kept_key") == F.col("b._kept_key"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_key"))
-    once = kept.alias("a").join(again.alias("b"), pair, "left_anti")
-    repeated = kept.alias("a").join(again.alias("b"), pair, "left_semi")
-    row = F.struct(*[docs[c] for c in docs.columns])
-    first = docs.join(repeated, same).groupBy("_kept_id", "_kept_key").agg(F.min_by(row, F.to_json(row)).alias("_row"))
-    return docs.join(once, same, "left_semi").unionByName(first.select("_row.*"))
+    twice = marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_key")
+    again = materialize(twice, "repeated-rows").alias("b")
+    kept = materialize(kept.select("doc_id", "text_key").distinct(), "kept-rows").alias("a")
+    whole = whole_rows(docs, digest, id_col).alias("whole")
+    once, repeated = (kept.join(again, same_row("a", "b"), how).alias("kept") for how in ("left_anti", "left_semi"))
+    first = whole.join(repeated, same_row("whole", "kept"), "left_semi").groupBy("doc_id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return whole.join(once, same_row("whole", "kept"), "left_semi").select("row.*").unionByName(first.select("row.*"))
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm import chunks
-from tapewright.llm.columns import id_and_text
+from tapewright.llm.columns import id_and_text, same_row, whole_rows
 from tapewright.session import materialize
 
 SEED_WORDS = 3
@@ -37,7 +37,7 @@ MIN_SCORE = 0.5
 # Words of a window to either side of a stretch with seeds, as a multiple of the longest segment.
 SLACK = 1.25
 FILTER_BITS = 22
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
 # Scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, Cham, kana, bopomofo, Han, Yi.
@@ -314,7 +314,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, with all columns, in which no test item was found."""
-    found = matches(docs, benchmark, min_score).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_leak_key"))
-    return docs.join(found, same, "left_anti")
+    """The rows of ``docs``, with all columns, in which no test item was found; see ``leaks``.
+
+    Null and empty texts stay. Of rows that share an id only those with a leaking text go, and rows that repeat both go
+    or stay together; a null id is an id like others here. An empty table gives no rows, an empty benchmark leaves all.
+    """
+    found = matches(docs, benchmark, min_score).select("doc_id", "text_key").distinct().alias("leak")
+    whole = whole_rows(docs, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("whole")
+    return whole.join(found, same_row("whole", "leak"), "left_anti").select("row.*")

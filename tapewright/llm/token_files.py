@@ -26,10 +26,7 @@ from tapewright.llm.bpe import encode_words, gather
 from tapewright.llm.columns import id_and_text
 
 TEXT_BYTES_PER_SHARD = 32_000_000
-# Smaller than elsewhere, and fewer rows at once between JVM and Python: the sort before and the Parquet writer after
-# the encoding hold memory at the same time.
-BLOCK_BYTES = 14_000_000
-ROWS_AT_ONCE = "1000"
+BLOCK_BYTES = 8_000_000
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 * 1024 * 1024),
@@ -92,13 +89,7 @@ def write_tokens(
     ordered = texts.repartitionByRange(shards, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key").drop("text_key")
     encoded = ordered.mapInArrow(lambda batches: encode_batches(batches, tokenizer_path, end_id), _DATA)
     spark = docs.sparkSession
-    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows_at_once)
-    spark.conf.set(rows_at_once, ROWS_AT_ONCE)
-    try:
-        encoded.write.options(**layout).parquet(f"{path}/data")
-    finally:
-        spark.conf.set(rows_at_once, before)
+    encoded.write.options(**layout).parquet(f"{path}/data")
     counted = (
         spark.read.schema(_DATA).parquet(f"{path}/data").groupBy("shard")
         .agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
@@ -109,7 +100,11 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids; filters on ``doc_id`` reach the page indexes."""
+    """doc_id, start (ids of all documents before), n_tokens, ids, a row per document of the manifest's shards.
+
+    Filters on ``doc_id`` reach the page indexes. Null ids stay null and start first; repeated rows each have a row;
+    an empty archive gives none. Without a manifest, the last file of a write, reading fails.
+    """
     shards = spark.read.parquet(f"{path}/manifest").select("shard", F.col("start").alias("shard_start"))
     data = spark.read.schema(_DATA).parquet(f"{path}/data")
     return data.join(shards, "shard").select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids")

@@ -61,3 +61,39 @@ def test_digests_of_the_query(docs_of, tmp_path):
 
 def test_empty_table(no_docs):
     assert bpe.encode_decode(no_docs, PATH).count() == 0
+
+
+def test_other_tokenizers_are_refused(odd_docs, tmp_path):
+    """A cased file, and one whose tokens reach over white space: words on their own would give other ids."""
+    import json
+
+    cased = json.load(open(PATH))
+    cased["normalizer"]["normalizers"].pop()
+    path = str(tmp_path / "cased.json")
+    json.dump(cased, open(path, "w"))
+    for other in (path, queries.tokenizer_path("byte_bpe_50k.json")):
+        with pytest.raises(ValueError, match="only tokenizers"):
+            bpe.encode_decode(odd_docs, other)
+
+
+def test_a_shard_encodes_each_word_once(monkeypatch):
+    """Rows of many blocks with the same words, some rows at a time."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    seen = []
+    once = bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda words, path: (seen.extend(words.to_pylist()), once(words, path))[1])
+    monkeypatch.setattr(bpe, "PART_BYTES", 40)
+    lists = [["the", "cat", f"word{k % 7}"] for k in range(50)]
+    rows = pa.record_batch(
+        [pa.array([0] * 50, pa.int32()), pa.array(range(50), pa.int64()), pa.array([0] * 50, pa.int64()), pa.array([zstandard.compress(" ".join(w).encode()) for w in lists], pa.binary())],
+        names=["shard", "block", "first", "words"],
+    )
+    out = pa.Table.from_batches(bpe._encode_shard(iter([rows.slice(0, 20), rows.slice(20)]), PATH)).to_pylist()
+    assert sorted(seen) == sorted({w for words in lists for w in words}) and len(out) == 50
+    for words, row in zip(lists, out):
+        sizes, ids = bpe._unpack(row["sizes"], "int32"), bpe._unpack(row["ids"], "int32")
+        want = [once(pa.array([w]), PATH)[1].tolist() for w in words]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
