@@ -16,7 +16,7 @@ from tapewright.operators.ranking import first_per_key
 from tapewright.plans import collection, feature_table, ingest, screening
 from tapewright.schemas import FEATURE_COLUMNS, FEATURE_FLAGS
 from tapewright.session import build_session, materialize, read_if_present, scratch_path, scratch_scope, sized
-from tapewright.sources import files, readers, sinks
+from tapewright.sources import compaction, files, readers, sinks
 
 # Options that name a folder a job reads.
 INPUTS = ("landing", "table", "volumes", "captured", "chains", "bars", "quotes", "pushed")
@@ -25,11 +25,12 @@ INPUTS = ("landing", "table", "volumes", "captured", "chains", "bars", "quotes",
 def ingest_ticks(spark: SparkSession, landing: str, table: str) -> dict[str, DataFrame]:
     """Ticks of new and changed files, of their file's session and not in the table yet, appended to it.
 
-    Returns rows kept and refused per session, and the files that could not be read.
+    Returns rows kept and refused per session, and the files that no run could read in their present or an earlier state.
     """
     counts = ingest.ingest_changed(spark, landing, table)
-    unreadable = readers.unreadable_files(spark, landing, readers.TICK_HEADER)
-    return {"unreadable": unreadable} if counts is None else {"sealed": counts, "unreadable": unreadable}
+    noted = read_if_present(spark, ingest.note_path(table, ingest.UNREADABLE))
+    unreadable = {} if noted is None else {"unreadable": noted.select("file").distinct()}
+    return unreadable if counts is None else {"sealed": counts, **unreadable}
 
 
 def stream_ticks(spark: SparkSession, landing: str, table: str, checkpoint: str) -> None:
@@ -37,6 +38,11 @@ def stream_ticks(spark: SparkSession, landing: str, table: str, checkpoint: str)
     ingest.ingest_stream(spark, landing, table, checkpoint).awaitTermination()
 
 
+def compact(spark: SparkSession, table: str) -> None:
+    """Small files of the tape packed into larger ones; finishes a run that broke."""
+    print(f"{compaction.compact(spark, table)} files replaced")
+
+
 def ingest_chains(spark: SparkSession, landing: str, table: str) -> DataFrame:
     """Landed chain snapshots; the partition of a symbol and day is replaced. Returns contracts per symbol."""
     snapshot = readers.read_landed_chains(spark, landing)
@@ -208,6 +214,7 @@ def _parser() -> argparse.ArgumentParser:
     date = {"type": dt.date.fromisoformat, "required": True}
     job("ingest-ticks", ingest_ticks, "landing", "table")
     job("stream-ticks", stream_ticks, "landing", "table", "checkpoint")
+    job("compact", compact, "table")
     job("ingest-chains", ingest_chains, "landing", "table")
     job("ingest-history", ingest_history, "landing", "table")
     job("features", build_features, "table", "out", csv={"action": "store_true"})

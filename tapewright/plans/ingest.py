@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tapewright import params as P
 from tapewright.operators import tape
 from tapewright.schemas import TAPE
-from tapewright.session import materialize, read_if_present
+from tapewright.session import materialize, read_if_present, scratch_scope
 from tapewright.sources import files, readers, sinks
 from tapewright.streaming import source
 
@@ -35,8 +37,28 @@ def ingest_lines(lines: DataFrame, table: str) -> DataFrame:
     return tape.seal_counts(landed.withColumn("session", session), F.col("session"), ["session"])
 
 
-def _ingest(batch: DataFrame, table: str) -> None:
-    ingest_lines(batch, table)
+SEALED, UNREADABLE = "sealed", "unreadable"
+
+
+def note_path(table: str, kind: str) -> str:
+    """Where a stream notes, beside ``table``, what each micro-batch kept and refused, or could not read."""
+    return f"{table.rstrip('/')}_{kind}"
+
+
+def _ingest(batch: DataFrame, batch_id: int, table: str) -> None:
+    """One micro-batch; what it counts is noted under its number, so that a batch that is replayed is noted once."""
+    spark = batch.sparkSession
+    with scratch_scope(spark):
+        lines = materialize(batch, "landed-batch")
+        ingest_lines(lines, table).write.mode("overwrite").parquet(f"{note_path(table, SEALED)}/batch={batch_id}")
+        unreadable = readers.files_without_header(lines, readers.TICK_HEADER)
+        unreadable.write.mode("overwrite").parquet(f"{note_path(table, UNREADABLE)}/batch={batch_id}")
+
+
+def sealed_counts(spark: SparkSession, table: str) -> DataFrame:
+    """Rows kept and refused per session by all micro-batches of the stream into ``table`` so far."""
+    noted = spark.read.schema("session date, fresh_rows long, stale_rows long").parquet(note_path(table, SEALED))
+    return noted.groupBy("session").agg(F.sum("fresh_rows").alias("fresh_rows"), F.sum("stale_rows").alias("stale_rows"))
 
 
 def changed_files(spark: SparkSession, landing: str, ledger: str) -> DataFrame:
@@ -47,13 +69,19 @@ def changed_files(spark: SparkSession, landing: str, ledger: str) -> DataFrame:
 
 
 def ingest_changed(spark: SparkSession, landing: str, table: str) -> DataFrame | None:
-    """Ingest the files that changed since the last run, noted in ``<table>_files``; None if there are none."""
+    """Ingest the files that changed since the last run, noted in ``<table>_files``; None if there are none.
+
+    Those that could not be read are noted in ``<table>_unreadable`` and not read again until they change.
+    """
     ledger = f"{table.rstrip('/')}_files"
     changed = materialize(changed_files(spark, landing, ledger), "changed-files")
     paths = [r["path"] for r in changed.select("path").collect()]  # the files of one run
     if not paths:
         return None
-    counts = ingest_lines(readers.landed_lines(spark, paths), table)
+    lines = readers.landed_lines(spark, paths)
+    counts = ingest_lines(lines, table)
+    unreadable = readers.unreadable_files(spark, paths, readers.TICK_HEADER).withColumn("run", F.lit(uuid.uuid4().hex))
+    unreadable.write.mode("append").parquet(note_path(table, UNREADABLE))
     # Last: a run that fails before reads the same files again and appends nothing twice.
     changed.write.mode("append").parquet(ledger)
     return counts
@@ -65,5 +93,5 @@ def ingest_stream(
     """The same steps for every micro-batch of new files; with ``seconds`` None it ends with what has landed."""
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
     return source.each_batch(
-        source.stream_landed_lines(spark, landing, max_files), lambda batch, _: _ingest(batch, table), checkpoint, **trigger
+        source.stream_landed_lines(spark, landing, max_files), lambda batch, nth: _ingest(batch, nth, table), checkpoint, **trigger
     )

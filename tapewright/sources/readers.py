@@ -80,11 +80,20 @@ def by_name(lines: DataFrame, schema: T.StructType, header: Sequence[str]) -> Da
     return rows.select(*typed, F.element_at(F.split("file", "/"), -1).alias("file_name"))
 
 
-def unreadable_files(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
-    """Names of landed files in which no line is a header."""
-    listed = files.list_files(spark, path).filter(F.col("name").endswith(".csv"))
-    good = _headers(landed_lines(spark, path), header).select(F.element_at(F.split("file", "/"), -1).alias("name"))
-    return listed.join(good, "name", "left_anti").select("name")
+def files_without_header(lines: DataFrame, header: Sequence[str]) -> DataFrame:
+    """Paths (``file``) of the files of ``lines`` in which no line is a header."""
+    return _fields(lines, header).groupBy("file").agg(F.max("is_header").alias("good")).filter(~F.col("good")).select("file")
+
+
+def unreadable_files(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str]) -> DataFrame:
+    """Paths (``file``) of landed files, empty ones included, in which no line is a header.
+
+    Pass the files of one run rather than a whole landing folder: their text is read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    names = listed.load(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"))
+    good = _headers(landed_lines(spark, paths), header).select("file")
+    return names.join(good, "file", "left_anti")
 
 
 def typed_ticks(lines: DataFrame) -> DataFrame:

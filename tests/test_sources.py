@@ -40,7 +40,7 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     land(d, "US_C260821C1_2026-08-12.csv", "code,price", ["c,3"])
     got = sorted((r.file_code, r.code, r.time, r.price, r.sequence) for r in readers.read_landed_ticks(spark, d).collect())
     assert got == [("US.A260821C1", "c", "t", 1.0, 5), ("US.B260821C1", "c", "t", 2.0, 6)]
-    assert [r.name for r in readers.unreadable_files(spark, d, readers.TICK_HEADER).collect()] == ["US_C260821C1_2026-08-12.csv"]
+    assert [r.file.rsplit("/", 1)[-1] for r in readers.unreadable_files(spark, d, readers.TICK_HEADER).collect()] == ["US_C260821C1_2026-08-12.csv"]
 
 
 def test_files_of_one_writer_with_another_header_fail(spark, tmp_path):

@@ -83,19 +83,31 @@ def ingest_stream(spark, sf_dir):
     return report(spark, table)
 
 
-@query(
-    "session:d fresh_rows:i stale_rows:i",
-    f"""WITH {EVENTS}, f AS (
+REFUSED = f"""WITH {EVENTS}, f AS (
   SELECT trade_date, trade_date AS session, CASE WHEN sequence % 7 = 0 THEN 2 ELSE 1 END AS n FROM ev
   UNION ALL SELECT trade_date, trade_date + 1, 1 FROM ev WHERE sequence % 11 = 0)
 SELECT session, sum(CASE WHEN session = trade_date THEN n ELSE 0 END) AS fresh_rows,
-       sum(CASE WHEN session <> trade_date THEN n ELSE 0 END) AS stale_rows FROM f GROUP BY session""",
-)
+       sum(CASE WHEN session <> trade_date THEN n ELSE 0 END) AS stale_rows FROM f GROUP BY session"""
+
+
+@query("session:d fresh_rows:i stale_rows:i", REFUSED)
 def ingest_refused(spark, sf_dir):
     """Rows that the session seal kept and refused."""
     return ingest.ingest_changed(spark, land_ticks(spark, sf_dir), scratch_path(spark, "tape"))
 
 
+@query("session:d fresh_rows:i stale_rows:i", REFUSED)
+def ingest_stream_refused(spark, sf_dir):
+    """The same counts noted by a stream of several micro-batches, stopped after half of the files and gone on from its checkpoint."""
+    landing, table, checkpoint = scratch_path(spark, "refused-landing"), scratch_path(spark, "tape"), scratch_path(spark, "refused-checkpoint")
+    ticks = land_ticks(spark, sf_dir)
+    for half in (0, 1):
+        named = readers.landed_lines(spark, ticks).withColumn("name", F.element_at(F.split("file", "/"), -1))
+        copy_files(named.filter(F.crc32("name") % 2 == half), landing)
+        ingest.ingest_stream(spark, landing, table, checkpoint, max_files=160, seconds=None).awaitTermination()
+    return ingest.sealed_counts(spark, table)
+
+
 @query(REPORT_COLS, REPORT)
 def landed_mixed_headers(spark, sf_dir):
     """Files of two writers read by the header of each, without repeats and ticks of other sessions."""

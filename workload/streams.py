@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import capture, chain
 from tapewright.session import materialize, scratch_path
-from tapewright.sources import files, readers, sinks
-from tapewright.streaming import polls, source, ticks
+from tapewright.sources import compaction, files, readers, sinks
+from tapewright.streaming import polls, source, stateful, ticks
 from workload import adapters as A
 from workload.collection import EVENT_CAP, event_capture
 from workload.flow import ORDER_TIES, UPSERT, order_batches
@@ -284,3 +284,70 @@ def changed_partitions(spark, sf_dir):
     before = materialize(files.partition_fingerprints(spark, path), "fingerprint-cache")
     sinks.append_tape(rows.filter("trade_date >= '2024-01-20'"), path, ["trade_date"])
     return capture.changed_days(files.partition_fingerprints(spark, path), before)
+
+
+SILENCE_SLICES = 4
+# Of the last tenth of a slice, every fifth tick lands with the next slice.
+LATE = """x AS (SELECT symbol, ts, sequence, epoch_us(ts) AS us FROM ev),
+r AS (SELECT min(us) AS lo, max(us) AS hi, (max(us) - min(us)) // 4 + 1 AS width FROM x),
+p AS (SELECT x.*, hi, width, (us - lo) // width AS own,
+             CASE WHEN sequence % 5 = 0 AND (us - lo) % width >= width - width // 10 AND (us - lo) // width < 3 THEN 1 ELSE 0 END AS back FROM x, r),
+q AS (SELECT *, own + back AS slice FROM p),
+m AS (SELECT symbol, slice, max(max(us)) OVER (PARTITION BY symbol ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM q GROUP BY symbol, slice),
+t AS (SELECT q.*, CASE WHEN us // 60000000 < newest // 60000000 THEN 1 ELSE 0 END AS late FROM q JOIN m USING (symbol, slice)),
+g AS (SELECT *, lag(us) OVER (PARTITION BY symbol ORDER BY us) AS prev FROM t),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR us - prev >= 1200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY us) AS n FROM g)
+SELECT symbol, min(ts) AS first_tick, max(ts) AS last_tick, max(ts) + INTERVAL 20 MINUTE AS alert_time, count(*) AS ticks, sum(late) AS late_ticks
+FROM s GROUP BY symbol, n HAVING max(us) + 1200000000 <= max(hi) - max(width) // 10"""
+
+
+@query("symbol:i first_tick:u last_tick:u alert_time:u ticks:i late_ticks:i", f"WITH {EVENTS}, {LATE}")
+def stream_silence_symbols(spark, sf_dir):
+    """Silences of each symbol by timers, over four micro-batches and restarts, some ticks landing a batch late."""
+    rows = A.events_tape(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "sequence")
+    us = F.unix_micros("ts")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    width = (high - low) // SILENCE_SLICES + 1
+    own = F.floor((us - low) / width)
+    late = (F.col("sequence") % 5 == 0) & ((us - low) % width >= width - width // 10) & (own < SILENCE_SLICES - 1)
+    nth = own + F.when(late, 1).otherwise(0)
+    landing, at = scratch_path(spark, "silence-landing"), (scratch_path(spark, "silence"), scratch_path(spark, "silence-checkpoint"))
+    for k in range(SILENCE_SLICES):
+        rows.filter(nth == k).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        found = source.run_available(stateful.silence_watch(stream, delay=f"{width // 10} microseconds"), "silence", at=at)
+    return found
+
+
+@query("symbol:i trade_date:d sequence:i rows:i", f"WITH {EVENTS}\nSELECT symbol, trade_date, sequence, 1 AS rows FROM ev GROUP BY ALL")
+def stream_dedup_from_tape(spark, sf_dir):
+    """Three runs without a checkpoint of the last one, over all that has landed, every fourth tick twice: the tape itself is what was seen."""
+    rows = A.events_tape(spark, sf_dir).select("symbol", "trade_date", "sequence", F.col("ts").cast("timestamp").alias("ts"))
+    landing, table = scratch_path(spark, "seen-landing"), scratch_path(spark, "seen-tape")
+    spark.createDataFrame([], rows.schema).write.parquet(table)
+    for k in range(3):
+        part = rows.filter(F.pmod(F.xxhash64("sequence"), F.lit(3)) == k)
+        part.unionByName(part.filter("sequence % 4 = 0")).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        seen = spark.read.schema(rows.schema).parquet(table)
+        fresh = stateful.dedup_from_tape(stream, seen, keys=("symbol", "trade_date", "sequence"))
+        source.run_available(fresh, f"seen-{k}").write.mode("append").parquet(table)
+    return spark.read.schema(rows.schema).parquet(table).groupBy("symbol", "trade_date", "sequence").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "trade_date:d symbol:i rows:i turnover:m files:i",
+    f"WITH {EVENTS}\nSELECT trade_date, symbol, count(*) AS rows, sum(turnover) AS turnover, 1 AS files FROM ev GROUP BY ALL",
+)
+def tape_compact(spark, sf_dir):
+    """The tape flushed in four parts, then packed: one small file a partition, the same rows."""
+    path = scratch_path(spark, "compacted-tape")
+    rows = A.events_tape(spark, sf_dir)
+    for k in range(4):
+        sinks.append_tape(rows.filter(F.pmod(F.xxhash64("sequence"), F.lit(4)) == k), path)
+    compaction.compact(spark, path)
+    held = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    return held.groupBy("trade_date", "symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("turnover").alias("turnover"), F.countDistinct("file").alias("files")
+    )
