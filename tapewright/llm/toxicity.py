@@ -52,6 +52,11 @@ BLOCK_BYTES = 8_000_000
 WORDS_AT_ONCE = 32_768
 SPACED = 4  # single letters in a row that are read as one word
 
+# Letters of a piece of a word that the machine learns from: with one inserted and both ends it fills a window.
+PIECE = WINDOW - 3
+# So many of the strongest words are learned from where the sample is too small for any word to stand out.
+FEWEST_MARKING = 20
+
 _NOT_LETTER = re.compile(r"[\W_]+")
 
 
@@ -81,6 +86,13 @@ def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, np.array(owner, dtype=np.int64)
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping pieces of a longer one that together hold all of it; the scorer's windows overlap alike."""
+    if len(word) <= PIECE:
+        return [word]
+    return [word[start : start + PIECE] for start in range(0, len(word) - PIECE + WINDOW // 2, WINDOW // 2)]
+
+
 _STEPS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
 
 
@@ -118,8 +130,11 @@ def _sorted_windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _explicit(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the subsequences of each word (its first window), normalized, and their codes: the kernel is their product."""
-    symbols, owner, norm = _sorted_windows([w[: WINDOW - 2] for w in words])
+    """Weights of the subsequences of each word, normalized, and their codes: the kernel is their product.
+
+    Words are pieces, so each fills one window at most.
+    """
+    symbols, owner, norm = _sorted_windows(words)
     found = list(_subsequences(symbols))
     codes = np.unique(np.concatenate([c for _, c, _ in found])) if found else np.empty(0, np.int64)
     out = np.zeros((len(words), len(codes)), dtype=np.float32)
@@ -213,7 +228,7 @@ def fit_words(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) ->
     to_features = np.vstack([known.T @ (vectors[:, good] / np.sqrt(values[good])), np.zeros(int(good.sum()))]).astype(np.float32)
     at = np.full(SYMBOLS**LENGTH, len(codes), dtype=np.int32)
     at[codes] = np.arange(len(codes))
-    symbols, owner, norm = _sorted_windows([w[: WINDOW - 2] for w in toxic + clean])
+    symbols, owner, norm = _sorted_windows(toxic + clean)
     features = np.zeros((len(symbols), to_features.shape[1]), dtype=np.float32)
     for n, own, weight in _subsequences(symbols):
         features[:n] += np.float32(weight) * to_features[at[own]]
@@ -289,8 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     rated = vocabulary.withColumn("z", F.when(in_toxic >= MARKING_RATIO * in_clean, z).otherwise(0.0))
     strongest = [(r["z"], r["word"]) for r in rated.filter("z > 0").orderBy(F.desc("z"), "word").limit(most_words).select("z", "word").collect()]
     least = max(MARKING_Z, MARKING_SHARE * strongest[0][0]) if strongest else 0
-    # Where the sample is too small for any word to stand out, the strongest few have to do.
-    marking = [w for score, w in strongest if score >= least] or [w for _, w in strongest[:20]]
+    marking = [w for score, w in strongest if score >= least] or [w for _, w in strongest[:FEWEST_MARKING]]
     ordinary = rated.filter("clean > 0 and z = 0")
     frequent = [r["word"] for r in ordinary.orderBy(F.desc("clean"), "word").limit(most_words // 2).collect()]
     spread = [r["word"] for r in ordinary.orderBy(F.xxhash64("word"), "word").limit(most_words // 2).collect()]
@@ -311,7 +325,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
 
 
 def _contexts(sample: DataFrame) -> DataFrame:
-    """word, toxic, clean: the number of different words before it in texts of either label.
+    """word (a piece of a long one), toxic, clean: the number of different words before it in texts of either label.
+
+    A word before is told by its last letters, which is all that tells contexts apart.
 
     Unlike documents, contexts do not add up over near copies of one toxic text, whose every word would stand out.
     """
@@ -321,7 +337,7 @@ def _contexts(sample: DataFrame) -> DataFrame:
             found = set()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = [w for w in map(plain, text.split()) if w]
-                found |= {(w[:WINDOW], b[:WINDOW], toxic) for w, b in zip(words, ["", *words]) if len(w) >= SHORTEST}
+                found |= {(piece, b[-PIECE:], toxic) for w, b in zip(words, ["", *words]) if len(w) >= SHORTEST for piece in pieces(w)}
             rows = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())],

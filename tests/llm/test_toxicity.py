@@ -87,3 +87,26 @@ def test_odd_rows(spark, odd_docs, no_docs, machine):
     # Without both labels nothing can be learned.
     assert {(r["score"], r["predicted"]) for r in T.toxicity(odd_docs, labels).collect()} == {(0.0, 0)}
     assert T.toxicity(no_docs, labels).count() == 0
+
+
+def test_pieces_hold_the_whole_word():
+    """Every stretch of letters that a window's half can hold lies in some piece: nothing after the first window is lost."""
+    for n in range(1, 200):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        found = T.pieces(word)
+        assert all(len(p) <= T.PIECE for p in found)
+        for k in range(n):
+            assert any(word[k : k + 9] in p for p in found), (n, k)
+
+
+def test_an_insult_late_in_a_long_run_is_learned(spark, docs_of, tmp_path):
+    """The word that tells begins like others and differs only after its first 24 letters."""
+    rnd = random.Random(2)
+    plain = lambda n: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(n))
+    begin = plain(24)
+    texts = [(k, f"{plain(6)} {begin}{'zzyxqzzyx' if k % 2 else plain(9)}{plain(5)}") for k in range(400)]
+    docs = docs_of(texts, tmp_path)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in T.toxicity(docs, labels).collect()}
+    held = [k for k, _ in texts if got[k]["held_out"]]
+    assert sum(got[k]["predicted"] == k % 2 for k in held) >= 0.9 * len(held)
