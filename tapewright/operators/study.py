@@ -15,6 +15,7 @@ from tapewright import params as P
 from tapewright.functions.clock import truncate
 from tapewright.functions.measures import ratio
 from tapewright.functions.rolling import by_symbol
+from tapewright.operators.asof import asof_values
 
 
 # Modulus of the control draw.
@@ -108,6 +109,25 @@ def matched_controls(
     )
 
 
+def tick_returns(
+    events: DataFrame, ticks: DataFrame, horizon: int = P.HORIZON_MINUTES, tolerance_minutes: int | None = None, order: Sequence[str] = (),
+    block: str = "hour",
+) -> DataFrame:
+    """Events (symbol, time, sign, ...) with the last tick price at the event and ``horizon`` minutes later, without a minute grid.
+
+    ``ticks`` has (symbol, time, price); of ticks at one time the last in ``order`` counts. A price older than
+    ``tolerance_minutes`` is none.
+    """
+    timed = events.withColumn("_later", F.col("time") + F.expr(f"interval {int(horizon)} minutes"))
+    moments = timed.select("symbol", "time").union(timed.select("symbol", "_later"))
+    tolerance = None if tolerance_minutes is None else F.expr(f"interval {int(tolerance_minutes)} minutes")
+    prices = asof_values(moments, ticks, ["symbol"], "time", ["price"], order, tolerance, block).select("symbol", "time", "asof_price")
+    later = prices.select("symbol", F.col("time").alias("_later"), F.col("asof_price").alias("close_later"))
+    priced = timed.join(prices.withColumnRenamed("asof_price", "close"), ["symbol", "time"], "left").join(later, ["symbol", "_later"], "left")
+    ret = ratio(F.col("close_later"), F.col("close")) - 1
+    return priced.drop("_later").withColumn("ret", ret).withColumn("signed_return", F.col("sign") * F.col("ret"))
+
+
 def control_rows(matched: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per event and control minute."""
     # The outer form keeps the optimizer from drawing the array again in an inferred size filter.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,47 +52,46 @@ def latest_per_key(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequ
     return first_per_key(stamped, keys, [F.col("_batch").desc(), *order]).drop("_batch")
 
 
-def value_gaps(
-    df: DataFrame, keys: Sequence[str], value: str, block: Column | int, distance, limit
-) -> DataFrame:
-    """Neighbouring values per key that lie more than ``limit`` apart.
-
-    ``block`` maps values to ordered blocks of bounded size, so that no window
-    partition holds a whole key, however hot; a number asks for that many ranges
-    of sampled bounds instead, where values are too far apart for a fixed width. Neighbours inside a block come
-    from a window over (keys, block). What is left are the gaps found and the
-    first and last value of each block; the first ones look up the end of the
-    block before in a second window that holds block ends only.
-    """
-    values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    if isinstance(block, int):
-        # Ranges of about equal size, whatever the values are: a hot key spans many of them.
-        values, block = values.repartitionByRange(block, *keys, value), F.spark_partition_id()
-    values = values.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(value)
-    rows = values.withColumns({"_before": F.lag(value).over(inside), "_after": F.lead(value).over(inside)})
-    end = F.col("_before").isNull() | F.col("_after").isNull()
-    kept = rows.filter(end | (distance(F.col("_before"), F.col(value)) > limit)).withColumns(
-        {"_end": end, "_route": F.when(~end, F.col("_block"))}
-    )
-    across = Window.partitionBy(*keys, "_end", "_route").orderBy(value)
-    return (
-        kept.withColumn("gap_from", F.coalesce("_before", F.lag(value).over(across)))
-        .select(*keys, "gap_from", F.col(value).alias("gap_to"))
-        .filter(distance(F.col("gap_from"), F.col("gap_to")) > limit)
-    )
+# Blocks that a block of the level above spans, at least, and the number of 64-bit values.
+LEVEL, VALUES = 1 << 22, 1 << 64
 
 
-def sequence_gaps(
-    tape: DataFrame, keys: Sequence[str] = ("code", "trade_date"), block_size: int = 1 << 20, ranges: int | None = None
+def value_gaps(
+    df: DataFrame, keys: Sequence[str], value: str, block_size: int, distance: Callable[[Column, Column], Column], limit: Column | int
 ) -> DataFrame:
-    """Holes in the tick sequence of a contract-day.
+    """Neighbouring whole numbers per key that lie more than ``limit`` apart.
 
-    Numbers that count up are cut into blocks of ``block_size``; for numbers like clock times give ``ranges``, the
-    number of sampled ranges, as a block of fixed width would hold a tick or two.
+    Numbers are cut into blocks of ``block_size``; neighbours inside a block come from a window over it. What is left
+    of a block are its gaps and its first and last number; those meet in blocks of the level above, ``LEVEL`` times as
+    wide, and so on up to the whole range. However hot a key and however far apart its numbers, no window partition
+    holds more than ``block_size`` or twice ``LEVEL`` rows. Gaps that are found travel on in their first block's partition.
     """
-    block = F.expr(f"sequence div {int(block_size)}") if ranges is None else ranges
-    found = value_gaps(tape, keys, "sequence", block, lambda a, b: b - a, 1)
+    steps = [int(block_size)]
+    while steps[-1] < VALUES:
+        steps.append(steps[-1] * max(steps[0], LEVEL))
+    # A row asks for the number before it until a level knows it; it is done when it lies inside a block.
+    rows = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct().withColumns(
+        {"gap_from": F.lit(None).cast("bigint"), "_asks": F.lit(True), "_done": F.lit(False)}
+    )
+    first = F.expr(f"`{value}` div {steps[0]}")
+    for step in steps:
+        own = F.lit(0).cast("bigint") if step >= VALUES // 2 else F.expr(f"`{value}` div {step}")
+        here = Window.partitionBy(*keys, "_done", "_block").orderBy(value)
+        seen = rows.withColumn("_block", F.when(F.col("_done"), first).otherwise(own)).withColumns(
+            {"_before": F.lag(value).over(here), "_after": F.lead(value).over(here)}
+        )
+        inside = F.col("_before").isNotNull() & F.col("_after").isNotNull()
+        found = F.col("_asks") & ~F.col("_done") & (distance(F.col("_before"), F.col(value)) > limit)
+        rows = seen.select(
+            *keys, value, F.when(found, F.col("_before")).otherwise(F.col("gap_from")).alias("gap_from"),
+            (F.col("_asks") & F.col("_before").isNull()).alias("_asks"), (F.col("_done") | inside).alias("_done"),
+        ).filter(F.col("gap_from").isNotNull() | ~F.col("_done"))
+    return rows.filter(F.col("gap_from").isNotNull()).select(*keys, "gap_from", F.col(value).alias("gap_to"))
+
+
+def sequence_gaps(tape: DataFrame, keys: Sequence[str] = ("code", "trade_date"), block_size: int = 1 << 20) -> DataFrame:
+    """Holes in the tick sequence of a contract-day, whether its numbers count up or are clock times."""
+    found = value_gaps(tape, keys, "sequence", block_size, lambda a, b: b - a, 1)
     return found.withColumn("missing", F.col("gap_to") - F.col("gap_from") - 1)
 
 

@@ -55,13 +55,20 @@ def test_gaps_across_blocks_and_copies(spark):
     for size in (1, 3, 16, 1 << 20):
         got = sorted((r.gap_from, r.gap_to, r.missing) for r in tape.sequence_gaps(df, ["code"], size).collect())
         assert got == _brute_gaps(hot), size
-    for ranges in (1, 7):
-        got = sorted((r.gap_from, r.gap_to, r.missing) for r in tape.sequence_gaps(df, ["code"], ranges=ranges).collect())
-        assert got == _brute_gaps(hot), ranges
     clean = {r.code: r.gap_free for r in tape.gap_free(df, ["code"]).collect()}
     assert clean == {"hot": False, "one": True, "full": True}
 
 
+def test_gaps_of_numbers_far_apart(spark):
+    rng = random.Random(4)
+    clock = [1_700_000_000_000_000 + rng.randrange(10**14) for _ in range(300)]
+    wide = clock + [n + 1 for n in clock[:50]] + [-(1 << 61), -3, -1, 0, 2, (1 << 42) - 1, 1 << 42, 1 << 61]
+    df = spark.createDataFrame([(n,) for n in wide], "sequence bigint")
+    for size in (2, 1 << 20):
+        got = sorted((r.gap_from, r.gap_to, r.missing) for r in tape.sequence_gaps(df, [], size).collect())
+        assert got == _brute_gaps(wide), size
+
+
 def test_silences_against_a_sorted_walk(spark):
     rng = random.Random(2)
     ts, now = [], dt.datetime(2026, 8, 12, 9, 30)

@@ -186,9 +186,9 @@ g AS (SELECT code, lag(sequence) OVER (PARTITION BY code ORDER BY sequence) AS g
 SELECT *, gap_to - gap_from - 1 AS missing FROM g WHERE gap_to - gap_from > 1""",
 )
 def clock_sequence_gaps(spark, sf_dir):
-    """Sequence numbers that are clock times in microseconds: blocks of sampled ranges."""
+    """Sequence numbers that are clock times in microseconds."""
     ticks = A.events_tape(spark, sf_dir).withColumn("sequence", F.unix_micros(F.col("ts").cast("timestamp")))
-    return tape.sequence_gaps(ticks, ["code"], ranges=64)
+    return tape.sequence_gaps(ticks, ["code"])
 
 
 @query(

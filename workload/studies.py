@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.measures import implied_sign
-from tapewright.operators import events, flow, study, tape
+from tapewright.operators import asof, events, flow, study, tape
 from workload import adapters as A
 from workload.collection import CLUSTERS
 from workload.registry import EVENTS, query
@@ -85,6 +85,37 @@ def asof_returns(spark, sf_dir):
     return returned(spark, sf_dir)
 
 
+@query(
+    "code:i symbol:i time:t direction:s close:f close_later:f ret:f signed_return:f",
+    f"""WITH {EVENTS}, {CLUSTERS},
+sgn AS (SELECT *, CASE WHEN (code % 2 = 0) = (direction = 'BUY') THEN 1 ELSE -1 END AS sign, time + INTERVAL 60 MINUTE AS later FROM cl),
+k AS (SELECT symbol, ts, arg_max(price, sequence) AS price FROM ev GROUP BY symbol, ts),
+p AS (SELECT s.*, CASE WHEN a.ts + INTERVAL 20 MINUTE >= s.time THEN a.price END AS close FROM sgn s
+      ASOF LEFT JOIN k a ON a.symbol = s.symbol AND s.time >= a.ts),
+l AS (SELECT p.*, CASE WHEN b.ts + INTERVAL 20 MINUTE >= p.later THEN b.price END AS close_later FROM p
+      ASOF LEFT JOIN k b ON b.symbol = p.symbol AND p.later >= b.ts)
+SELECT *, close_later / nullif(close, 0) - 1 AS ret, sign * (close_later / nullif(close, 0) - 1) AS signed_return FROM l""",
+)
+def asof_tick_returns(spark, sf_dir):
+    """Prices of the last tick at an event and an hour later, none older than 20 minutes."""
+    ticks = A.events_tape(spark, sf_dir).select("symbol", F.col("ts").alias("time"), "price", "sequence")
+    return study.tick_returns(event_rows(spark, sf_dir), ticks, tolerance_minutes=20, order=["sequence"])
+
+
+@query(
+    "sequence:i symbol:i ts:u asof_ts:u asof_price:f asof_volume:m",
+    f"""WITH {EVENTS}, k AS (SELECT symbol, ts, arg_max(price, sequence) AS price, arg_max(volume, sequence) AS volume FROM ev
+                              WHERE ticker_direction = 'BUY' GROUP BY symbol, ts)
+SELECT ev.sequence, ev.symbol, ev.ts, k.ts AS asof_ts, k.price AS asof_price, k.volume AS asof_volume
+FROM ev ASOF LEFT JOIN k ON k.symbol = ev.symbol AND ev.ts >= k.ts""",
+)
+def asof_last_buy(spark, sf_dir):
+    """Every tick with the last buy of its symbol at or before it."""
+    ticks = A.events_tape(spark, sf_dir)
+    rows = ticks.select("sequence", "symbol", "ts")
+    return asof.asof_join(rows, ticks.filter("ticker_direction = 'BUY'"), ["symbol"], "ts", ["price", "volume"], ["sequence"])
+
+
 @query(
     "code:i symbol:i time:t direction:s control_minute:t control_return:f", f"{STUDY}\nSELECT * FROM ctl"
 )
