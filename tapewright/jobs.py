@@ -13,10 +13,11 @@ from tapewright.functions.contract import contract_expiry, contract_right, contr
 from tapewright.functions.measures import implied_sign
 from tapewright.operators import capture, chain, coverage, events, flow, history, study, tape
 from tapewright.operators.ranking import first_per_key
-from tapewright.plans import collection, feature_table, ingest, screening
-from tapewright.schemas import FEATURE_COLUMNS, FEATURE_FLAGS
+from tapewright.plans import collection, feature_table, ingest, partials, screening
+from tapewright.schemas import CHAIN, FEATURE_COLUMNS, FEATURE_FLAGS
 from tapewright.session import build_session, materialize, read_if_present, scratch_path, scratch_scope, sized
 from tapewright.sources import compaction, files, readers, sinks
+from tapewright.streaming import polls
 
 # Options that name a folder a job reads.
 INPUTS = ("landing", "table", "volumes", "captured", "chains", "bars", "quotes", "pushed")
@@ -33,9 +34,20 @@ def ingest_ticks(spark: SparkSession, landing: str, table: str) -> dict[str, Dat
     return unreadable if counts is None else {"sealed": counts, **unreadable}
 
 
-def stream_ticks(spark: SparkSession, landing: str, table: str, checkpoint: str) -> None:
-    """The same as a stream that flushes every minute; runs until stopped."""
-    ingest.ingest_stream(spark, landing, table, checkpoint).awaitTermination()
+def stream_ticks(
+    spark: SparkSession, landing: str, table: str, checkpoint: str, watch_list: str | None = None, collected: str | None = None, once: bool = False
+) -> None:
+    """The same as a stream that flushes every minute; runs until stopped, with ``once`` until all that has landed is in.
+
+    With ``watch_list`` only ticks of watched contracts are kept. The list starts with the collector's first picks in
+    ``collected`` and takes in its re-pick some time after the first tick.
+    """
+    keep = None
+    if watch_list is not None:
+        if read_if_present(spark, watch_list) is None:
+            polls.start_watch(watch(spark, collected)["watch"], watch_list)
+        keep = lambda rows: polls.watched_ticks(rows, watch_list, lambda: watch(spark, collected)["additions"])
+    ingest.ingest_stream(spark, landing, table, checkpoint, seconds=None if once else P.FLUSH_SECONDS, keep=keep).awaitTermination()
 
 
 def compact(spark: SparkSession, table: str) -> None:
@@ -163,6 +175,24 @@ def status(spark: SparkSession, table: str, captured: str, chains: str, as_of: d
     }
 
 
+def summary(spark: SparkSession, table: str, store: str) -> DataFrame:
+    """Span, contracts, prints and events of every day and event symbol; only days whose files changed are read again."""
+    ours = lambda rows: rows.filter(F.col("symbol").isin(P.EVENT_SYMBOLS))
+    return partials.refreshed(spark, table, store, lambda rows: collection.day_summary(ours(rows)))
+
+
+def polled(spark: SparkSession, quotes: str) -> DataFrame:
+    """Last price of each underlying and how often it was polled, from polled quotes."""
+    rows = readers.read_underlying(spark, quotes)
+    return rows.groupBy("code").agg(F.max_by("last_price", "poll_time").alias("last_price"), F.count(F.lit(1)).alias("polls"))
+
+
+def chain_pages(spark: SparkSession, pages: list[str]) -> DataFrame:
+    """Chain pages that were fetched into folders of their own as one chain, a contract once where pages overlap."""
+    rows = readers.read_pages(spark, CHAIN, pages)
+    return chain.distinct_contracts(rows, [c for c in rows.columns if c != "code"])
+
+
 def day(spark: SparkSession, table: str, captured: str, on: dt.date) -> dict[str, DataFrame]:
     """One collection day: summary per symbol and its events, largest first."""
     rows = readers.read_tape(spark, table).filter((F.col("trade_date") == F.lit(on)) & F.col("symbol").isin(P.EVENT_SYMBOLS))
@@ -213,7 +243,7 @@ def _parser() -> argparse.ArgumentParser:
 
     date = {"type": dt.date.fromisoformat, "required": True}
     job("ingest-ticks", ingest_ticks, "landing", "table")
-    job("stream-ticks", stream_ticks, "landing", "table", "checkpoint")
+    job("stream-ticks", stream_ticks, "landing", "table", "checkpoint", watch_list={}, collected={}, once={"action": "store_true"})
     job("compact", compact, "table")
     job("ingest-chains", ingest_chains, "landing", "table")
     job("ingest-history", ingest_history, "landing", "table")
@@ -225,6 +255,9 @@ def _parser() -> argparse.ArgumentParser:
     job("bars", bars, "bars")
     job("capture", check_capture, "table", "volumes", "out", as_of=date)
     job("status", status, "table", "captured", "chains", as_of=date)
+    job("summary", summary, "table", "store")
+    job("polled", polled, "quotes")
+    job("pages", chain_pages, pages={"nargs": "+", "required": True})
     job("day", day, "table", "captured", on=date)
     job("missing-bars", missing_bars, "table", "bars")
     bar = {"choices": ["start", "end"], "default": "start"}

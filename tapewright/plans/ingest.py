@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,20 @@ from tapewright.sources import files, readers, sinks
 from tapewright.streaming import source
 
 
-def ingest_lines(lines: DataFrame, table: str) -> DataFrame:
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def ingest_lines(lines: DataFrame, table: str, keep: Keep | None = None) -> DataFrame:
     """Append the ticks of landed lines that are of their file's session and not in ``table`` yet.
 
     A tick is known by contract, session day and sequence number. Only the table's partitions of the sessions that
-    landed are read. Returns rows kept and refused by the seal per session. Running it twice appends nothing twice.
+    landed are read. ``keep`` may leave out ticks first, such as those of contracts that are not watched. Returns rows
+    kept and refused by the seal per session. Running it twice appends nothing twice.
     """
     spark = lines.sparkSession
     landed = materialize(readers.typed_ticks(lines), "landed-ticks")
+    if keep is not None:
+        landed = materialize(keep(landed), "kept-ticks")
     session = F.coalesce("file_day", "trade_date")
     sealed = tape.seal_session(landed, session).select(*TAPE.fieldNames())
     held = read_if_present(spark, table, TAPE)
@@ -45,12 +52,12 @@ def note_path(table: str, kind: str) -> str:
     return f"{table.rstrip('/')}_{kind}"
 
 
-def _ingest(batch: DataFrame, batch_id: int, table: str) -> None:
+def _ingest(batch: DataFrame, batch_id: int, table: str, keep: Keep | None) -> None:
     """One micro-batch; what it counts is noted under its number, so that a batch that is replayed is noted once."""
     spark = batch.sparkSession
     with scratch_scope(spark):
-        lines = materialize(batch, "landed-batch")
-        ingest_lines(lines, table).write.mode("overwrite").parquet(f"{note_path(table, SEALED)}/batch={batch_id}")
+        lines = materialize(readers.numbered(batch), "landed-batch")
+        ingest_lines(lines, table, keep).write.mode("overwrite").parquet(f"{note_path(table, SEALED)}/batch={batch_id}")
         unreadable = readers.files_without_header(lines, readers.TICK_HEADER)
         unreadable.write.mode("overwrite").parquet(f"{note_path(table, UNREADABLE)}/batch={batch_id}")
 
@@ -88,10 +95,11 @@ def ingest_changed(spark: SparkSession, landing: str, table: str) -> DataFrame |
 
 
 def ingest_stream(
-    spark: SparkSession, landing: str, table: str, checkpoint: str, max_files: int | None = None, seconds: int | None = P.FLUSH_SECONDS
+    spark: SparkSession, landing: str, table: str, checkpoint: str, max_files: int | None = None, seconds: int | None = P.FLUSH_SECONDS,
+    keep: Keep | None = None,
 ) -> StreamingQuery:
     """The same steps for every micro-batch of new files; with ``seconds`` None it ends with what has landed."""
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
     return source.each_batch(
-        source.stream_landed_lines(spark, landing, max_files), lambda batch, nth: _ingest(batch, nth, table), checkpoint, **trigger
+        source.stream_landed_lines(spark, landing, max_files), lambda batch, nth: _ingest(batch, nth, table, keep), checkpoint, **trigger
     )

@@ -45,18 +45,49 @@ def _csv(
 TICK_HEADER = ("time", "sequence")
 CHAIN_HEADER = ("code", "option_type")
 
-# A comma outside quotes.
-_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def landed_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of landed CSV files with the path of their file."""
+    """Lines of landed CSV files with the path of their file and where they stand in it, see ``records``."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    return reader.text(paths if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
+    named = reader.text(paths if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return numbered(named)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines as they were read (``start``: where their part of the file begins) with a number that grows within a part."""
+    return lines.withColumn("nth", F.monotonically_increasing_id())
+
+
+def _masked(text: Column, mark: str, stand_in: str) -> Column:
+    """``text`` with a stand-in for each ``mark`` inside quotes; every second piece between quotes lies inside."""
+    pieces = F.transform(F.split(text, '"'), lambda p, k: F.when(k % 2 == 1, F.translate(p, mark, stand_in)).otherwise(p))
+    return F.array_join(pieces, '"')
+
+
+# Stand-ins for a comma and a line break inside quotes: control characters that no text file holds.
+COMMA, BREAK = "\x1f", "\x1e"
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """``lines`` with the lines of a record joined where a quoted text holds line breaks.
+
+    Only files with a line that leaves a quote open are put together, each from its own lines; all others stay as they
+    are. Whether there are such files is looked up at once.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    broken = lines.filter(quotes % 2 == 1).select("file").distinct()
+    if broken.isEmpty():
+        return lines
+    whole = lines.join(broken, "file", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "nth", "value"))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: F.rtrim(r["value"])), "\n")
+    joined = whole.select("file", F.explode(F.split(_masked(text, "\n", BREAK), "\n")).alias("value"))
+    joined = joined.select(F.translate("value", BREAK, "\n").alias("value"), "file", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("nth"))
+    return lines.join(broken, "file", "left_anti").select("value", "file", "start", "nth").unionByName(joined)
 
 
 def _fields(lines: DataFrame, header: Sequence[str]) -> DataFrame:
-    cells = F.transform(F.split(F.rtrim("value"), _COMMA), lambda c: F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    line = F.rtrim("value")
+    split = F.split(F.when(F.contains(line, F.lit('"')), _masked(line, ",", COMMA)).otherwise(line), ",")
+    cells = F.transform(split, lambda c: F.translate(F.replace(F.regexp_replace(c, '(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), COMMA, ","))
     split = lines.withColumn("cells", cells)
     return split.withColumn("is_header", F.array_size(F.array_intersect(F.transform("cells", F.lower), F.array(*map(F.lit, header)))) == len(header))
 
@@ -99,7 +130,7 @@ def unreadable_files(spark: SparkSession, paths: str | Sequence[str], header: Se
 def typed_ticks(lines: DataFrame) -> DataFrame:
     """Ticks of landed lines, of a batch or of a micro-batch of a stream; see ``read_landed_ticks``."""
     name = F.col("file_name")
-    named = by_name(lines, S.TICK, TICK_HEADER).withColumns({"file_code": files.tick_file_code(name), "file_day": files.tick_file_day(name)})
+    named = by_name(records(lines), S.TICK, TICK_HEADER).withColumns({"file_code": files.tick_file_code(name), "file_day": files.tick_file_day(name)})
     ts = parse_time(F.col("time"))
     return named.select(
         "code", contract_symbol(F.coalesce("file_code", "code")).alias("symbol"), "time", ts.alias("ts"),
@@ -118,7 +149,7 @@ def read_tape(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _chains(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    rows = by_name(landed_lines(spark, path), S.CHAIN, CHAIN_HEADER)
+    rows = by_name(records(landed_lines(spark, path)), S.CHAIN, CHAIN_HEADER)
     part = lambda group: files.named_part(pattern, group, F.col("file_name"))
     named = rows.withColumns({"symbol": part(1), "snap_date": F.to_date(part(2)), "tag": part(3) if "collector" in pattern else F.lit(None).cast("string")})
     return named.filter("symbol is not null and snap_date is not null").withColumn("expiry", contract_expiry(F.col("code"))).drop("file_name")
@@ -179,6 +210,17 @@ def read_capture_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CAPTURE_DAY).json(path)
 
 
+def read_capture_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Capture records kept as one JSON object with an entry a day.
+
+    The object is a line of text with an entry a day and a bounded sample in each, so the calendar bounds it.
+    """
+    entry = T.StructType([f for f in S.CAPTURE_DAY.fields if f.name != "day"])
+    days = F.from_json("value", T.MapType(T.StringType(), entry))
+    held = spark.read.text(path, wholetext=True).select(F.explode(days).alias("day", "record"))
+    return held.select(F.col("day").try_cast("date").alias("day"), "record.*").filter("day is not null")
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as documents."""
     return spark.read.text(path, wholetext=True).select(

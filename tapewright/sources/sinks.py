@@ -58,6 +58,13 @@ def write_features(features: DataFrame, path: str, csv: bool = False) -> None:
         ordered.write.mode("overwrite").parquet(path)
 
 
+def write_capture_cache(records: DataFrame, path: str) -> None:
+    """Capture records as one JSON object with an entry a day, written by one task: the calendar bounds it."""
+    entry = F.struct(*[c for c in records.columns if c != "day"])
+    days = F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("string"), entry.alias("record"))))
+    records.agg(F.to_json(days).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_capture(records: DataFrame, path: str) -> None:
     """Capture records, one partition per day; a re-checked day replaces its record."""
     stamped = records.withColumn("checked_at", F.current_timestamp())

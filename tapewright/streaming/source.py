@@ -41,7 +41,7 @@ def stream_landed_lines(spark: SparkSession, path: str, max_files: int | None =
     reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:

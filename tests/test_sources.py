@@ -43,6 +43,29 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     assert [r.file.rsplit("/", 1)[-1] for r in readers.unreadable_files(spark, d, readers.TICK_HEADER).collect()] == ["US_C260821C1_2026-08-12.csv"]
 
 
+def test_records_with_quoted_line_breaks_are_one_row(spark, tmp_path):
+    d = str(tmp_path / "breaks")
+    land(d, "US_A260821C1_2026-08-12.csv", "code,time,name,sequence", ['c,t,"two,\nlines ""x""\n\nmore",5', 'c,u,"one, line",6', 'c,v,plain,7'])
+    land(d, "US_B260821C1_2026-08-12.csv", "sequence,name,code,time", ['8,"a, ""b""",c,w', '9,"\n\n",c,x'])
+    land(d, "US_C260821C1_2026-08-12.csv", "code,time,sequence", ["c,y,10"])
+    got = sorted((r.file_code, r.time, r.sequence) for r in readers.read_landed_ticks(spark, d).collect())
+    assert got == [("US.A260821C1", "t", 5), ("US.A260821C1", "u", 6), ("US.A260821C1", "v", 7), ("US.B260821C1", "w", 8), ("US.B260821C1", "x", 9), ("US.C260821C1", "y", 10)]
+    land(d + "/chain", "US_T_2026-08-12.csv", "option_type,code", ['"CALL,\n""x""",US.T260821C1'])
+    assert readers.read_landed_chains(spark, d + "/chain").first().option_type == 'CALL,\n"x"'
+
+
+def test_capture_cache_of_one_object(spark, tmp_path):
+    entry = '{"overall": 97.5, "contracts": {"US.T260821C1": 99.0, "US.T260821C2": 90.5}, "below_threshold": ["US.T260821C2"], "sampled": 2, "failed_calls": 0, "fingerprint": "2:17", "checked_at": "2026-08-13T10:00:00"}'
+    path = tmp_path / "capture_cache.json"
+    path.write_text('{\n "2026-08-12": ' + entry + ',\n "2026-08-13": {"overall": 0, "contracts": {}, "sampled": 0}\n}')
+    read = readers.read_capture_cache(spark, str(path))
+    got = {str(r.day): r for r in read.collect()}
+    assert set(got) == {"2026-08-12", "2026-08-13"} and got["2026-08-13"].contracts == {} and got["2026-08-13"].fingerprint is None
+    assert got["2026-08-12"].checked_at == dt.datetime(2026, 8, 13, 10) and got["2026-08-12"].below_threshold == ["US.T260821C2"]
+    sinks.write_capture_cache(read, str(tmp_path / "again"))
+    assert sorted(map(str, readers.read_capture_cache(spark, str(tmp_path / "again")).collect())) == sorted(map(str, got.values()))
+
+
 def test_files_of_one_writer_with_another_header_fail(spark, tmp_path):
     d = str(tmp_path / "mixed")
     land(d, "a.csv", "code,day,volume", ["c,2026-08-12,1"])

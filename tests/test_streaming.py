@@ -140,6 +140,28 @@ def test_watch_list_is_additive_and_read_anew(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_repick_joins_once_from_its_time_on(spark, tmp_path):
+    watch, picked = str(tmp_path / "watch"), []
+    at = lambda m: dt.datetime(2026, 8, 12, 9, 30) + dt.timedelta(minutes=m)
+
+    def pick():
+        picked.append(1)
+        return spark.createDataFrame([("a",), ("b",)], "code string")
+
+    def kept(*rows):
+        ticks = spark.createDataFrame([(c, at(m)) for c, m in rows], "code string, ts timestamp_ntz")
+        return sorted((r.code, r.ts) for r in polls.watched_ticks(ticks, watch, pick, 45).collect())
+
+    polls.start_watch(spark.createDataFrame([("a",), ("a",)], "code string"), watch)
+    assert kept() == [] and kept(("a", 0), ("b", 1), ("c", 2)) == [("a", at(0))]
+    late = (("b", 44), ("b", 45), ("a", 46), ("c", 50))
+    for _ in range(2):  # the second time as a replay
+        assert kept(*late) == [("a", at(46)), ("b", at(45))]
+    assert kept(("b", 3), ("b", 90)) == [("b", at(90))] and len(picked) == 1
+    polls.start_watch(spark.createDataFrame([("c",)], "code string"), watch)
+    assert kept(("b", 500), ("c", 501)) == [("c", at(501))]
+
+
 def test_watched_stream(spark, tmp_path):
     rows = make_rows(100)
     watch = str(tmp_path / "watch")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from tapewright.plans import ingest
-from tapewright.schemas import TAPE
+from tapewright.operators import chain
+from tapewright.plans import collection, ingest, partials
+from tapewright.schemas import CHAIN, TAPE
 from tapewright.session import scratch_path
 from tapewright.sources import readers, sinks
 from workload import adapters as A
@@ -19,21 +22,30 @@ HEADERS = (
 )
 
 
+ROWS_PER_FILE = 20_000
+
+
 def write_files(rows, path):
-    """One CSV file per ``file`` of ``rows``, with the columns that ``header`` lists, in that order."""
+    """CSV files with the names in ``file`` and the columns that ``header`` lists, in that order.
+
+    Their number follows the rows: a name that many rows share has files in several folders.
+    """
+    parts = max(1, math.ceil(rows.count() / ROWS_PER_FILE))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
 
     def write(part):
         import pandas as pd
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        store.create_dir(folder, recursive=True)
         text = part[part["header"].iloc[0].split(",")].to_csv(index=False)
+        folder = f"{folder}/part-{part['part'].iloc[0]}"
+        store.create_dir(folder, recursive=True)
         with store.open_output_stream(f"{folder}/{part['file'].iloc[0]}") as out:
             out.write(text.encode())
         return pd.DataFrame({"rows": [len(part)]})
 
-    rows.groupBy("file").applyInPandas(write, "rows long").count()
+    rows.groupBy("file", "part").applyInPandas(write, "rows long").count()
     return path
 
 
@@ -172,6 +184,93 @@ def copy_files(lines, path):
     lines.groupBy("name").applyInPandas(write, "rows long").count()
 
 
+@query(
+    "code:s option_type:s oi:f",
+    """SELECT 'US.' || chr(CAST(65 + p_size % 5 AS INTEGER)) || '240621C' || p_partkey AS code, 'CALL' AS option_type, CAST(p_size AS DOUBLE) AS oi FROM part""",
+)
+def landed_pages(spark, sf_dir):
+    """Parts as chain pages in three folders with columns of their own, which overlap; each contract once."""
+    parts = A.table(spark, sf_dir, "part")
+    code = F.concat(F.lit("US."), F.char(F.lit(65) + F.col("p_size") % 5), F.lit("240621C"), F.col("p_partkey").cast("string"))
+    rows = parts.select(code.alias("code"), F.lit("CALL").alias("option_type"), F.col("p_size").cast("double").alias("option_open_interest"), F.col("p_name").alias("name"), "p_partkey")
+    columns = (["code", "option_type", "option_open_interest"], ["name", "option_open_interest", "code", "option_type"], ["option_type", "code", "option_open_interest"])
+    pages = [scratch_path(spark, "pages") for _ in columns]
+    for k, (page, own) in enumerate(zip(pages, columns)):
+        rows.filter((F.col("p_partkey") % 3 == k) | (F.col("p_partkey") % 5 == 0)).select(*own).write.option("header", True).csv(page)
+    return chain.distinct_contracts(readers.read_pages(spark, CHAIN, pages), ["option_type"]).withColumnRenamed("option_open_interest", "oi")
+
+
+@query(
+    "code:s polls:i first_poll:u last_price:f",
+    f"""WITH {EVENTS}
+SELECT 'US.' || chr(CAST(65 + symbol AS INTEGER)) AS code, count(*) AS polls, min(ts) AS first_poll, arg_max(price, (ts, sequence)) AS last_price FROM ev GROUP BY 1""",
+)
+def landed_quotes(spark, sf_dir):
+    """Events as polled quotes of the underlyings, appended in three runs; the last price of each."""
+    ticks = A.events_tape(spark, sf_dir)
+    rows = ticks.select(
+        F.concat(F.lit("US."), F.char(F.lit(65) + F.col("symbol"))).alias("code"), F.col("sequence").cast("string").alias("update_time"), F.col("price").alias("last_price"),
+        F.col("ts").cast("string").alias("poll_time"), "sequence",
+    )
+    path = scratch_path(spark, "quotes")
+    for k in range(3):
+        rows.filter(F.col("sequence") % 3 == k).drop("sequence").write.mode("append").option("header", True).csv(path)
+    polled = readers.read_underlying(spark, path).withColumn("at", F.col("poll_time").cast("timestamp_ntz"))
+    return polled.groupBy("code").agg(
+        F.count(F.lit(1)).alias("polls"), F.min("at").alias("first_poll"),
+        F.max_by("last_price", F.struct("at", F.col("update_time").cast("bigint"))).alias("last_price"),
+    )
+
+
+@query(
+    "trade_date:d symbol:s rows:i name_breaks:i turnover:m",
+    f"""WITH {EVENTS}
+SELECT trade_date, chr(CAST(65 + symbol AS INTEGER)) AS symbol, count(*) AS rows, count(*) FILTER (sequence % 4 = 0) AS name_breaks,
+       sum(turnover) AS turnover FROM ev GROUP BY ALL""",
+)
+def landed_line_breaks(spark, sf_dir):
+    """Ticks whose vendor name, in a quoted column, holds commas and, for every fourth, line breaks; each record is one row."""
+    ticks = A.events_tape(spark, sf_dir)
+    symbol = F.char(F.lit(65) + F.col("symbol"))
+    code = F.concat(F.lit("US."), symbol, F.lit("240621C"), F.col("code").cast("string"))
+    name = F.when(F.col("sequence") % 4 == 0, F.concat(F.lit('Call,\n"two" lines,\n'), symbol)).otherwise(F.concat(F.lit("Call, "), symbol))
+    rows = ticks.select(
+        name.alias("option_type"), code.alias("code"), F.col("turnover").cast("string").alias("turnover"),
+        F.concat(F.lit("US_"), symbol, F.lit("_"), F.col("trade_date").cast("string"), F.lit(".csv")).alias("file"),
+    )
+    path = scratch_path(spark, "breaks")
+    for half, header in enumerate(("option_type,code,turnover", "code,turnover,option_type")):
+        write_files(rows.filter(F.crc32("code") % 2 == half).withColumn("header", F.lit(header)), f"{path}/{half}")
+    read = readers.read_landed_chains(spark, path)
+    return read.groupBy(F.col("snap_date").alias("trade_date"), "symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.contains("option_type", F.lit('\n"two" lines,\n'))).alias("name_breaks"), F.sum(F.col("turnover").cast("bigint")).alias("turnover")
+    )
+
+
+@query(
+    "day:d symbol:s first_tick:u last_tick:u contracts:i prints:i raw_events:i counted_events:i",
+    f"""WITH {EVENTS}, cl AS (SELECT code, symbol, trade_date AS day, time FROM ev WHERE ticker_direction IN ('BUY', 'SELL')
+      GROUP BY code, symbol, trade_date, time, ticker_direction HAVING count(*) >= 2 AND sum(turnover) >= 50),
+p AS (SELECT trade_date AS day, symbol, min(ts) AS first_tick, max(ts) AS last_tick, count(DISTINCT code) AS contracts, count(*) AS prints FROM ev GROUP BY ALL),
+c AS (SELECT day, symbol, count(*) AS raw, count(*) FILTER (hour(time) < 15) AS counted FROM cl GROUP BY ALL),
+j AS (SELECT p.*, coalesce(raw, 0) AS raw, coalesce(counted, 0) AS counted FROM p LEFT JOIN c ON c.day = p.day AND c.symbol = p.symbol)
+SELECT day, CASE WHEN grouping(symbol) = 1 THEN 'TOTAL' ELSE CAST(symbol AS VARCHAR) END AS symbol, min(first_tick) AS first_tick, max(last_tick) AS last_tick,
+       sum(contracts) AS contracts, sum(prints) AS prints, sum(raw) AS raw_events, sum(counted) AS counted_events
+FROM j GROUP BY GROUPING SETS ((day, symbol), (day))""",
+)
+def summary_by_changed_days(spark, sf_dir):
+    """The day summary kept by day over three landings: half of each day's ticks of some days, the rest, nothing new."""
+    ticks = A.events_tape(spark, sf_dir).withColumns({"time": F.col("time").cast("string"), **{c: F.col(c).cast("string") for c in ("code", "symbol")}})
+    rows = ticks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TAPE.fields])
+    table, store = scratch_path(spark, "summary-tape"), scratch_path(spark, "summary-days")
+    early = (F.dayofyear("trade_date") % 3 != 0) & (F.col("sequence") % 2 == 0)
+    for landed in (rows.filter(early), rows.filter(~early), None):
+        if landed is not None:
+            sinks.append_tape(landed, table)
+        kept = partials.refreshed(spark, table, store, lambda read: collection.day_summary(read.withColumn("time", F.col("time").cast("timestamp_ntz")), 50 * A.CENTS))
+    return kept
+
+
 @query(
     "symbol:s day:d states:i volume:f snap_times:i",
     """SELECT chr(CAST(65 + p_size % 5 AS INTEGER)) AS symbol, DATE '2024-03-01' + CAST(p_partkey % 3 AS INTEGER) AS day, count(*) AS states,
@@ -244,11 +343,11 @@ def landed_bars_and_volume(spark, sf_dir):
 
 @query(
     "lang:s files:i chars:i",
-    """WITH f AS (SELECT lang, doc_id % 20 AS part, sum(length(text)) + count(*) AS chars FROM documents GROUP BY ALL)
+    """WITH f AS (SELECT lang, doc_id // 500 AS part, sum(length(text)) + count(*) AS chars FROM documents GROUP BY ALL)
 SELECT lang, count(*) AS files, sum(chars) AS chars FROM f GROUP BY lang""",
 )
 def text_files(spark, sf_dir):
-    """Documents as text files of twenty parts a language, read back as whole files."""
+    """Documents as text files of a language and 500 ids each, read back as whole files."""
     docs = A.table(spark, sf_dir, "documents")
     path = scratch_path(spark, "texts")
 
@@ -263,7 +362,7 @@ def text_files(spark, sf_dir):
                 out.write(f"{text}\n".encode())
         return pd.DataFrame({"rows": [len(part)]})
 
-    docs.select("lang", (F.col("doc_id") % 20).alias("part"), "text").groupBy("lang", "part").applyInPandas(write, "rows long").count()
+    docs.select("lang", F.floor(F.col("doc_id") / 500).alias("part"), "text").groupBy("lang", "part").applyInPandas(write, "rows long").count()
     files = readers.read_text(spark, path).withColumn("lang", F.regexp_extract("doc_id", r"([a-z]+)-\d+\.txt$", 1))
     return files.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars"))
 

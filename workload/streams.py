@@ -237,6 +237,49 @@ def capture_table(spark, sf_dir):
     return capture.record_contracts(readers.read_capture(spark, path))
 
 
+@query(
+    "day:d overall:f code:i pct:f below:i",
+    f"""WITH {EVENTS}, {EVENT_CAP},
+n AS (SELECT trade_date AS day, code, row_number() OVER (PARTITION BY trade_date, symbol
+        ORDER BY count(*) DESC, code DESC) AS rn FROM ev GROUP BY trade_date, symbol, code),
+x AS (SELECT cc.* FROM cc SEMI JOIN (SELECT * FROM n WHERE rn <= 3) s ON s.day = cc.day AND s.code = cc.code),
+d AS (SELECT day, round(100 * (CAST(sum(our_volume) AS DOUBLE) / CAST(sum(official_volume) AS DOUBLE)), 1) AS overall
+      FROM x GROUP BY day)
+SELECT x.day, overall, code, pct, below_threshold AS below FROM x JOIN d ON d.day = x.day""",
+)
+def capture_cache(spark, sf_dir):
+    """Day records written as one JSON object keyed by day, read back as contract rows."""
+    path = scratch_path(spark, "capture-cache")
+    sample = chain.busiest_contracts(A.events_tape(spark, sf_dir)).withColumnRenamed("trade_date", "day")
+    sampled = capture.sample_contracts(event_capture(spark, sf_dir), sample).withColumn("code", F.col("code").cast("string"))
+    sinks.write_capture_cache(capture.capture_records(sampled), path)
+    return capture.record_contracts(readers.read_capture_cache(spark, path))
+
+
+@query(
+    "code:s rows:i first_tick:u",
+    f"""WITH {EVENTS}, s AS (SELECT min(ts) + INTERVAL 45 MINUTE AS due FROM ev)
+SELECT CAST(code AS VARCHAR) AS code, count(*) AS rows, min(ts) AS first_tick FROM ev, s
+WHERE code % 3 = 0 OR (code % 2 = 0 AND ts >= due) GROUP BY code""",
+)
+def stream_repick(spark, sf_dir):
+    """Ticks of a watch list over four micro-batches and restarts; 45 minutes after the first tick a re-pick joins the list."""
+    rows = A.events_tape(spark, sf_dir).select(F.col("code").cast("string").alias("code"), F.col("ts").cast("timestamp").alias("ts"))
+    us = F.unix_micros("ts")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    landing, kept, watch, checkpoint = (scratch_path(spark, f"repick-{name}") for name in ("landing", "kept", "list", "checkpoint"))
+    codes = rows.select("code").distinct()
+    polls.start_watch(codes.filter("cast(code as int) % 3 = 0"), watch)
+    pick = lambda: codes.filter("cast(code as int) % 2 = 0")
+    handle = lambda batch, nth: polls.watched_ticks(batch, watch, pick).write.mode("overwrite").parquet(f"{kept}/batch={nth}")
+    # The first slice ends before the re-pick is due.
+    bounds = [low + 30 * 60_000_000, low + (high - low) // 3, low + 2 * ((high - low) // 3), high + 1]
+    for begin, end in zip([low, *bounds], bounds):
+        rows.filter((us >= begin) & (us < end)).write.mode("append").parquet(landing)
+        source.each_batch(spark.readStream.schema(rows.schema).parquet(landing), handle, checkpoint, availableNow=True).awaitTermination()
+    return spark.read.parquet(kept).groupBy("code").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").cast("timestamp_ntz").alias("first_tick"))
+
+
 LANDED = f"""WITH {EVENTS}
 SELECT trade_date, chr(CAST(65 + symbol AS INTEGER)) AS symbol, count(*) AS rows, count(DISTINCT code) AS contracts,
        sum(turnover) AS turnover, min(ts) AS first_tick FROM ev GROUP BY ALL"""
