@@ -52,7 +52,7 @@ def note_path(table: str, kind: str) -> str:
     return f"{table.rstrip('/')}_{kind}"
 
 
-def _ingest(batch: DataFrame, batch_id: int, table: str, keep: Keep | None) -> None:
+def _ingest(batch: DataFrame, batch_id: int, table: str, keep: Keep | None = None) -> None:
     """One micro-batch; what it counts is noted under its number, so that a batch that is replayed is noted once."""
     spark = batch.sparkSession
     with scratch_scope(spark):
