@@ -94,3 +94,33 @@ def test_each_batch_notes_what_it_refused_and_leaves_nothing_behind(spark, tmp_p
         ingest._ingest(lines, 77, table)
     again = {str(r["session"]): r["fresh_rows"] for r in ingest.sealed_counts(spark, table).collect()}
     assert again["2026-08-10"] == 4
+
+
+def test_streams_with_state_run_in_a_session_that_spark_made(spark, tmp_path):
+    """Such a session has Spark's default state store, which holds one kind of value a stream."""
+    name, default = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    at, before = dt.datetime(2026, 1, 5, 10, 0), spark.conf.get(name)
+    try:
+        spark.conf.set(name, default)
+        stream = land(spark, str(tmp_path / "silent"), [("A", at, 1), ("B", at + dt.timedelta(hours=2), 2)])
+        assert [r["symbol"] for r in source.run_available(stateful.silence_watch(stream), "plain-silence").collect()] == ["A"]
+        spark.conf.set(name, default)
+        stream = land(spark, str(tmp_path / "seen"), [("A", at, 1), ("A", at, 1)])
+        known = spark.createDataFrame([("A", at, 2, at.date())], TICKS)
+        fresh = stateful.dedup_from_tape(stream, known, keys=("symbol", "trade_date", "sequence"))
+        assert [r["sequence"] for r in source.run_available(fresh, "plain-seen").collect()] == [1]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_numbers_are_told_apart_over_the_parts_of_a_micro_batch(spark, tmp_path):
+    """More rows of a contract and day than one Arrow batch holds, each twice."""
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = dt.datetime(2026, 1, 5, 10, 0)
+    try:
+        spark.conf.set(name, "7")
+        stream = land(spark, str(tmp_path / "parts"), [("A", at, k % 30) for k in range(60)])
+        fresh = stateful.dedup_from_tape(stream, spark.createDataFrame([("A", at, 3, at.date())], TICKS), keys=("symbol", "trade_date", "sequence"))
+        assert sorted(r["sequence"] for r in source.run_available(fresh, "parts").collect()) == [k for k in range(30) if k != 3]
+    finally:
+        spark.conf.set(name, before)
