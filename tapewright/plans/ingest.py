@@ -85,9 +85,10 @@ def ingest_changed(spark: SparkSession, landing: str, table: str) -> DataFrame |
     paths = [r["path"] for r in changed.select("path").collect()]  # the files of one run
     if not paths:
         return None
-    lines = readers.landed_lines(spark, paths)
+    # Written once: the steps read the lines several times, and many small files are slow to open.
+    lines = materialize(readers.landed_lines(spark, paths), "landed-lines")
     counts = ingest_lines(lines, table)
-    unreadable = readers.unreadable_files(spark, paths, readers.TICK_HEADER).withColumn("run", F.lit(uuid.uuid4().hex))
+    unreadable = readers.unreadable_files(spark, paths, readers.TICK_HEADER, lines).withColumn("run", F.lit(uuid.uuid4().hex))
     unreadable.write.mode("append").parquet(note_path(table, UNREADABLE))
     # Last: a run that fails before reads the same files again and appends nothing twice.
     changed.write.mode("append").parquet(ledger)

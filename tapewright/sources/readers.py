@@ -116,14 +116,14 @@ def files_without_header(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     return _fields(lines, header).groupBy("file").agg(F.max("is_header").alias("good")).filter(~F.col("good")).select("file")
 
 
-def unreadable_files(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str]) -> DataFrame:
+def unreadable_files(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str], lines: DataFrame | None = None) -> DataFrame:
     """Paths (``file``) of landed files, empty ones included, in which no line is a header.
 
-    Pass the files of one run rather than a whole landing folder: their text is read.
+    Pass the files of one run rather than a whole landing folder: their text is read, unless it is at hand as ``lines``.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     names = listed.load(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"))
-    good = _headers(landed_lines(spark, paths), header).select("file")
+    good = _headers(landed_lines(spark, paths) if lines is None else lines, header).select("file")
     return names.join(good, "file", "left_anti")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from tapewright.operators import chain
@@ -28,10 +26,11 @@ ROWS_PER_FILE = 20_000
 def write_files(rows, path):
     """CSV files with the names in ``file`` and the columns that ``header`` lists, in that order.
 
-    Their number follows the rows: a name that many rows share has files in several folders.
+    A name that more than ``ROWS_PER_FILE`` rows share has files in several folders, so that files are neither many and
+    tiny nor large, however many rows there are.
     """
-    parts = max(1, math.ceil(rows.count() / ROWS_PER_FILE))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    names = rows.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_parts"))
+    rows = rows.join(names, "file").withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).drop("_parts")
 
     def write(part):
         import pandas as pd
@@ -167,21 +166,22 @@ def stream_restart(spark, sf_dir):
 
 
 def copy_files(lines, path):
-    """Lines of landed files, each file whole under its own name in ``path``; the header goes first."""
+    """Lines of landed files, each file whole under its own folder and name in ``path``; the header goes first."""
 
     def write(part):
         import pandas as pd
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        store.create_dir(folder, recursive=True)
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        folder, name = part["file"].iloc[0].split("/")[-2:]
+        store.create_dir(f"{root}/{folder}", recursive=True)
         heads = part["value"].str.contains("ticker_direction")
         text = "\n".join([*part["value"][heads], *part["value"][~heads]]) + "\n"
-        with store.open_output_stream(f"{folder}/{part['name'].iloc[0]}") as out:
+        with store.open_output_stream(f"{root}/{folder}/{name}") as out:
             out.write(text.encode())
         return pd.DataFrame({"rows": [len(part)]})
 
-    lines.groupBy("name").applyInPandas(write, "rows long").count()
+    lines.select("file", "value").groupBy("file").applyInPandas(write, "rows long").count()
 
 
 @query(
