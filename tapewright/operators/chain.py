@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tapewright import params as P
 from tapewright.functions.measures import liquidity_score, spread_pct
 from tapewright.operators.columns import require, zero_fill
-from tapewright.operators.ranking import first_per_key, top_k
+from tapewright.operators.ranking import first_per_key, least_bounds, top_k, within
 from tapewright.schemas import SCREEN_COLUMNS
+from tapewright.session import materialize
 
 
 def tradable(spread: Column) -> Column:
@@ -69,13 +70,15 @@ def nearest_strikes(
 ) -> DataFrame:
     """The n strikes nearest the spot, on either side, per symbol, expiry and type.
 
-    ``spot`` holds one row per symbol. Whether it is read from a table or
-    aggregated here, adaptive execution sees its size before it joins.
+    ``spot`` holds one row per symbol. It is written first: while its size is
+    unknown, the chain would be shuffled by symbol, and a symbol is one task.
     """
+    spot = materialize(spot.select("symbol", "spot"), "spot")
     distance = F.abs(F.col("option_strike_price") - F.col("spot"))
     keyed = chain.filter(F.col("expiry").isNotNull() & F.col("option_type").isNotNull())
-    priced = keyed.join(spot.select("symbol", "spot"), "symbol").withColumn("distance", distance)
-    return top_k(priced, keys, [F.col("distance"), *ties], n, rank="strike_rank")
+    priced = keyed.join(spot, "symbol").withColumn("distance", distance)
+    bounds = materialize(least_bounds(priced, keys, "distance", ties, n), "strike-bounds")
+    return top_k(within(priced, bounds, keys, "distance"), keys, [F.col("distance"), *ties], n, rank="strike_rank")
 
 
 def contract_universe(picked: DataFrame) -> DataFrame:

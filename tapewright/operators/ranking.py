@@ -24,3 +24,20 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k:
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     return top_k(df, keys, order, 1)
+
+
+def least_bounds(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], k: int) -> DataFrame:
+    """``keys`` and ``_bound``: at least k rows of the group have a ``value`` no greater. Groups without one are left out.
+
+    Rows are dealt over buckets by a hash; the k-th least of the buckets' least values is such a bound. An aggregate of
+    few rows a group finds it, so rows above it can go before the rest is sorted, and no task sorts all that it reads.
+    """
+    bucket = F.pmod(F.xxhash64(value, *ties), F.lit(8 * k)).alias("_bucket")
+    least = df.filter(F.col(value).isNotNull()).groupBy(*keys, bucket).agg(F.min(value).alias("_bound"))
+    return top_k(least, keys, ["_bound"], k, rank="_nth").filter(F.col("_nth") == k).select(*keys, "_bound")
+
+
+def within(df: DataFrame, bounds: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows that may be among the first of their group in the order of ``value``, nulls first."""
+    kept = F.col("_bound").isNull() | F.col(value).isNull() | (F.col(value) <= F.col("_bound"))
+    return df.join(bounds, list(keys), "left").filter(kept).drop("_bound")

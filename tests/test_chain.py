@@ -136,3 +136,28 @@ def test_weekday_projection_against_a_calendar_walk(spark):
             want += dt.timedelta(days=1)
             left -= want.weekday() < 5
         assert r.got == want, r
+
+
+def test_the_chain_is_not_shuffled_by_symbol_for_its_spot(spark, tmp_path):
+    """The size of an aggregated spot is unknown to the plan; five symbols would be five tasks."""
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.range(20000).select(
+        F.concat(F.lit("c"), "id").alias("code"), (F.col("id") % 5).alias("symbol"), (F.col("id") % 3).alias("expiry"), F.lit("CALL").alias("option_type"),
+        F.when(F.col("id") % 997 > 0, (F.col("id") * 7919 % 1000) / 10.0).alias("option_strike_price"),
+    )
+    rows.write.parquet(str(tmp_path / "chain"))
+    held = spark.read.parquet(str(tmp_path / "chain"))
+    spot = held.groupBy("symbol").agg((F.count(F.lit(1)) / 100).alias("spot"))
+    try:
+        spark.conf.set(name, "20k")
+        picked = chain.nearest_strikes(held, spot, n=4)
+        assert "SortMergeJoin" not in picked._jdf.queryExecution().executedPlan().toString()
+        got = {(r.symbol, r.expiry, r.strike_rank): r.code for r in picked.collect()}
+    finally:
+        spark.conf.set(name, before)
+    groups = {}
+    for i in range(20000):
+        strike = i * 7919 % 1000 / 10 if i % 997 > 0 else None
+        groups.setdefault((i % 5, i % 3), []).append((strike is not None, abs(strike - 40) if strike is not None else 0, f"c{i}"))
+    want = {(*key, k + 1): row[2] for key, held in groups.items() for k, row in enumerate(sorted(held)[:4])}
+    assert got == want
