@@ -13,13 +13,16 @@ def capture_contracts(ours: DataFrame, official: DataFrame, threshold: float = P
     """Percent captured per contract-day; contracts without official volume are left out.
 
     ``ours`` holds ticks (code, day, volume), ``official`` (code, day, volume).
-    Both sides are summed before the join, so it joins one row per contract-day.
+    Both are summed in one aggregate, so that a task holds each contract-day once and nothing is joined or sorted.
     """
-    mine = ours.groupBy("day", "code").agg(F.sum("volume").alias("our_volume"))
-    truth = official.groupBy("day", "code").agg(F.sum("volume").alias("official_volume"))
+    mine = ours.select("day", "code", F.col("volume").alias("our_volume"), F.lit(True).alias("_mine"))
+    both = mine.unionByName(official.select("day", "code", F.col("volume").alias("official_volume")), allowMissingColumns=True)
+    sums = both.filter(F.col("day").isNotNull() & F.col("code").isNotNull()).groupBy("day", "code").agg(
+        F.sum("our_volume").alias("our_volume"), F.sum("official_volume").alias("official_volume"), F.count("_mine").alias("_ticks")
+    )
     pct = percent(F.col("our_volume"), F.col("official_volume"))
     return (
-        mine.join(truth.filter(F.col("official_volume") > 0), ["day", "code"])
+        sums.filter((F.col("_ticks") > 0) & (F.col("official_volume") > 0)).drop("_ticks")
         .withColumn("pct", pct)
         .withColumn("below_threshold", (F.col("pct") < threshold).cast("int"))
     )

@@ -198,3 +198,13 @@ def test_column_sets(spark):
     assert keep_listed(df, ["a", "b"]).columns == ["b"]
     assert conform(df, S.TEXT).columns == ["doc_id", "text"]
     assert require(df, ["b"]) is df
+
+
+def test_capture_is_one_aggregate_of_both_sides(spark):
+    """No join and no sort beside it; days and contracts of one side alone, or without a key, are left out."""
+    schema = "day int, code string, volume double"
+    ours = spark.createDataFrame([(1, "a", 40.0), (1, "a", 50.0), (1, "b", 5.0), (None, "a", 1.0), (3, "n", None)], schema)
+    truth = spark.createDataFrame([(1, "a", 100.0), (2, "a", 7.0), (1, "b", 0.0), (None, "a", 1.0), (3, "n", 2.0)], schema)
+    got = capture_contracts(ours, truth)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.day, r.code, r.our_volume, r.official_volume, r.pct, r.below_threshold) for r in got.collect()) == [(1, "a", 90.0, 100.0, 90.0, 1), (3, "n", None, 2.0, None, None)]
