@@ -33,3 +33,21 @@ def test_against_python(spark, texts):
 def test_corpus_words(spark):
     docs = spark.createDataFrame([(1, "b a"), (2, "a c"), (3, None)], "doc_id bigint, text string")
     assert [tuple(r) for r in text.corpus_top_words(docs, 2).collect()] == [("a", 2), ("b", 1)]
+
+
+def test_top_words_shuffle_no_text_of_ids_that_stand_alone(spark):
+    docs = spark.createDataFrame([(k, f"b a a c{k}") for k in range(50)] + [(99, None), (98, " ")], "doc_id bigint, text string")
+    tops = text.top_words(docs, 2)
+    assert sorted((r.doc_id, r.word, r.n, r.word_rank) for r in tops.collect()) == sorted(
+        x for k in range(50) for x in ((k, "a", 2, 1), (k, "b", 1, 2))
+    )
+    final = tops._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "regexp_extract_all" in final
+    assert "REPARTITION_BY" not in final
+    assert "Exchange" not in text.row_top_words(docs, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "x y"), (1, "y"), (None, "n m"), (None, "m"), (2, "z")], "doc_id bigint, text string")
+    tops = text.top_words(docs, 1)
+    assert {(r.doc_id, r.word, r.n) for r in tops.collect()} == {(1, "y", 2), (None, "m", 2), (2, "z", 1)}
