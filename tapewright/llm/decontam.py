@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm import chunks
 from tapewright.llm.columns import id_and_text, same_row, whole_rows
-from tapewright.session import materialize
+from tapewright.session import arrow_rows, materialize
 
 SEED_WORDS = 3
 RARE_SHARE = 0.75
@@ -37,7 +37,10 @@ MIN_SCORE = 0.5
 # Words of a window to either side of a stretch with seeds, as a multiple of the longest segment.
 SLACK = 1.25
 FILTER_BITS = 22
-BLOCK_BYTES = 8_000_000
+# Two workers of an executor hold a block each beside the JVM: text in a block, windows in a batch, rows in a batch from Spark.
+BLOCK_BYTES = 2_000_000
+WINDOW_ROWS = 512
+ARROW_ROWS = 1000
 
 _NOT_WORD = re.compile(r"[\W_]+")
 # Scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, Cham, kana, bopomofo, Han, Yi.
@@ -186,36 +189,38 @@ def rare_seeds(seeds: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def _windows_of(batches: Iterator[pa.RecordBatch], packed: bytes, reach: int, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    for rows, hashes, ends, of_text, places, seeds in _hits(batches, packed, sizes):
+        begins = np.concatenate(([0], ends[:-1]))
+        tile = (places - begins[of_text]) // reach
+        first = np.flatnonzero(np.concatenate(([True], (of_text[1:] != of_text[:-1]) | (tile[1:] != tile[:-1])))) if len(places) else np.empty(0, int)
+        last = np.append(first[1:], len(places))
+        # A few hundred windows at a time bound the size of a batch.
+        for part in range(0, len(first), WINDOW_ROWS):
+            f, e = first[part : part + WINDOW_ROWS], last[part : part + WINDOW_ROWS]
+            texts_of, tiles = of_text[f], tile[f]
+            low = np.maximum(0, (tiles - 1) * reach)
+            high = np.minimum((tiles + 2) * reach, (ends - begins)[texts_of])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id").combine_chunks().take(pa.array(texts_of)),
+                    rows.column("text_key").combine_chunks().take(pa.array(texts_of)),
+                    pa.array(low),
+                    pa.array([hashes[b + x : b + y].tobytes() for b, x, y in zip(begins[texts_of], low, high)], pa.binary()),
+                    pa.array([np.unique(seeds[x:y]) for x, y in zip(f, e)], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "text_key", "start", "words", "seeds"],
+            )
+
+
 def windows(texts: DataFrame, packed: bytes, reach: int, sizes: list[int]) -> DataFrame:
     """Stretches of ``reach`` words that hold seeds, with ``reach`` words more on either side.
 
     doc_id, text_key, start (first word of the window), words, seeds (distinct).
     """
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, hashes, ends, of_text, places, seeds in _hits(batches, packed, sizes):
-            begins = np.concatenate(([0], ends[:-1]))
-            tile = (places - begins[of_text]) // reach
-            first = np.flatnonzero(np.concatenate(([True], (of_text[1:] != of_text[:-1]) | (tile[1:] != tile[:-1])))) if len(places) else np.empty(0, int)
-            last = np.append(first[1:], len(places))
-            # A few thousand windows at a time bound the size of a batch.
-            for part in range(0, len(first), 4096):
-                f, e = first[part : part + 4096], last[part : part + 4096]
-                texts_of, tiles = of_text[f], tile[f]
-                low = np.maximum(0, (tiles - 1) * reach)
-                high = np.minimum((tiles + 2) * reach, (ends - begins)[texts_of])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id").combine_chunks().take(pa.array(texts_of)),
-                        rows.column("text_key").combine_chunks().take(pa.array(texts_of)),
-                        pa.array(low),
-                        pa.array([hashes[b + x : b + y].tobytes() for b, x, y in zip(begins[texts_of], low, high)], pa.binary()),
-                        pa.array([np.unique(seeds[x:y]) for x, y in zip(f, e)], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "text_key", "start", "words", "seeds"],
-                )
-
-    return texts.mapInArrow(around, "doc_id long, text_key long, start long, words binary, seeds array<long>")
+    return texts.mapInArrow(
+        lambda batches: _windows_of(batches, packed, reach, sizes), "doc_id long, text_key long, start long, words binary, seeds array<long>"
+    )
 
 
 def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,22 +284,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
     longest = cut.agg(F.max(F.size("words"))).first()[0] or 1
     sizes = _seed_sizes(cut)
     seeds = materialize(_seeds_of(cut), "decontam-seeds")
-    rare = materialize(rare_seeds(seeds, document_counts(texts, _bitset(seeds), sizes)), "decontam-rare")
-    found = materialize(windows(texts, _bitset(rare), int(longest * SLACK) + 1, sizes), "decontam-windows")
-    place = ["doc_id", "text_key", "start"]
-    pairs = (
-        found.select(F.struct(*place).alias("place"), F.explode("seeds").alias("seed")).join(rare, "seed")
-        .select("place", "item_id", "segment").distinct()
-    )
-    # Windows of repeated rows are alike; one of each is enough.
-    passages = found.select(F.struct(*place).alias("place"), "words").groupBy("place").agg(F.first("words").alias("words"))
-    candidates = (
-        pairs.join(passages, "place").join(cut.withColumnRenamed("words", "item_words"), ["item_id", "segment"])
-        .select("place.*", "item_id", "item_words", "words")
-    )
-    scored = candidates.mapInArrow(
-        lambda batches: _score(batches, min_score), "doc_id long, text_key long, item_id long, score double, first_word long, last_word long"
-    )
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        rare = materialize(rare_seeds(seeds, document_counts(texts, _bitset(seeds), sizes)), "decontam-rare")
+        found = materialize(windows(texts, _bitset(rare), int(longest * SLACK) + 1, sizes), "decontam-windows")
+        place = ["doc_id", "text_key", "start"]
+        pairs = (
+            found.select(F.struct(*place).alias("place"), F.explode("seeds").alias("seed")).join(rare, "seed")
+            .select("place", "item_id", "segment").distinct()
+        )
+        # Windows of repeated rows are alike; one of each is enough.
+        passages = found.select(F.struct(*place).alias("place"), "words").groupBy("place").agg(F.first("words").alias("words"))
+        candidates = (
+            pairs.join(passages, "place").join(cut.withColumnRenamed("words", "item_words"), ["item_id", "segment"])
+            .select("place.*", "item_id", "item_words", "words")
+        )
+        scored = candidates.mapInArrow(
+            lambda batches: _score(batches, min_score), "doc_id long, text_key long, item_id long, score double, first_word long, last_word long"
+        )
+        scored = materialize(scored, "decontam-scored")
     best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), "last_word")).alias("best")
     return scored.groupBy("doc_id", "text_key", "item_id").agg(best).select(
         "doc_id", "text_key", "item_id", "best.score", (-F.col("best.back")).alias("first_word"), "best.last_word"

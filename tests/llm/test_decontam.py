@@ -109,3 +109,31 @@ def test_items_are_found_across_any_white_space_and_in_scripts_without_spaces(sp
     found = D.leaks(spark.createDataFrame([(k, t) for k, (t, _) in docs.items()], "doc_id long, text string"), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, i) for k, (_, want) in docs.items() for i in want}
     assert all(r["score"] == 1.0 for r in found if r["doc_id"] != 21)
+
+
+def test_blocks_windows_and_batches_are_bounded(spark):
+    import pyarrow as pa
+
+    from tapewright.session import arrow_rows
+
+    words, n = vocabulary(3000, 3), 3000
+    text = " ".join(words)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([text] * n)], ["doc_id", "text_key", "text"])
+    seeds = D.seed_hashes(D.text_words(text))
+    bits = np.zeros(1 << D.FILTER_BITS, dtype=np.uint8)
+    bits[(seeds[::100] >> np.uint64(64 - D.FILTER_BITS)).astype(np.int64)] = 1
+    packed = np.packbits(bits).tobytes()
+    part = batch.slice(0, 400)
+    assert max(sum(map(len, b[0].column("text").to_pylist())) for b in D._hits([part], packed, [3])) < 2_100_000
+    made = list(D._windows_of([part], packed, 160, [3]))
+    assert sum(b.num_rows for b in made) >= 400 * 15 and max(b.num_rows for b in made) <= 512
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    with arrow_rows(spark, D.ARROW_ROWS):
+        assert max(r.n for r in spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long").collect()) <= 1000
+    assert spark.conf.get(name) == before
