@@ -67,6 +67,22 @@ def sized(spark: SparkSession, input_bytes: int):
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def small_splits(spark: SparkSession, most: int = 16 * 1024 * 1024):
+    """Tasks read at most ``most`` bytes of a file, but a whole row group, while the scope lasts; a smaller setting stays.
+
+    A task that sorts all that it reads then needs the same memory for any size of table.
+    """
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > most:
+        spark.conf.set(name, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, most: int):
     """Python functions get their rows in Arrow batches of ``most`` at most while the scope lasts; a smaller setting stays.

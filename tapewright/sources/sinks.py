@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators.columns import forbid_outcomes
 from tapewright.operators.tape import latest_per_key
-from tapewright.session import materialize, read_if_present
+from tapewright.session import materialize, read_if_present, small_splits
 
 
 def _clustered(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
@@ -30,8 +30,11 @@ def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str] = ("s
 
 
 def _touched(old: DataFrame, new: DataFrame, partitions: Sequence[str]) -> DataFrame:
-    """Rows of ``old`` in partitions that ``new`` also has; pruned at run time, never collected."""
-    return old.join(new.select(*partitions).distinct(), list(partitions), "left_semi")
+    """Rows of ``old`` in partitions that ``new`` also has; pruned at run time, never collected.
+
+    The partitions are written first, so that their real size is known: a shuffle by partition would send all rows of one to one task.
+    """
+    return old.join(materialize(new.select(*partitions).distinct(), "touched"), list(partitions), "left_semi")
 
 
 def upsert(
@@ -41,11 +44,13 @@ def upsert(
 
     ``partitions`` must be functions of the key. Only partitions the batch
     touches are rewritten. The merged rows are written to the shared folder
-    first, so the table is never read while it is replaced.
+    first, so the table is never read while it is replaced. Map tasks sort what
+    they read, so they read small pieces.
     """
     old = read_if_present(new.sparkSession, path)
     frames = [new] if old is None else [_touched(old, new, partitions), new]
-    merged = materialize(latest_per_key(frames, keys, order), "upsert")
+    with small_splits(new.sparkSession):
+        merged = materialize(latest_per_key(frames, keys, order), "upsert")
     replace_partitions(merged, path, partitions)
 
 

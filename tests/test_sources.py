@@ -208,3 +208,13 @@ def test_capture_is_one_aggregate_of_both_sides(spark):
     got = capture_contracts(ours, truth)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.day, r.code, r.our_volume, r.official_volume, r.pct, r.below_threshold) for r in got.collect()) == [(1, "a", 90.0, 100.0, 90.0, 1), (3, "n", None, 2.0, None, None)]
+
+
+def test_touched_rows_are_not_shuffled_by_partition(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(1000).selectExpr("id", "cast(id % 2 as int) as part").write.partitionBy("part").parquet(path)
+    new = spark.range(20_000_000).selectExpr("id", "cast(1 as int) + cast(id % 1 as int) as part")
+    kept = sinks._touched(spark.read.parquet(path), new, ["part"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted(r.id for r in kept.collect()) == list(range(1, 1000, 2))
