@@ -61,6 +61,25 @@ def word_hashes(run: str) -> list[int]:
     return [xxhash.xxh64_intdigest(p) | 1 for p in parts if p]
 
 
+def _runs_words(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of all runs in a row and the number of words of each; runs of ASCII alone are normalized as a column."""
+    ascii_only = pc.string_is_ascii(runs)
+    plain = pc.ascii_lower(runs.filter(ascii_only))
+    odd = pc.invert(pc.ascii_is_alnum(plain))
+    plain = pc.replace_with_mask(plain, odd, pc.replace_substring_regex(plain.filter(odd), "[^a-z0-9]+", ""))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, plain.to_numpy(zero_copy_only=False)), np.uint64, len(plain)) | np.uint64(1)
+    real = pc.not_equal(plain, "").to_numpy(zero_copy_only=False)
+    found = [word_hashes(r) for r in runs.filter(pc.invert(ascii_only)).to_pylist()]
+    others = np.array([len(f) for f in found], dtype=np.int64)
+    of_ascii = ascii_only.to_numpy(zero_copy_only=False)
+    sizes = np.zeros(len(runs), dtype=np.int64)
+    sizes[of_ascii], sizes[~of_ascii] = real, others
+    is_ascii = np.repeat(of_ascii, sizes)
+    flat = np.empty(len(is_ascii), dtype=np.uint64)
+    flat[is_ascii], flat[~is_ascii] = hashes[real], np.array([h for f in found for h in f], dtype=np.uint64)
+    return flat, sizes
+
+
 def seed_hashes(words: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
     """Hash of the n-gram of ``size`` words that starts at each word but the last ones; ``words`` are hashes."""
     n = len(words) - size + 1
@@ -77,11 +96,11 @@ def seed_hashes(words: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
 def texts_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row and the end of each text."""
     runs, codes, ends = chunks.factorize(texts, pc.utf8_split_whitespace)
-    found = [word_hashes(r) for r in runs.to_pylist()]
-    sizes = np.array([len(f) for f in found], dtype=np.int64)
-    flat = np.array([h for f in found for h in f], dtype=np.uint64)
+    flat, sizes = _runs_words(runs)
     if sizes.max(initial=0) <= 1:
-        of_run = np.array([f[0] if f else 0 for f in found], dtype=np.uint64)[codes]
+        of_run = np.zeros(len(runs), dtype=np.uint64)
+        of_run[sizes == 1] = flat
+        of_run = of_run[codes]
         real = of_run != 0
         return of_run[real], np.concatenate(([0], np.cumsum(real, dtype=np.int64)))[ends]
     counts = sizes[codes]

@@ -137,3 +137,13 @@ def test_blocks_windows_and_batches_are_bounded(spark):
     with arrow_rows(spark, D.ARROW_ROWS):
         assert max(r.n for r in spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long").collect()) <= 1000
     assert spark.conf.get(name) == before
+
+
+def test_runs_of_ascii_are_normalized_as_a_column(monkeypatch):
+    rng = random.Random(4)
+    runs = ["".join(rng.choice("aZ0_-.,'\x00\x7féßİΣ日本½") for _ in range(rng.randrange(1, 8))) for _ in range(3000)] + ["---", "The", "it's"]
+    want = [h for r in runs for h in D.word_hashes(r)]
+    asked, one = [], D.word_hashes
+    monkeypatch.setattr(D, "word_hashes", lambda run: asked.append(run) or one(run))
+    assert D.text_words(" ".join(runs)).tolist() == want
+    assert asked and not any(r.isascii() for r in asked)
