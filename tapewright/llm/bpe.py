@@ -36,6 +36,9 @@ SHARD_BYTES, SHARD_GROWTH = 16_000_000, 0.75
 PART_BYTES = 4_000_000
 # Words whose shard a block works out at once.
 WORDS_AT_ONCE = 32_768
+# Two workers of an executor hold a block each beside the JVM: text in a block, rows in a batch from Spark.
+BLOCK_BYTES = 4_000_000
+ARROW_ROWS = 1000
 
 _WORDS = "shard int, block long, first long, words binary"
 _IDS = "block long, first long, sizes binary, ids binary"
@@ -158,7 +161,7 @@ def _unpack(data: bytes, dtype: str) -> np.ndarray:
 def _split(batches: Iterator[pa.RecordBatch], shards: int):
     """Blocks as (number, rows, words in shard order, first place of each shard, word number at each place, ends)."""
     task = TaskContext.get()
-    for nth, rows in enumerate(chunks.blocks(batches)):
+    for nth, rows in enumerate(chunks.blocks(batches, size=BLOCK_BYTES)):
         words, codes, ends = chunks.factorize(rows.column("text"))
         shard = np.empty(len(words), dtype=np.int64)
         for start in range(0, len(words), WORDS_AT_ONCE):
@@ -283,7 +286,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     A null or empty text has no ids and decodes to an empty text. Special tokens spelled out in a text are single
     ids, as the library has it, and are kept by decoding. Repeated rows and null ids each get their row; an empty
     table gives none; further columns play no part. ``docs`` is read twice and must be a table or files, so that
-    both passes see the same batches; if they do not, the job fails rather than mix up texts.
+    both passes see the same batches; if they do not, the job fails rather than mix up texts. Run it within
+    ``session.arrow_rows`` of ``ARROW_ROWS``, so that long texts come in small batches.
     """
     tokenizer(tokenizer_path)  # a file that is not supported fails here
     texts = id_and_text(docs, id_col, text_col)

@@ -97,3 +97,32 @@ def test_a_shard_encodes_each_word_once(monkeypatch):
         sizes, ids = bpe._unpack(row["sizes"], "int32"), bpe._unpack(row["ids"], "int32")
         want = [once(pa.array([w]), PATH)[1].tolist() for w in words]
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
+
+
+def test_the_query_gets_small_batches(spark, monkeypatch):
+    """Rows of a batch as Spark hands them to the workers; before, up to 10,000 whole texts at once."""
+    import pyarrow as pa
+
+    def counted(docs, path):
+        def count(batches):
+            for batch in batches:
+                yield pa.record_batch({"doc_id": pa.array([batch.num_rows]), "ids": pa.array([[1]], pa.list_(pa.int32())), "decoded": pa.array([""])})
+
+        return docs.mapInArrow(count, "doc_id long, ids array<int>, decoded string")
+
+    monkeypatch.setattr(queries.bpe, "encode_decode", counted)
+    docs = spark.range(0, 5000, 1, 2).selectExpr("id AS doc_id", "'some words' AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = [r["doc_id"] for r in queries.bpe_digests(docs).collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_block_holds_four_megabytes():
+    """Each block of a pass over the texts; before, twice as much beside the JVM in each worker."""
+    import pyarrow as pa
+
+    text = " ".join(f"word{k}" for k in range(1000))
+    batches = [pa.record_batch({"doc_id": pa.array(range(500)), "text": pa.array([text] * 500)}) for _ in range(4)]
+    sizes = [sum(len(t) for t in rows.column("text").to_pylist()) for _, rows, *_ in bpe._split(iter(batches), 16)]
+    assert sum(sizes) == 2000 * len(text) and max(sizes) < 4_000_000 + len(text)
