@@ -99,6 +99,22 @@ def arrow_rows(spark: SparkSession, most: int):
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def whole_state(spark: SparkSession):
+    """Streams that start while the scope lasts checkpoint their state whole, RocksDB's new files only, not as changes.
+
+    A run that goes on from such a checkpoint loads the state as it is. From changes alone it would repeat all of them
+    since the beginning, those of keys long released, too.
+    """
+    name = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="tapewright-")
@@ -124,6 +140,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Land a written folder at ``target`` as a whole; one that was not written, for want of rows, lands as an empty one."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = Path(source), Path(target)
+    system = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(new.getParent() if system.exists(old) else new)
+    if system.exists(old) and not system.rename(old, new):
+        raise OSError(f"{source} cannot be moved to {target}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder that ``spark.checkpoint.dir`` names.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tapewright.functions.clock import parse_time
 from tapewright.functions.contract import contract_symbol
 from tapewright.operators.ranking import first_per_key
 from tapewright.schemas import TICK
-from tapewright.session import read_if_present, scratch_path
+from tapewright.session import read_if_present, scratch_path, whole_state
 
 
 def stream_landed_ticks(
@@ -75,7 +76,8 @@ def run_available(stream: DataFrame, name: str, partitions: Sequence[str] = (),
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    with whole_state(spark) if at else contextlib.nullcontext():
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -92,10 +94,9 @@ def run_updates(stream: DataFrame, keys: Sequence[str], name: str, at: tuple[str
         # Overwriting the batch's own folder makes a replayed batch harmless.
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    (
-        stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    writer = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    with whole_state(spark) if at else contextlib.nullcontext():
+        writer.trigger(availableNow=True).start().awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     updates = read_if_present(spark, path, schema)
     if updates is None:

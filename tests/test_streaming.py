@@ -174,4 +174,41 @@ def test_watched_stream(spark, tmp_path):
     assert sum(seen) == sum(r[0].startswith("US.NVDA") for r in rows) and len(seen) == 2
 
 
+def test_a_run_that_goes_on_loads_its_state_whole(spark, tmp_path):
+    """Before, the checkpoint held changes alone, and each run repeated those of all runs before it."""
+    rows, folder, at = make_rows(300), str(tmp_path / "landing"), (str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    name = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    setting = spark.conf.get(name)
+    for k, some in enumerate((rows[:200], rows[100:])):
+        land(folder, f"{k:05d}.csv", some)
+        stream = source.stream_landed_ticks(spark, folder)
+        counts = source.run_updates(ticks.feed_counts(stream, "30 days"), ["code", "sequence", "session_start"], "counts", at)
+        unique = source.run_available(ticks.dedup_sessions(stream, delay="30 days").select("code", "sequence"), "dedup", at=(f"{at[0]}-dedup", f"{at[1]}-dedup"))
+    assert counts.agg(F.sum("copies")).first()[0] == 400
+    assert unique.count() == len({(r[0], r[6], r[1].date()) for r in rows})
+    for checkpoint in (at[1], f"{at[1]}-dedup"):
+        files = [f for _, _, names in os.walk(f"{checkpoint}/state") for f in names]
+        assert any(f.endswith(".zip") for f in files) and not any(f.endswith(".changelog") for f in files)
+    assert spark.conf.get(name) == setting
+
+
+def test_slices_are_cut_in_one_pass(spark, monkeypatch):
+    """Each slice lands with its own rows, in the order of their time; before, the table was read once for each of them."""
+    from workload import streams
+
+    lines, seen = "/root/testdata/sf0.001", []
+    times = sorted(r["ts"] for r in streams.A.lineitem_tape(spark, lines).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")).collect())
+    paths = []
+    monkeypatch.setattr(streams, "scratch_path", lambda s, name, make=streams.scratch_path: (paths.append(make(s, name)), paths[-1])[1])
+
+    def run(stream, at):
+        seen.append(sorted(r["ts"] for r in spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(paths[0]).select(F.unix_micros("ts").alias("ts")).collect()))
+
+    streams.lineitem_slices(spark, lines, "slices", run)
+    assert seen[-1] == times and all(times[: len(some)] == some for some in seen)
+    assert 0 < len(seen[0]) < len(seen[1]) < len(seen[2]) < len(seen[3])
+    staged = next(p for p in paths if "slices-staged" in p)
+    assert not [d for d in os.listdir(staged.removeprefix("file://")) if d.startswith("slice=")]
+
+
 TICK_ORDER = type(TICK)([TICK[c] for c in HEADER.split(",")])

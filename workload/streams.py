@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewright.operators import capture, chain
-from tapewright.session import materialize, scratch_path
+from tapewright.session import materialize, move_folder, scratch_path
 from tapewright.sources import compaction, files, readers, sinks
 from tapewright.streaming import polls, source, stateful, ticks
 from workload import adapters as A
@@ -36,9 +36,13 @@ def lineitem_slices(spark, sf_dir, name, run):
     bounds = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / SLICES for k in range(1, SLICES)]).alias("b")).first()["b"]
     landing, at = scratch_path(spark, f"{name}-landing"), (scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint"))
     nth = sum((F.when(F.unix_micros("ts") >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    # All slices are cut in one pass over the table; each lands as a folder when its turn comes.
+    staged = scratch_path(spark, f"{name}-staged")
+    rows.withColumn("slice", nth).write.partitionBy("slice").parquet(staged)
+    stream = lambda: spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(landing)
     for k in range(SLICES):
-        rows.filter(nth == k).write.mode("append").parquet(landing)
-        result = run(spark.readStream.schema(rows.schema).parquet(landing), at)
+        move_folder(spark, f"{staged}/slice={k}", f"{landing}/slice-{k}")
+        result = run(stream(), at)
     return result
 
 
